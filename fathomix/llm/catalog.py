@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import langid, packing, quality, secrets, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_docs(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -25,10 +33,72 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
 
+OP2_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{packing.TOKEN}') AS t FROM documents),
+n AS (SELECT doc_id, t, len(t) AS n FROM t WHERE len(t) > 0),
+p AS (
+  SELECT doc_id, t, list_concat(
+    list_transform(range(0, n // {1 << packing.MAX_POWER}), lambda i: {{'s': i * {1 << packing.MAX_POWER}, 'k': CAST({packing.MAX_POWER} AS BIGINT)}}),
+    list_filter(list_transform(range({packing.MAX_POWER - 1}, -1, -1), lambda k: {{'s': n - n % CAST(2 ** (k + 1) AS BIGINT), 'k': k}}), lambda x: (n // CAST(2 ** x.k AS BIGINT)) % 2 = 1)
+  ) AS l FROM n),
+u AS (SELECT doc_id, t, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM p)
+SELECT doc_id, CAST(i AS INTEGER) AS piece, CAST(x.s AS INTEGER) AS start, CAST(x.k AS INTEGER) AS power, CAST(2 ** x.k AS INTEGER) AS n_tokens,
+  array_to_string(t[x.s + 1 : x.s + CAST(2 ** x.k AS BIGINT)], '') AS text
+FROM u
+"""
+
+_S = secrets.Rules()
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '[A-Za-z0-9+/_-]+|[^A-Za-z0-9+/_-]+') AS l FROM documents),
+u AS (SELECT rid, doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM d),
+o AS (SELECT rid, doc_id, s, k, sum(length(s)) OVER (PARTITION BY rid ORDER BY k) - length(s) AS start FROM u),
+c AS (SELECT row_number() OVER () AS cid, * FROM o
+  WHERE length(s) >= {_S.min_length} AND regexp_matches(s, '^[A-Za-z0-9+/_-]') AND regexp_matches(s, '[A-Za-z]')
+    AND length(regexp_replace(s, '[^0-9]', '', 'g')) >= {_S.min_digits}
+    AND NOT regexp_full_match(s, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
+    AND NOT regexp_matches(s, '{"|".join(secrets.PLACEHOLDERS)}')),
+w AS (SELECT cid, i, substr(s, i, {_S.window}) AS w FROM (SELECT cid, s, unnest(range(1, length(s) - {_S.window - 2})) AS i FROM c)),
+n AS (SELECT cid, i, ch, count(*) AS n FROM (SELECT cid, i, unnest(string_split(w, '')) AS ch FROM w) GROUP BY cid, i, ch),
+h AS (SELECT cid, i, sum(n * log2(n)) AS t FROM n GROUP BY cid, i),
+e AS (SELECT cid, round(log2({_S.window}) - min(t) / {_S.window}, 6) AS entropy FROM h GROUP BY cid),
+k AS (SELECT c.*, entropy, CASE WHEN regexp_full_match(s, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(s, '[0-9A-Za-z]+') THEN 'alnum' ELSE 'base64' END AS kind FROM c JOIN e USING (cid))
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(length(s) AS BIGINT) AS length, kind, entropy FROM k
+WHERE entropy >= CASE kind WHEN 'hex' THEN {_S.limits["hex"]} WHEN 'alnum' THEN {_S.limits["alnum"]} ELSE {_S.limits["base64"]} END
+"""
+
+_Q = quality.Rules()
+_PUNCT = ".,;:!?''\"()-"
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(lang, '') AS lang FROM documents),
+c AS (SELECT rid, lang, length(text) AS n,
+  length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters,
+  length(regexp_replace(text, '[^\p{{Ll}}]', '', 'g')) AS c0, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS c1,
+  length(regexp_replace(text, '[^\p{{N}}]', '', 'g')) AS c3, length(regexp_replace(text, '[^\t\n\f\r ]', '', 'g')) AS c4,
+  length(regexp_replace(text, '[^{_PUNCT}]', '', 'g')) AS c5 FROM d WHERE text IS NOT NULL),
+cl AS (SELECT rid, lang, n AS total, unnest([c0, c1, letters - c0 - c1, c3, c4, c5, n - letters - c3 - c4 - c5]) AS k, unnest(range(7)) AS bin FROM c),
+cr AS (SELECT lang, bin, sum(k) AS k, sum(sum(k)) OVER (PARTITION BY lang) AS total FROM cl GROUP BY lang, bin),
+cp AS (SELECT rid, cl.total, cl.k / greatest(cl.total, 1) AS p, cr.k / greatest(cr.total, 1) AS q FROM cl JOIN cr USING (lang, bin)),
+cd AS (SELECT rid, total AS n_chars, CASE WHEN total = 0 THEN 0 ELSE round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6) END AS dist FROM cp GROUP BY rid, total),
+w AS (SELECT rid, lang, lower(unnest(regexp_extract_all(text, '\p{{L}}+'))) AS w FROM d),
+wl AS (SELECT lang, w, count(*) AS k FROM w GROUP BY lang, w),
+wk AS (SELECT lang, w, k, rank() OVER (PARTITION BY lang ORDER BY k DESC) AS r, sum(k) OVER (PARTITION BY lang) AS total FROM wl),
+common AS (SELECT * FROM wk WHERE r <= {_Q.top}),
+wr AS (SELECT lang, w, k, total FROM common UNION ALL SELECT lang, NULL, total - sum(k), total FROM common GROUP BY lang, total),
+wd AS (SELECT rid, w.lang, common.w AS w, count(*) AS k FROM w LEFT JOIN common ON w.lang = common.lang AND w.w = common.w GROUP BY rid, w.lang, common.w),
+wt AS (SELECT rid, lang, count(*) AS n FROM w GROUP BY rid, lang),
+wp AS (SELECT wt.rid, wt.n, coalesce(wd.k, 0) / wt.n AS p, wr.k / wr.total AS q FROM wt JOIN wr ON wt.lang = wr.lang LEFT JOIN wd ON wd.rid = wt.rid AND wd.w IS NOT DISTINCT FROM wr.w),
+wj AS (SELECT rid, n AS n_words, round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6) AS dist FROM wp GROUP BY rid, n)
+SELECT doc_id, CAST(cd.dist AS DOUBLE) AS class_distance, CASE WHEN text IS NULL THEN NULL ELSE coalesce(wj.dist, 0.0) END AS word_distance,
+  text IS NOT NULL AND NOT (coalesce(cd.dist > {_Q.max_class} AND n_chars >= {_Q.min_chars}, false)
+    OR coalesce(wj.dist > {_Q.max_words} + {_Q.word_noise} / sqrt(n_words) AND n_words >= {_Q.min_words}, false)) AS keep
+FROM d LEFT JOIN cd USING (rid) LEFT JOIN wj USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_packing": OP2_SQL, "op5_secret_scan": OP5_SQL, "op10_quality_rules": OP10_SQL}
