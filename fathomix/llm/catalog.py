@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, langid, packing, quality, secrets, simhash, spiece
+from . import bpe_count, hmm, langid, packing, quality, secrets, simhash, spiece
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op3_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_docs(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode(_docs(spark, sf_dir))
 
