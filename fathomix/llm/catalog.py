@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, hmm, langid, packing, quality, secrets, simhash, spiece
+from . import bpe_count, hmm, langid, packing, pii, quality, secrets, simhash, spiece, vafile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_docs(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_docs(spark, sf_dir))
 
@@ -41,6 +45,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
@@ -78,6 +86,13 @@ SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(length(s) AS BIGINT) AS leng
 WHERE entropy >= CASE kind WHEN 'hex' THEN {_S.limits["hex"]} WHEN 'alnum' THEN {_S.limits["alnum"]} ELSE {_S.limits["base64"]} END
 """
 
+OP9_SQL = f"""
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS query_id, b.id AS neighbour_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS s FROM e AS a JOIN e AS b ON a.id <> b.id),
+r AS (SELECT query_id, neighbour_id, round(sqrt(s), 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sqrt(s), neighbour_id) AS INTEGER) AS rank FROM d)
+SELECT * FROM r WHERE rank <= {vafile.K}
+"""
+
 _Q = quality.Rules()
 _PUNCT = ".,;:!?''\"()-"
 OP10_SQL = rf"""
@@ -113,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_packing": OP2_SQL, "op5_secret_scan": OP5_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_packing": OP2_SQL, "op5_secret_scan": OP5_SQL, "op9_exact_top_k": OP9_SQL, "op10_quality_rules": OP10_SQL}
