@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch. Spark's own 10,000 would make batches of gigabytes from texts of 100 kB.
+BATCH_ROWS = 1024
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Bound the batches that Python workers get, where the session leaves Spark's default."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``work`` to each record batch."""
 
@@ -36,6 +47,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.Reco
             if batch.num_rows:
                 yield from work(batch)
 
+    _small_batches(df)
     return df.mapInArrow(each, schema)
 
 
@@ -45,6 +57,7 @@ def map_partition(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iter
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(b for b in batches if b.num_rows)
 
+    _small_batches(df)
     return df.mapInArrow(each, schema)
 
 

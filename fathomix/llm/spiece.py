@@ -30,7 +30,11 @@ from .text import Chunk, chunks, ragged, runs, span_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
-_CELLS = 1 << 22
+_CELLS = 1 << 21
+#: Characters encoded at once: fewer than elsewhere, as an encoder's tables are large.
+_CHUNK = 1 << 19
+#: Words longer than this are encoded one by one.
+LONG_WORD = 64
 
 
 def read_model(path: str) -> tuple[list[str], list[float], list[int]]:
@@ -99,6 +103,7 @@ class Pieces:
         pairs = {rank[t[:k]] << 20 | rank[t[k:]]: r for r, t in enumerate(self.texts) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
         self.pairs = IntMap(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self._automaton()
+        self.size_list, self.shorter_list, self.fit_of = self.size.tolist(), self.shorter.tolist(), {}
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(pieces[i]) for i in single]] = True
         self.known[BLANK] = False
@@ -148,6 +153,7 @@ class Pieces:
         flat = [(s << 21 | c, to) for s, e in enumerate(edges) for c, to in e.items()]
         self.edges = IntMap(np.array([k for k, _ in flat], np.int64), np.array([v for _, v in flat], np.int32))
         self.fail, self.out = np.array(fail, np.int64), np.array(out, np.int32)
+        self.edge_of, self.fail_list, self.out_list = dict(flat), fail, out
 
     def longest(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rank of the longest piece that starts at each position of the words, which come longest first."""
@@ -201,7 +207,10 @@ class Pieces:
         order = np.argsort(-size, kind="stable")
         counts = np.zeros(len(size), np.int64)
         parts: list[np.ndarray] = []
-        a = 0
+        a = int(np.searchsorted(-size[order], -LONG_WORD, side="left"))
+        for w in order[:a].tolist():
+            parts.append(np.array(self.encode_long(points[offsets[w] : offsets[w + 1]].tolist()), np.int32))
+            counts[w] = len(parts[-1])
         while a < len(order):
             most = max(1, int(size[order[a]]))
             b = min(len(order), a + max(1, _CELLS // (most + 1)))
@@ -218,6 +227,42 @@ class Pieces:
         starts[order] = begin
         return counts, got[ragged(starts, counts)]
 
+    def encode_long(self, points: list[int]) -> list[int]:
+        """Ranks of one word: the same steps without arrays."""
+        n, edge, fail, out = len(points), self.edge_of, self.fail_list, self.out_list
+        best, s = [0] * n, 0
+        for i in range(n - 1, -1, -1):
+            c = points[i]
+            while (to := edge.get(s << 21 | c)) is None and s:
+                s = fail[s]
+            s = to or 0
+            best[i] = out[s]
+        size, shorter, fits = self.size_list, self.shorter_list, self._fits
+        open_, stack, at = bytearray(b"\1") * (n + 1), [], 0
+        piece = best[0]
+        while at < n:
+            end = at + size[piece]
+            if open_[end] and (not stack or fits(stack[-1], piece)):
+                stack.append(piece)
+                at = end
+                piece = best[at] if at < n else -1
+            elif shorter[piece] >= 0:
+                piece = shorter[piece]
+            else:
+                open_[at] = 0
+                piece = stack.pop()
+                at -= size[piece]
+        return stack
+
+    def _fits(self, a: int, b: int) -> bool:
+        """``compatible`` of one pair, remembered."""
+        key = a << 20 | b
+        if (known := self.fit_of.get(key)) is None:
+            if len(self.fit_of) > 500_000:
+                self.fit_of.clear()
+            known = self.fit_of[key] = bool(self.compatible(np.array([a]), np.array([b]))[0])
+        return known
+
     def _encode(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(offsets) - 1, np.diff(offsets)
         most = int(size.max()) if n else 0
@@ -374,7 +419,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v = load(vocabulary)
-        for c in chunks(batch.column(1)):
+        for c in chunks(batch.column(1), _CHUNK):
             counts, ids = v.encode(c.points, c.offsets)
             same = same_text(c, *v.decode(counts, ids)) if check else np.ones(len(counts), bool)
             null = ~c.valid
