@@ -1,19 +1,666 @@
-"""Registered queries and their SQL."""
+"""Registered queries, one or more for each operator, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import IndexConfig
+from ..functions import clean
+from ..functions.tokens import ENTITY, TOKEN
+from ..operators import dedup, expand, hits, language, present, prior, rank, score
+from ..operators.index import Index, merge_norms
+from .query import All, And, Not, Or, Phrase, Range, Term
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: For queries on plain text: no frequent tokens left out, so that common words can be cues.
+PLAIN = IndexConfig(n_frequent=0)
+SHORT = IndexConfig(n_frequent=0, segment_size=50)
+FULL = IndexConfig()
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
+    docs = _table(spark, sf_dir, "documents")
+    if heads:
+        docs = docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    attributes = {"lang": "lang", "quality": "meta_rank", "source": "meta_norank"} if heads else None
+    return Index.build(docs.select("doc_id", "text", "lang", *(["source", "quality"] if heads else [])), config, attributes, lang="lang")
+
+
+# SQL building blocks
+
+_TOK = f"""tok AS (SELECT doc_id AS did, lang, list_filter(regexp_extract_all(lower(regexp_replace(text, '{ENTITY}', ' ', 'g')), '{TOKEN}'), lambda x: length(x) < 254) AS l FROM documents)"""
+
+
+def _base(size: int = 500, heads: bool = False) -> str:
+    """tok, pos (did, seg, pos, term), tpost, post (did, seg, term, kind), segs, norm."""
+    out = f"""{_TOK},
+flat AS (SELECT did, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS p FROM tok),
+pos AS (SELECT did, CAST(1 + p // {size} AS INTEGER) AS seg, CAST(p % {size} + 1 AS INTEGER) AS pos, term FROM flat),
+tpost AS (SELECT DISTINCT did, seg, term FROM pos)"""
+    if heads:
+        out += """,
+head AS (SELECT doc_id AS did, 0 AS seg, 'lang:' || lang AS term, 'lang' AS kind FROM documents WHERE lang IS NOT NULL
+  UNION SELECT doc_id, 0, 'source:' || source, 'meta_norank' FROM documents WHERE source IS NOT NULL
+  UNION SELECT doc_id, 0, 'quality:' || quality, 'meta_rank' FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+post AS (SELECT did, seg, term, 'token' AS kind FROM tpost UNION ALL SELECT did, seg, term, kind FROM head)"""
+    else:
+        out += """,
+post AS (SELECT did, seg, term, 'token' AS kind FROM tpost)"""
+    return out + """,
+segs AS (SELECT DISTINCT did, seg FROM post),
+norm AS (SELECT term, count(*) AS freq FROM post GROUP BY term)"""
+
+
+def _layer_sql(freq: str, limits: tuple[int, ...] = FULL.layers) -> str:
+    return "CASE " + " ".join(f"WHEN {freq} <= {m} THEN {i}" for i, m in enumerate(limits)) + f" ELSE {len(limits)} END"
+
+
+def _lexicon(n: int = 100) -> str:
+    """lex (term, kind, freq, lang, is_frequent, layer), lay: layered postings."""
+    return f"""lex0 AS (SELECT term, kind, count(*) AS freq, arg_min(lang, did) AS lang FROM post JOIN (SELECT doc_id AS did, lang FROM documents) USING (did) GROUP BY term, kind),
+lex1 AS (SELECT *, kind = 'token' AND row_number() OVER (PARTITION BY lang, kind ORDER BY freq DESC, term) <= {n} AS is_frequent FROM lex0),
+lex AS (SELECT *, CASE WHEN NOT is_frequent THEN {_layer_sql("freq")} END AS layer FROM lex1),
+lay AS (SELECT post.* FROM post WHERE term NOT IN (SELECT term FROM lex WHERE is_frequent))"""
+
+
+def _scores(cue_sql: str, layered: str = "post") -> str:
+    """cue (did, seg), cnt, scored (term, cnt, freq, score)."""
+    return f"""cue AS ({cue_sql}),
+cnt AS (SELECT term, kind, count(*) AS cnt FROM {layered} SEMI JOIN cue USING (did, seg) GROUP BY term, kind),
+scored AS (SELECT term, cnt, freq, least(1.0, cnt / (freq + (SELECT count(*) FROM cue) - cnt)) AS score FROM cnt JOIN norm USING (term))"""
+
+
+def register(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def _term(t: str) -> str:
+    return f"SELECT did, seg FROM post WHERE term = '{t}'"
+
+
+# tokens and index
+
+
+@register("tok_freq", f"WITH {_TOK} SELECT term, count(*) AS n FROM (SELECT unnest(l) AS term FROM tok) GROUP BY term")
+def tok_freq(spark, d):
+    return _index(spark, d).positions.groupBy("term").agg(F.count("*").alias("n"))
+
+
+@register("tok_doc_freq", f"WITH {_base()} SELECT term, count(DISTINCT did) AS n_docs FROM tpost GROUP BY term")
+def tok_doc_freq(spark, d):
+    return _index(spark, d).positions.select("did", "term").distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
+@register("segments", f"WITH {_base(50)} SELECT did, seg, count(*) AS n_tokens FROM pos GROUP BY did, seg")
+def segments(spark, d):
+    return _index(spark, d, SHORT).segments
+
+
+@register("positions", f"WITH {_base(50)} SELECT did, seg, pos, term FROM pos")
+def positions(spark, d):
+    return _index(spark, d, SHORT).positions
+
+
+@register("postings", f"WITH {_base(50)} SELECT did, seg, term FROM tpost")
+def postings(spark, d):
+    return _index(spark, d, SHORT).text_postings
+
+
+@register("long_token_filter", f"WITH {_TOK.replace('< 254', '< 8')} SELECT did, CAST(len(l) AS INTEGER) AS n FROM tok")
+def long_token_filter(spark, d):
+    from ..functions.tokens import tokens
+
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("did"), F.size(tokens(F.col("text"), 8)).alias("n"))
+
+
+@register("head_segments", f"WITH {_base(heads=True)} SELECT did, seg, term, kind FROM head")
+def head_segments(spark, d):
+    return _index(spark, d, heads=True).head
+
+
+@register("norm_table", f"WITH {_base(heads=True)} SELECT term, freq FROM norm")
+def norm_table(spark, d):
+    return _index(spark, d, heads=True).norm
+
+
+@register("norm_merge", f"WITH {_base()} SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT did % 4 AS block, term, count(*) AS freq FROM post GROUP BY ALL) GROUP BY term")
+def norm_merge(spark, d):
+    return merge_norms(_index(spark, d).postings.groupBy((F.col("did") % 4).alias("block"), "term").agg(F.count("*").alias("freq")))
+
+
+@register("lexicon", f"WITH {_base(heads=True)}, {_lexicon()} SELECT term, kind, freq, lang, is_frequent, coalesce(layer, -1) AS layer FROM lex")
+def lexicon(spark, d):
+    return _index(spark, d, FULL, heads=True).lexicon.withColumn("layer", F.coalesce("layer", F.lit(-1)))
+
+
+@register("lexicon_frequent", f"WITH {_base()}, {_lexicon(20)} SELECT term, lang, freq FROM lex WHERE is_frequent")
+def lexicon_frequent(spark, d):
+    return _index(spark, d, IndexConfig(n_frequent=20)).lexicon.where("is_frequent").select("term", "lang", "freq")
+
+
+@register("layers_hist", f"WITH {_base()}, {_lexicon()} SELECT coalesce(layer, -1) AS layer, count(*) AS n FROM lex GROUP BY layer")
+def layers_hist(spark, d):
+    return _index(spark, d, FULL).lexicon.groupBy(F.coalesce("layer", F.lit(-1)).alias("layer")).agg(F.count("*").alias("n"))
+
+
+@register("layer_members", f"WITH {_base()}, {_lexicon()} SELECT did, seg, term FROM post SEMI JOIN (SELECT term FROM lex WHERE layer = 3) USING (term)")
+def layer_members(spark, d):
+    return _index(spark, d, FULL).forward(3)
+
+
+@register("index_info", f"WITH {_base(heads=True)} SELECT (SELECT count(DISTINCT did) FROM segs) AS n_docs, (SELECT count(*) FROM segs) AS n_segments, (SELECT count(*) FROM norm) AS n_terms")
+def index_info(spark, d):
+    return _index(spark, d, heads=True).info
+
+
+@register("inverted_list", f"WITH {_base(50)} {_term('with')}")
+def inverted_list(spark, d):
+    return _index(spark, d, SHORT).inverted("With")
+
+
+@register("inverted_docs", f"WITH {_base()} SELECT DISTINCT did FROM post WHERE term = 'with'")
+def inverted_docs(spark, d):
+    return _index(spark, d).inverted("with", by_document=True)
+
+
+@register("doc_bag", f"WITH {_base(50)} SELECT did, list_sort(list(term)) AS terms FROM post WHERE did = 7 GROUP BY did")
+def doc_bag(spark, d):
+    return _index(spark, d, SHORT).bag(7)
+
+
+@register("segment_decode", f"WITH {_base(50)} SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS text FROM pos WHERE seg = 2 GROUP BY did, seg")
+def segment_decode(spark, d):
+    ix = _index(spark, d, SHORT)
+    return ix.decode(ix.segments.where("seg = 2"))
+
+
+@register("frozen_vocabulary", f"WITH {_base()}, known AS (SELECT DISTINCT term FROM pos WHERE did % 2 = 0) SELECT did, count(*) AS n FROM pos SEMI JOIN known USING (term) WHERE did % 2 = 1 GROUP BY did")
+def frozen_vocabulary(spark, d):
+    from ..operators.index import frozen
+
+    p = _index(spark, d).positions
+    return frozen(p.where("did % 2 = 1"), p.where("did % 2 = 0").select("term").distinct()).groupBy("did").agg(F.count("*").alias("n"))
+
+
+# retrieval
+
+
+def _hits(name: str, node, sql: str, config: IndexConfig = PLAIN, size: int = 500, heads: bool = False, by_document: bool = False) -> None:
+    register(name, f"WITH {_base(size, heads)} {sql}")(lambda spark, d: hits.hits(_index(spark, d, config, heads), node, by_document))
+
+
+_hits("hits_term", Term("with"), _term("with"))
+_hits("hits_and", And((Term("with"), Term("by"))), f"{_term('with')} INTERSECT {_term('by')}", SHORT, 50)
+_hits("hits_and_not", And((Term("with"), Not(Term("by")))), f"{_term('with')} EXCEPT {_term('by')}", SHORT, 50)
+_hits("hits_not", Not(Term("with")), f"SELECT did, seg FROM segs EXCEPT {_term('with')}", heads=True)
+_hits("hits_all", All(), "SELECT did, seg FROM segs", heads=True)
+_hits("hits_or", Or((Term("thon"), And((Term("with"), Term("by"))))), f"{_term('thon')} UNION ({_term('with')} INTERSECT {_term('by')})")
+_hits("hits_range", Range("tha", "thd"), "SELECT DISTINCT did, seg FROM post WHERE term BETWEEN 'tha' AND 'thd'")
+_hits("hits_attribute", And((Term("lang:en"), Not(Term("quality:0")))), f"{_term('lang:en')} EXCEPT {_term('quality:0')}", heads=True)
+_hits(
+    "hits_doc_mode", And((Term("lang:en"), Term("with"), Not(Term("by")))),
+    "SELECT did, seg FROM segs WHERE did IN (SELECT did FROM post WHERE term = 'lang:en' INTERSECT SELECT did FROM post WHERE term = 'with' EXCEPT SELECT did FROM post WHERE term = 'by')", heads=True, by_document=True,
+)
+
+
+def _phrase(terms: tuple[str, ...], size: int) -> str:
+    joins = " ".join(f"JOIN flat AS f{i} ON f{i}.did = f0.did AND f{i}.p = f0.p + {i} AND f{i}.term = '{t}'" for i, t in enumerate(terms) if i)
+    return f"SELECT DISTINCT f0.did, CAST(1 + (f0.p + {len(terms) - 1}) // {size} AS INTEGER) AS seg FROM flat AS f0 {joins} WHERE f0.term = '{terms[0]}'"
+
+
+_hits("hits_phrase", Phrase(("of", "the")), _phrase(("of", "the"), 500))
+_hits("hits_phrase_cross_segment", Phrase(("of", "the", "of")), _phrase(("of", "the", "of"), 50), SHORT, 50)
+_hits("hits_phrase_and", And((Phrase(("of", "the")), Term("with"))), f"SELECT * FROM ({_phrase(('of', 'the'), 50)}) INTERSECT {_term('with')}", SHORT, 50)
+
+
+_EXPANSION = "SELECT DISTINCT left(term, 4) AS term, term AS expanded FROM post WHERE length(term) BETWEEN 5 AND 6 AND kind = 'token'"
+
+
+def _expansion(ix: Index) -> DataFrame:
+    return ix.text_postings.where("length(term) between 5 and 6").select(F.substring("term", 1, 4).alias("term"), F.col("term").alias("expanded")).distinct()
+
+
+@register("hits_expanded", f"WITH {_base()}, e AS ({_EXPANSION}) SELECT did, seg FROM post WHERE term = 'with' OR term IN (SELECT expanded FROM e WHERE term = 'with') GROUP BY did, seg")
+def hits_expanded(spark, d):
+    ix = _index(spark, d)
+    return hits.hits(ix, Term("with"), expansion=_expansion(ix))
+
+
+@register("expand_terms", f"WITH {_base()}, e AS ({_EXPANSION}) SELECT 'with' AS term UNION SELECT 'thon' UNION SELECT expanded FROM e WHERE term IN ('with', 'thon')")
+def expand_terms(spark, d):
+    return expand.expand(spark.createDataFrame([("with",), ("thon",)], "term string"), _expansion(_index(spark, d)))
+
+
+@register("index_time_expansion", f"WITH {_base()}, e AS ({_EXPANSION}) SELECT term, count(*) AS n FROM (SELECT did, seg, term, kind FROM post UNION SELECT did, seg, expanded, 'lemma' FROM post JOIN e USING (term)) GROUP BY term")
+def index_time_expansion(spark, d):
+    ix = _index(spark, d)
+    return expand.add_to_postings(ix.postings, _expansion(ix)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+# scores
+
+_CUE = _term("with")
+
+
+def _cue(ix: Index) -> DataFrame:
+    return hits.hits(ix, Term("with"))
+
+
+@register("cueset", f"WITH {_base()}, {_lexicon()} SELECT DISTINCT did, seg FROM post WHERE term IN (SELECT term FROM lex WHERE NOT is_frequent AND term IN ('with', 'thatre', 'ouer', 'anon'))")
+def cueset(spark, d):
+    return score.cueset(_index(spark, d, FULL), ["with", "thatre", "ouer", "anon"])
+
+
+@register("cooccur_counts", f"WITH {_base()}, {_lexicon()}, {_scores(_CUE, 'lay')} SELECT term, kind, cnt FROM cnt")
+def cooccur_counts(spark, d):
+    ix = _index(spark, d, FULL)
+    return score.counts(ix, _cue(ix))
+
+
+@register("score_jaccard", f"WITH {_base()}, {_scores(_CUE)} SELECT term, cnt, freq, round(score, 9) AS score FROM scored")
+def score_jaccard(spark, d):
+    ix = _index(spark, d)
+    return score.scores(ix, _cue(ix)).withColumn("score", F.round("score", 9))
+
+
+@register("score_pqw", f"WITH {_base()}, {_scores(_CUE)} SELECT term, cnt, freq, round(cnt / freq, 9) AS score FROM scored")
+def score_pqw(spark, d):
+    ix = _index(spark, d)
+    return score.normalise(score.counts(ix, _cue(ix)), ix.norm, None).withColumn("score", F.round("score", 9))
+
+
+@register(
+    "score_meta",
+    f"WITH {_base(heads=True)}, {_scores(_term('lang:fr'))} SELECT term, cnt, freq, round(least(1.0, cnt / (freq + 1000 - cnt)), 9) AS score FROM scored",
+)
+def score_meta(spark, d):
+    ix = _index(spark, d, heads=True)
+    cues = hits.hits(ix, Term("lang:fr"))
+    return score.normalise(score.counts(ix, cues), ix.norm, cues, F.lit(1000)).withColumn("score", F.round("score", 9))
+
+
+@register("score_quantised", f"WITH {_base()}, {_scores(_CUE)} SELECT term, round(greatest(1, floor(round(score, 9) / 1e-3)) * 1e-3, 6) AS score FROM scored")
+def score_quantised(spark, d):
+    ix = _index(spark, d)
+    return score.scores(ix, _cue(ix)).select("term", F.round(score.quantise(F.round("score", 9), 1e-3), 6).alias("score"))
+
+
+def _layer_select_sql() -> str:
+    limits = [*enumerate(FULL.layers), (len(FULL.layers), FULL.layers[-1])]
+    cases = " OR ".join(f"(layer = {i} AND least({m}, q) / greatest({m}, q) > {FULL.layer_threshold})" for i, m in limits)
+    return f"SELECT term, layer FROM lex, (SELECT count(*) AS q FROM cue) WHERE {cases}"
+
+
+@register("layer_select", f"WITH {_base()}, {_lexicon()}, {_scores(_term('thea'))} {_layer_select_sql()}")
+def layer_select(spark, d):
+    ix = _index(spark, d, FULL)
+    q = hits.hits(ix, Term("thea")).agg(F.count("*").alias("q"))
+    return ix.lexicon.crossJoin(F.broadcast(q)).where(score.in_selected_layers(F.col("q"), F.col("layer"))).select("term", "layer")
+
+
+@register("top_ixemes", f"WITH {_base()}, {_scores(_CUE)} SELECT term, round(score, 9) AS score FROM scored ORDER BY round(score, 9) DESC, term LIMIT 25")
+def top_ixemes(spark, d):
+    ix = _index(spark, d)
+    return score.top_terms(score.scores(ix, _cue(ix)).select("term", F.round("score", 9).alias("score")), 25)
+
+
+@register("score_list", f"WITH {_base()}, {_scores(_CUE)}, w AS (SELECT unnest(['the', 'by', 'by', 'nosuchword', 'with']) AS term) SELECT round(sum(score), 6) AS score FROM w LEFT JOIN scored USING (term)")
+def score_list(spark, d):
+    ix = _index(spark, d)
+    words = spark.createDataFrame([(w,) for w in ("the", "by", "by", "nosuchword", "with")], "term string")
+    return score.score_list(score.scores(ix, _cue(ix)), words).select(F.round("score", 6).alias("score"))
+
+
+# ranking
+
+
+def _rank_sql(hit_sql: str, layered: str = "post", prior: str = "1.0", top: str = "", depth: int = 1000) -> str:
+    limit = f"WHERE score > 0 ORDER BY round(score, 9) DESC, did, seg LIMIT {top}" if top else ""
+    return f"""hit AS ({hit_sql}),
+segscore0 AS (SELECT did, seg, {prior} * sum(CASE WHEN kind = 'meta_norank' THEN 0 ELSE coalesce(score, 0) END) AS score FROM {layered} AS l SEMI JOIN hit USING (did, seg) LEFT JOIN scored USING (term) GROUP BY did, seg),
+segscore AS (SELECT * FROM segscore0 {limit})
+SELECT did, round(sum(score), 6) AS score FROM segscore GROUP BY did ORDER BY round(sum(score), 6) DESC, did LIMIT {depth}"""
+
+
+@register("rank_exact", f"WITH {_base()}, {_scores(_CUE)}, {_rank_sql(_term('by'))}")
+def rank_exact(spark, d):
+    ix = _index(spark, d)
+    return rank.rank(ix, hits.hits(ix, Term("by")), score.scores(ix, _cue(ix)))
+
+
+@register("rank_layered", f"WITH {_base()}, {_lexicon()}, {_scores(_CUE, 'lay')}, {_rank_sql(_term('by'), 'lay')}")
+def rank_layered(spark, d):
+    ix = _index(spark, d, FULL)
+    return rank.rank(ix, hits.hits(ix, Term("by")), score.scores(ix, _cue(ix)))
+
+
+@register("rank_top_segments", f"WITH {_base(50)}, {_scores(_CUE)}, {_rank_sql(_term('by'), top='200')}")
+def rank_top_segments(spark, d):
+    ix = _index(spark, d, SHORT)
+    return rank.rank(ix, hits.hits(ix, Term("by")), score.scores(ix, _cue(ix)), mode="top_segments", top_segments=200)
+
+
+@register("rank_attributes", f"WITH {_base(heads=True)}, {_scores(_term('lang:fr'))}, {_rank_sql('SELECT did, seg FROM segs WHERE seg = 0')}")
+def rank_attributes(spark, d):
+    ix = _index(spark, d, heads=True)
+    return rank.rank(ix, ix.segments.where("seg = 0").select("did", "seg"), score.scores(ix, hits.hits(ix, Term("lang:fr"))))
+
+
+_TOPWORDS = "topw AS (SELECT term FROM (SELECT term, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, term) AS k FROM lex0 WHERE kind = 'token') WHERE k <= 30)"
+_PRIOR = f"""{_TOPWORDS},
+win AS (SELECT did, seg, pos, max(CASE WHEN term IN (SELECT term FROM topw) THEN 1 ELSE 0 END) OVER (PARTITION BY did, seg ORDER BY pos ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING) AS hit FROM pos),
+prior AS (SELECT did, coalesce(avg(hit) FILTER (WHERE pos > 10), 0.0) AS prior FROM win GROUP BY did)"""
+_SMALL = IndexConfig(segment_size=50)
+
+
+def _priors(ix: Index) -> DataFrame:
+    return prior.normality(ix, prior.top_words(ix, 30))
+
+
+@register("top_words", f"WITH {_base()}, {_lexicon()}, {_TOPWORDS} SELECT term FROM topw")
+def top_words(spark, d):
+    return prior.top_words(_index(spark, d, FULL), 30)
+
+
+@register("normality_prior", f"WITH {_base(50)}, {_lexicon()}, {_PRIOR} SELECT did, round(prior, 9) AS prior FROM prior")
+def normality_prior(spark, d):
+    return _priors(_index(spark, d, _SMALL)).withColumn("prior", F.round("prior", 9))
+
+
+@register("prior_hist", f"WITH {_base(50)}, {_lexicon()}, {_PRIOR} SELECT CAST(floor(prior * 10) AS INTEGER) AS bucket, count(*) AS n FROM prior GROUP BY bucket")
+def prior_hist(spark, d):
+    return prior.histogram(_priors(_index(spark, d, _SMALL)))
+
+
+@register("prior_filter", f"WITH {_base(50)}, {_lexicon()}, {_PRIOR} SELECT did, seg FROM post WHERE term = 'with' AND did IN (SELECT did FROM prior WHERE prior >= 0.9)")
+def prior_filter(spark, d):
+    ix = _index(spark, d, _SMALL)
+    return prior.normal_only(hits.hits(ix, Term("with")), _priors(ix), 0.9)
+
+
+@register("rank_prior", f"WITH {_base(50)}, {_lexicon()}, {_PRIOR}, {_scores(_CUE, 'lay')}, {_rank_sql(_term('by'), 'lay JOIN prior USING (did)', 'any_value(prior)').replace('FROM lay JOIN prior USING (did) AS l', 'FROM (SELECT * FROM lay JOIN prior USING (did)) AS l')}")
+def rank_prior(spark, d):
+    ix = _index(spark, d, _SMALL)
+    return rank.rank(ix, hits.hits(ix, Term("by")), score.scores(ix, _cue(ix)), _priors(ix))
+
+
+@register("merge_ranked", f"WITH {_base()}, {_scores(_CUE)}, {_rank_sql(_term('by'), depth=15)}")
+def merge_ranked(spark, d):
+    ix = _index(spark, d)
+    cues = score.scores(ix, _cue(ix))
+    by = hits.hits(ix, Term("by"))
+    return rank.merge_ranked([rank.rank(ix, by.where(F.col("did") % 3 == i), cues, depth=15) for i in range(3)], 15)
+
+
+@register("paging", f"WITH {_base()}, {_scores(_CUE)}, r AS (WITH {_rank_sql(_term('by'))}) SELECT did, score FROM r ORDER BY score DESC, did LIMIT 10 OFFSET 20")
+def paging(spark, d):
+    return present.page(rank_exact(spark, d), 20)
+
+
+@register("hit_count", f"WITH {_base()} SELECT count(*) AS n FROM post WHERE term = 'by'")
+def hit_count(spark, d):
+    return hits.hits(_index(spark, d), Term("by")).agg(F.count("*").alias("n"))
+
+
+# duplicates and sites
+
+_SITE = r"CASE WHEN contains(h, '.') THEN h END"
+_SITES = rf"""sites AS (SELECT page_id AS did, {_SITE} AS site FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS h FROM pages))"""
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select(F.col("page_id").alias("did"), clean.site(F.col("url")).alias("site"))
+
+
+@register("seg_dedup", f"WITH {_base(50)}, t AS (SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS x FROM pos GROUP BY did, seg) SELECT m.did AS did, m.seg AS seg FROM (SELECT max({{'did': did, 'seg': seg}}) AS m FROM t GROUP BY x)")
+def seg_dedup(spark, d):
+    return dedup.one_per_content(_index(spark, d, SHORT))
+
+
+@register("site_one", f"WITH {_base()}, {_SITES}, h AS ({_term('with')}), b AS (SELECT h.*, site FROM h LEFT JOIN sites USING (did)) SELECT m.did AS did, m.seg AS seg FROM (SELECT max({{'did': did, 'seg': seg}}) AS m FROM b WHERE site IS NOT NULL GROUP BY site) UNION ALL SELECT did, seg FROM b WHERE site IS NULL")
+def site_one(spark, d):
+    return dedup.one_per_site(hits.hits(_index(spark, d), Term("with")), _sites(spark, d))
+
+
+@register("site_only", f"WITH {_base()}, {_SITES} SELECT did, seg FROM post WHERE term = 'with' AND did IN (SELECT did FROM sites WHERE site = (SELECT min(site) FROM sites))")
+def site_only(spark, d):
+    sites = _sites(spark, d)
+    first = sites.agg(F.min("site").alias("site"))
+    return hits.hits(_index(spark, d), Term("with")).join(sites.join(F.broadcast(first), "site", "left_semi"), "did", "left_semi")
+
+
+@register(
+    "doc_dedup_md5",
+    f"""WITH {_base()}, {_scores(_CUE)}, {_SITES}, r AS (WITH {_rank_sql(_term('by'))}),
+j AS (SELECT r.*, md5(coalesce(text, '')) AS digest, coalesce(site, 'did:' || did) AS own FROM r JOIN documents ON doc_id = did LEFT JOIN sites USING (did)),
+s AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, did) = 1)
+SELECT did, score FROM s QUALIFY row_number() OVER (PARTITION BY digest ORDER BY score DESC, did) = 1""",
+)
+def doc_dedup_md5(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("did"), F.col("text").alias("body")).join(_sites(spark, d), "did", "left")
+    return dedup.one_result_each(rank_exact(spark, d), docs)
+
+
+# ingest cleaning
+
+
+def _chain(column: str, steps) -> str:
+    for pattern, new in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')".replace("\\n'", "' || chr(10) || '") if new == "\n" else f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return column
+
+
+_STRIPPED = _chain("html", clean.HTML_STEPS)
+
+
+def _entities_sql(x: str) -> str:
+    for name, c in clean.ENTITIES:
+        x = f"replace({x}, '{name}', '{c.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@register("html_strip", f"SELECT page_id, {_STRIPPED} AS text FROM pages")
+def html_strip(spark, d):
+    return _table(spark, d, "pages").select("page_id", clean.strip_html(F.col("html")).alias("text"))
+
+
+@register("html_text", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_entities_sql(_STRIPPED)}, '[ \t]+', ' ', 'g'), ' ?\n\s*', chr(10), 'g'), ' ') AS text FROM pages")
+def html_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", clean.normalise_space(clean.expand_entities(clean.strip_html(F.col("html")))).alias("text"))
+
+
+@register("html_title", "SELECT page_id, translate(substr(regexp_extract(html, '(?is)<title>([^<]*)', 1), 1, 1024), chr(10) || chr(13), '  ') AS title FROM pages")
+def html_title(spark, d):
+    return _table(spark, d, "pages").select("page_id", clean.title(F.col("html")).alias("title"))
+
+
+@register("html_check", rf"SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<(?:{clean._TAG})[\s/>]')")
+def html_check(spark, d):
+    return clean.only_html(_table(spark, d, "pages")).select("page_id")
+
+
+@register("short_title", "SELECT page_id, CASE WHEN length(t) > 50 OR length(t) = 0 THEN substr(t, 1, 50) || '...' ELSE t END AS title FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title>([^<]*)', 1)) AS t FROM pages)")
+def short_title(spark, d):
+    return _table(spark, d, "pages").select("page_id", present.short_title(F.regexp_extract("html", "(?is)<title>([^<]*)", 1)).alias("title"))
+
+
+@register("url_site", f"WITH {_SITES} SELECT did, site FROM sites")
+def url_site(spark, d):
+    return _sites(spark, d)
+
+
+@register("url_domain2", rf"WITH {_SITES} SELECT did, regexp_extract(site, '([^.]+\.[^.]+)$', 1) AS domain FROM sites")
+def url_domain2(spark, d):
+    return _table(spark, d, "pages").select(F.col("page_id").alias("did"), clean.domain(F.col("url")).alias("domain"))
+
+
+@register("charset_class", r"SELECT doc_id, CASE WHEN text IS NULL OR regexp_matches(text, '[\x00-\x08\x0e-\x1f]') THEN 'unknown' WHEN NOT regexp_matches(text, '[^\x00-\x7f]') THEN 'ascii' WHEN NOT regexp_matches(text, '[^\x00-\x{ff}]') THEN 'latin1' ELSE 'extended' END AS charset FROM documents")
+def charset_class(spark, d):
+    return _table(spark, d, "documents").select("doc_id", clean.charset_class(F.col("text")).alias("charset"))
+
+
+@register("size_filter", "SELECT doc_id FROM documents WHERE strlen(text) <= 2000")
+def size_filter(spark, d):
+    return clean.limit_size(_table(spark, d, "documents"), most=2000).select("doc_id")
+
+
+# language profiles
+
+_GRAMS = """grams AS (SELECT {key}, unnest(list_distinct([0])) AS z, w FROM (SELECT {key}, unnest(list_filter(string_split(regexp_replace(lower({text}), '[^a-zà-ÿ]+', '_', 'g'), '_'), lambda x: x <> '')) AS w FROM documents)),
+g AS (SELECT {key}, substr(w, i, n) AS gram FROM (SELECT {key}, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM grams, (SELECT unnest(range(1, 5)) AS n) WHERE length(w) >= n)),
+p AS (SELECT {key}, gram, CAST(k - 1 AS INTEGER) AS place FROM (SELECT {key}, gram, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, gram) AS k FROM g GROUP BY {key}, gram) WHERE k <= 100)"""
+
+
+def _profiles(prefix: str, key: str, text: str) -> str:
+    out = _GRAMS.format(key=key, text=text)
+    for name in ("grams", "g", "p"):
+        for was, new in ((f"{name} AS (", f"{prefix}{name} AS ("), (f"FROM {name},", f"FROM {prefix}{name},"), (f"FROM {name} GROUP", f"FROM {prefix}{name} GROUP")):
+            out = out.replace(was, new)
+    return out
+
+
+@register("lang_train", f"WITH {_profiles('', 'lang', 'text')} SELECT lang, gram, place FROM p")
+def lang_train(spark, d):
+    return language.train(_table(spark, d, "documents"))
+
+
+@register("lang_profile", f"WITH {_profiles('', 'doc_id', 'substr(text, 1, 1024)')} SELECT doc_id AS did, gram, place FROM p")
+def lang_profile(spark, d):
+    return language.profiles(_table(spark, d, "documents").select(F.col("doc_id").alias("did"), "text"), ["did"])
+
+
+@register(
+    "lang_classify",
+    f"""WITH {_profiles('m', 'lang', 'text')}, {_profiles('d', 'doc_id', 'substr(text, 1, 1024)')},
+far AS (SELECT dp.doc_id AS did, l.lang, sum(coalesce(abs(dp.place - mp.place), 500)) AS distance FROM dp, (SELECT DISTINCT lang FROM mp) AS l LEFT JOIN mp ON mp.lang = l.lang AND mp.gram = dp.gram GROUP BY dp.doc_id, l.lang)
+SELECT did, lang, CAST(distance AS BIGINT) AS distance FROM far QUALIFY row_number() OVER (PARTITION BY did ORDER BY distance, lang) = 1""",
+)
+def lang_classify(spark, d):
+    docs = _table(spark, d, "documents")
+    return language.classify(docs, language.train(docs))
+
+
+# presentation
+
+_SENTENCES = rf"""sent AS (SELECT did, unnest(l) AS sentence, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n FROM (SELECT doc_id AS did, regexp_extract_all(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '[\[\]|]', '', 'g'), '{present.SENTENCE}') AS l FROM documents)),
+sw AS (SELECT did, n, sentence, list_filter(regexp_extract_all(lower(regexp_replace(sentence, '{ENTITY}', ' ', 'g')), '{TOKEN}'), lambda x: length(x) < 254) AS t FROM sent),
+st AS (SELECT did, n, unnest(t) AS term FROM sw),
+ss AS (SELECT did, n, sum(score) AS score FROM st JOIN scored USING (term) GROUP BY did, n),
+sscore AS (SELECT did, n, sentence, round(CASE WHEN list_contains(t, 'by') THEN 1.0 ELSE 0.0 END + coalesce(score, 0), 6) AS score FROM sw LEFT JOIN ss USING (did, n))"""
+
+
+@register("sentence_scores", f"WITH {_base()}, {_scores(_CUE)}, {_SENTENCES} SELECT did, n, sentence, score FROM sscore")
+def sentence_scores(spark, d):
+    ix = _index(spark, d)
+    return present.sentence_scores(_table(spark, d, "documents"), ["by"], score.scores(ix, _cue(ix)))
+
+
+@register(
+    "snippets",
+    rf"""WITH {_base()}, {_scores(_CUE)}, {_SENTENCES},
+o AS (SELECT did, n, trim(substr(sentence, 2)) AS s, row_number() OVER (PARTITION BY did ORDER BY score DESC, n) AS k FROM sscore),
+z AS (SELECT *, coalesce(sum(length(s) + 3) OVER (PARTITION BY did ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(s) + 1 AS size FROM o)
+SELECT did, string_agg(regexp_replace(s, '(?i)\b(by)\b', '<b>\1</b>', 'g') || '.. ', '' ORDER BY k) AS snippet FROM z WHERE size <= 500 GROUP BY did""",
+)
+def snippets(spark, d):
+    return present.snippets(sentence_scores(spark, d), ["by"])
+
+
+@register("explain_scores", f"WITH {_base()}, {_scores(_CUE)} SELECT term, printf('%.3f', score) AS shown FROM (SELECT term, round(score, 9) AS score FROM scored ORDER BY round(score, 9) DESC, term LIMIT 100)")
+def explain_scores(spark, d):
+    ix = _index(spark, d)
+    return present.explain_scores(score.scores(ix, _cue(ix)).select("term", F.round("score", 9).alias("score")))
+
+
+# attributes of tables other than texts
+
+
+def _attributes(rows: DataFrame) -> Index:
+    """An index of (did, term) rows: each did one segment of attributes."""
+    ix = Index(rows.select("did", F.lit(1).alias("seg"), F.lit(1).alias("pos"), "term"), PLAIN)
+    return ix
+
+
+def _attribute_sql(rows: str, cue: str) -> str:
+    return f"WITH post AS (SELECT DISTINCT did, 1 AS seg, term, 'token' AS kind FROM ({rows})), norm AS (SELECT term, count(*) AS freq FROM post GROUP BY term), {_scores(_term(cue))} SELECT term, cnt, freq, round(score, 9) AS score FROM scored"
+
+
+def _attribute_scores(rows: DataFrame, cue: str) -> DataFrame:
+    ix = _attributes(rows)
+    return score.scores(ix, hits.hits(ix, Term(cue))).withColumn("score", F.round("score", 9))
+
+
+@register("basket_scores", _attribute_sql("SELECT l_orderkey AS did, 'brand:' || p_brand AS term FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT l_orderkey, 'flag:' || l_returnflag FROM lineitem", "flag:R"))
+def basket_scores(spark, d):
+    lines, parts = _table(spark, d, "lineitem"), _table(spark, d, "part")
+    brands = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("did"), F.concat(F.lit("brand:"), "p_brand").alias("term"))
+    return _attribute_scores(brands.unionAll(lines.select("l_orderkey", F.concat(F.lit("flag:"), "l_returnflag"))), "flag:R")
+
+
+@register("event_scores", _attribute_sql("SELECT user_id AS did, event_type || ':' || CAST(floor(value / 10) AS BIGINT) AS term FROM events UNION ALL SELECT user_id, event_type FROM events", "purchase"))
+def event_scores(spark, d):
+    e = _table(spark, d, "events")
+    binned = e.select(F.col("user_id").alias("did"), F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 10).cast("string")).alias("term"))
+    return _attribute_scores(binned.unionAll(e.select("user_id", "event_type")), "purchase")
+
+
+@register("order_scores", _attribute_sql("SELECT o_orderkey AS did, 'prio:' || o_orderpriority AS term FROM orders UNION ALL SELECT o_orderkey, 'nation:' || n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT o_orderkey, 'seg:' || c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey", "seg:BUILDING"))
+def order_scores(spark, d):
+    orders, customers, nations = (_table(spark, d, t) for t in ("orders", "customer", "nation"))
+    both = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    rows = orders.select(F.col("o_orderkey").alias("did"), F.concat(F.lit("prio:"), "o_orderpriority").alias("term"))
+    rows = rows.unionAll(both.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.concat(F.lit("nation:"), "n_name")))
+    return _attribute_scores(rows.unionAll(both.select("o_orderkey", F.concat(F.lit("seg:"), "c_mktsegment"))), "seg:BUILDING")
+
+
+@register("chat_hits", _base().join(["WITH ", " SELECT conv, turn FROM (SELECT did // 1000 AS conv, did % 1000 AS turn FROM post WHERE term = 'the' INTERSECT SELECT did // 1000, did % 1000 FROM post WHERE term = 'of')"]).replace("doc_id AS did, lang", "conv_id * 1000 + turn AS did").replace("FROM documents", "FROM conversations"))
+def chat_hits(spark, d):
+    turns = _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    found = hits.hits(Index.build(turns, PLAIN), And((Term("the"), Term("of"))), by_document=False)
+    return found.select(F.floor(F.col("did") / 1000).alias("conv"), (F.col("did") % 1000).alias("turn")).distinct()
+
+
+@register(
+    "contamination_phrase",
+    f"""WITH {_TOK}, b AS (SELECT item_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '{ENTITY}', ' ', 'g')), '{TOKEN}'), lambda x: length(x) < 254) AS l FROM benchmark),
+dg AS (SELECT DISTINCT did, array_to_string(l[i : i + 7], ' ') AS g FROM (SELECT did, l, unnest(range(1, len(l) - 6)) AS i FROM tok)),
+bg AS (SELECT DISTINCT item_id, array_to_string(l[i : i + 7], ' ') AS g FROM (SELECT item_id, l, unnest(range(1, len(l) - 6)) AS i FROM b))
+SELECT item_id, did, count(*) AS n FROM dg JOIN bg USING (g) GROUP BY item_id, did""",
+)
+def contamination_phrase(spark, d):
+    from ..functions.tokens import tokens
+
+    def grams(rows: DataFrame, key: str) -> DataFrame:
+        t = rows.select(F.col(key), tokens(F.col("text")).alias("l")).where(F.size("l") >= 8)
+        return t.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - 7), lambda i: F.array_join(F.slice("l", i, 8), " "))).alias("g")).distinct()
+
+    docs = grams(_table(spark, d, "documents").withColumnRenamed("doc_id", "did"), "did")
+    return docs.join(grams(_table(spark, d, "benchmark"), "item_id"), "g").groupBy("item_id", "did").agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Documents with the key ``by``, ordered by the theme of the cue ``with``."""
+    return rank_exact(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
