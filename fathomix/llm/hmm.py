@@ -29,6 +29,8 @@ from .text import NUMBER, SPACE, chunks, find, kinds, lowered, merge_counts, mix
 
 #: Tokens whose recursions run side by side (bounds memory).
 BLOCK = 400_000
+#: Tokens of a partition from which blocks are made.
+GATHER = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -89,8 +91,22 @@ def vocabulary(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndar
         for a in range(0, len(k), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["hash", "n"])
 
-    counts = map_partition(docs.select("text"), work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "hash").limit(settings.vocabulary).toPandas()
+    counts = cut(map_partition(docs.select("text"), work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    # how many tokens are as frequent: small, and tells from which count on they fit
+    times = counts.groupBy("n").count().orderBy(F.desc("n")).collect()
+    times_of = {r["n"]: r["count"] for r in times}
+    least, room = 0, settings.vocabulary
+    for r in times:
+        room -= r["count"]
+        if room < 0:
+            least = r["n"]
+            break
+    top = counts.where(F.col("n") > least)
+    if room < 0:
+        # of those tied at the last place the smallest hashes
+        tied = room + times_of[least]
+        top = top.unionAll(counts.where(F.col("n") == least).orderBy("hash").limit(tied))
+    top = top.toPandas()
     k, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(k)
     return k[order], n[order]
@@ -201,7 +217,7 @@ def update(model: Model, counts: Counts, smoothing: float) -> Model:
     return Model(model.words, share(counts.start, 0), share(counts.step, 1), share(counts.emit, 0))
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray]:
+def _documents(batches: list[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray]:
     """Ids, symbols and offsets of encoded rows."""
     ids, sym, size = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for b in batches:
@@ -212,6 +228,19 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.
     return ids, np.concatenate(sym), np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together until they hold GATHER tokens: enough to run side by side, and memory doesn't grow with the partition."""
+    some, n = [], 0
+    for b in batches:
+        some.append(b)
+        n += len(b.column(1).flatten())
+        if n >= GATHER:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def encoded(docs: DataFrame, words: np.ndarray, settings: Settings) -> DataFrame:
     """(doc_id, symbols) of each document, null for a null text."""
 
@@ -233,9 +262,8 @@ def one_round(rows: DataFrame, model: Model) -> Counts:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        # a batch at a time, so that memory doesn't grow with the partition
-        for b in batches:
-            _, sym, offsets = _documents(iter([b]))
+        for some in _gathered(batches):
+            _, sym, offsets = _documents(some)
             c = expected(model, sym, offsets)
             if total is None:
                 total = c
@@ -288,14 +316,15 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     rows = cut(encoded(texts, words, settings))
     model, _ = train(rows, words, counts, settings)
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, sym, offsets = _documents(iter([batch]))
-        n, ll = np.diff(offsets), forward(model, sym, offsets)
-        null = ~np.asarray(batch.column(1).is_valid())
-        bits = -ll / np.maximum(n, 1) / np.log(2)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, mask=null), pa.array(ll, mask=null), pa.array(bits, mask=null | (n == 0))],
-            names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"],
-        )
-
-    return map_batches(rows, work, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches):
+            ids, sym, offsets = _documents(some)
+            n, ll = np.diff(offsets), forward(model, sym, offsets)
+            null = np.concatenate([~np.asarray(b.column(1).is_valid()) for b in some])
+            bits = -ll / np.maximum(n, 1) / np.log(2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.chunked_array(ids).combine_chunks(), pa.array(n, mask=null), pa.array(ll, mask=null), pa.array(bits, mask=null | (n == 0))],
+                names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"],
+            )
+
+    return map_partition(rows, work, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")
