@@ -100,7 +100,7 @@ class Reference:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language of a partition: words by hash, and classes under the hashes -1 to -7 (flagged by kind)."""
+    """Per language of a partition: words by hash, and under the flag ``word`` = false the classes by number, then all words."""
     kept: dict[str, tuple[list, list]] = {}
     per_class: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -120,12 +120,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 per_class[name] = per_class.get(name, 0) + cc[code == k].sum(axis=0)
     for name, (ks, cs) in kept.items():
         keys, counts = merge_counts(ks, cs)
-        cls = np.arange(len(CLASSES))
+        cls = np.arange(len(CLASSES) + 1)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([name] * (len(keys) + len(cls)), pa.string()),
                 pa.array(np.concatenate([keys.view(np.int64), cls])),
-                pa.array(np.concatenate([counts, per_class[name]]).astype(np.int64)),
+                pa.array(np.concatenate([counts, per_class[name], [counts.sum()]]).astype(np.int64)),
                 pa.array(np.concatenate([np.ones(len(keys), bool), np.zeros(len(cls), bool)])),
             ],
             names=["lang", "hash", "n", "word"],
@@ -136,21 +136,20 @@ def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text",
     """References of each language, counted over all documents; what comes to the driver is ``top`` words (and ties) a language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     counts = map_partition(rows, _count, "lang string, hash long, n long, word boolean").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
-    # the best of each language by a bounded aggregate first, so that no window sorts a whole vocabulary
-    total = F.sum("n").over(Window.partitionBy("lang", "word"))
+    # a rank alone, so that each task keeps only its best before the shuffle
     rank = F.rank().over(Window.partitionBy("lang", "word").orderBy(F.desc("n")))
     found: dict[str, Reference] = {}
     by: dict[str, list] = {}
-    for x in counts.select("lang", "word", "hash", "n", total.alias("total"), rank.alias("k")).where(~F.col("word") | (F.col("k") <= rules.top)).collect():
+    for x in counts.withColumn("k", rank).where(F.col("k") <= max(rules.top, len(CLASSES) + 1)).collect():
         by.setdefault(x.lang, []).append(x)
     for lang, xs in by.items():
         cls = np.zeros(len(CLASSES), np.int64)
         for x in xs:
-            if not x.word:
+            if not x.word and x.hash < len(cls):
                 cls[x.hash] = x.n
-        common = sorted((np.int64(x.hash).view(np.uint64), x.n) for x in xs if x.word)
+        common = sorted((np.int64(x.hash).view(np.uint64), x.n) for x in xs if x.word and x.k <= rules.top)
         hashes, n = np.array([c[0] for c in common], np.uint64), np.array([c[1] for c in common], np.int64)
-        total_words = next((x.total for x in xs if x.word), 0)
+        total_words = next((x.n for x in xs if not x.word and x.hash == len(cls)), 0)
         found[lang] = Reference(cls, hashes, n, int(total_words - n.sum()))
     return found
 
