@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.layout import spread
 from . import bpe_count, hmm, langid, packing, pii, quality, secrets, simhash, spiece, vafile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vafile.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vafile.nearest(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
