@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathomix.llm import langid, packing, quality, secrets, simhash
 from fathomix.llm.cluster import shared_dir
+from fathomix.sources.layout import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces. What a stage returns is written as Parquet in the shared folder and read by the next."""
     shared_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
