@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 #: Tags that count as HTML.
 TAGS = (
-    "a abbr acronym address applet area b base basefont bdo big blockquote body br button caption center cite code col colgroup dd del dfn dir div dl dt em "
-    "fieldset font form frame frameset h1 h2 h3 h4 h5 h6 head hr html i iframe img input ins isindex kbd label legend li link map menu meta noframes noscript "
-    "object ol optgroup option p param pre q s samp script select small span strike strong style sub sup table tbody td textarea tfoot th thead title tr tt u ul var "
+    "html body head title meta link base style script noscript "
+    "h1 h2 h3 h4 h5 h6 p br hr div span pre blockquote center address "
+    "table tr td th tbody thead tfoot caption colgroup col "
+    "ul ol li dl dt dd menu dir "
+    "a img map area object param applet iframe frame frameset noframes embed "
+    "form input button select option optgroup textarea label legend fieldset isindex "
+    "b i u s em strong tt big small strike del ins sub sup code kbd samp var q cite dfn abbr acronym bdo font basefont "
     "article section nav header footer main aside figure video audio"
 ).split()
 _TAG = "|".join(sorted(TAGS, key=lambda t: (-len(t), t)))

@@ -18,16 +18,19 @@ from ..config import IndexConfig
 from ..functions.tokens import tokens
 
 
-def positions(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text") -> DataFrame:
-    """(did, seg, pos, term): each token; ``pos`` counts from 1 within the segment. No shuffle."""
-    found = docs.select(F.col(did).alias("did"), F.posexplode(tokens(F.col(text), config.max_token_length)).alias("p", "term"))
-    return found.select("did", (F.floor(F.col("p") / config.segment_size) + 1).cast("int").alias("seg"), (F.col("p") % config.segment_size + 1).cast("int").alias("pos"), "term")
+def positions(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(did, seg, pos, term), with ``lang`` also (lang): each token; ``pos`` counts from 1 within the segment. No shuffle."""
+    more = [F.col(lang).alias("lang")] if lang else []
+    found = docs.select(F.col(did).alias("did"), *more, F.posexplode(tokens(F.col(text), config.max_token_length)).alias("p", "term"))
+    return found.select("did", (F.floor(F.col("p") / config.segment_size) + 1).cast("int").alias("seg"), (F.col("p") % config.segment_size + 1).cast("int").alias("pos"), "term", *(["lang"] if lang else []))
 
 
-def heads(docs: DataFrame, attributes: dict[str, str], did: str = "doc_id") -> DataFrame:
-    """(did, seg = 0, term, kind): metadata of each document; ``attributes`` maps a column to its kind (lang, meta_rank or meta_norank)."""
+def heads(docs: DataFrame, attributes: dict[str, str], did: str = "doc_id", lang: str | None = None) -> DataFrame:
+    """(did, seg = 0, term, kind, and ``lang`` if documents have it): metadata of each document; ``attributes`` maps a column to its kind (lang, meta_rank or meta_norank)."""
     pairs = F.array(*(F.struct(F.concat(F.lit(f"{c}:"), F.col(c).cast("string")).alias("term"), F.lit(kind).alias("kind")) for c, kind in attributes.items()))
-    return docs.select(F.col(did).alias("did"), F.lit(0).alias("seg"), F.explode(pairs).alias("m")).where("m.term is not null").select("did", "seg", "m.term", "m.kind").distinct()
+    more = [F.col(lang).alias("lang")] if lang else []
+    rows = docs.select(F.col(did).alias("did"), *more, F.lit(0).alias("seg"), F.explode(pairs).alias("m")).where("m.term is not null")
+    return rows.select("did", "seg", "m.term", "m.kind", *(["lang"] if lang else [])).distinct()
 
 
 def layer_of(freq: Column, limits: tuple[int, ...]) -> Column:
@@ -40,26 +43,28 @@ def layer_of(freq: Column, limits: tuple[int, ...]) -> Column:
 
 @dataclass
 class Index:
-    """Tables of documents. ``head`` and ``langs`` (did, lang) may be None."""
+    """Tables of documents. ``positions`` and ``head`` (which may be None) carry the document's ``lang`` where it has one, so that no table joins it in."""
 
     positions: DataFrame
     config: IndexConfig = IndexConfig()
     head: DataFrame | None = None
-    langs: DataFrame | None = None
     priors: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, config: IndexConfig = IndexConfig(), attributes: dict[str, str] | None = None, did: str = "doc_id", text: str = "text", lang: str | None = None) -> Index:
-        langs = docs.select(F.col(did).alias("did"), F.col(lang).alias("lang")) if lang else None
-        return cls(positions(docs, config, did, text), config, heads(docs, attributes, did) if attributes else None, langs)
+        return cls(positions(docs, config, did, text, lang), config, heads(docs, attributes, did, lang) if attributes else None)
+
+    @property
+    def _lang(self) -> list[str]:
+        return [c for c in self.positions.columns if c == "lang"]
 
     @cached_property
     def text_postings(self) -> DataFrame:
-        return self.positions.select("did", "seg", "term").distinct()
+        return self.positions.select("did", "seg", "term", *self._lang).distinct()
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(did, seg, term, kind), each once."""
+        """(did, seg, term, kind, and ``lang`` where known), each once."""
         text = self.text_postings.withColumn("kind", F.lit("token"))
         return text.unionByName(self.head) if self.head is not None else text
 
@@ -83,11 +88,7 @@ class Index:
         Frequent: the ``n_frequent`` tokens of each language by falling frequency, ties by term.
         """
         posts = self.postings
-        if self.langs is not None:
-            posts = posts.join(self.langs, "did", "left")
-            lang = F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("did")))
-        else:
-            lang = F.lit(None).cast("string")
+        lang = F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("did"))) if "lang" in posts.columns else F.lit(None).cast("string")
         base = posts.groupBy("term", "kind").agg(F.count("*").alias("freq"), lang.alias("lang"))
         if not self.config.n_frequent:
             return base.withColumn("is_frequent", F.lit(False)).withColumn("layer", layer_of(F.col("freq"), self.config.layers))

@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 MISSING = 500
 
 
-def grams(text: Column, most: int = 4, prefix: int | None = 1024) -> Column:
-    """n-grams of 1 to ``most`` characters, each starting at a letter and ending before a boundary; other characters are one boundary ``_``.
-
-    ``prefix`` is the classical operator's own bound on what it reads of a text; None reads all.
-    """
+def _words(text: Column, prefix: int | None) -> Column:
+    """Runs of letters, lower-cased. ``prefix`` is the classical operator's own bound on what it reads of a text; None reads all."""
     x = F.regexp_replace(F.lower(F.substring(text, 1, prefix) if prefix else text), "[^a-zà-ÿ]+", "_")
-    words = F.filter(F.split(x, "_"), lambda w: w != "")
-    one = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.flatten(F.transform(words, lambda w: F.concat(*(one(w, n) for n in range(1, most + 1)))))
+    return F.filter(F.split(x, "_"), lambda w: w != "")
+
 
+def grams(word: Column, most: int = 4) -> Column:
+    """All n-grams of 1 to ``most`` letters of a word; none crosses a word's end."""
+    none = F.expr("cast(array() as array<string>)")
+    one = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))).otherwise(none)
+    return F.concat(*(one(n) for n in range(1, most + 1)))
 
-def profiles(rows: DataFrame, key: list[str], text: str = "text", top: int = 100, prefix: int | None = 1024) -> DataFrame:
-    """(key..., gram, place): the ``top`` n-grams of each key by falling count, ties by gram; places count from 0."""
-    counted = rows.select(*key, F.explode(grams(F.col(text), prefix=prefix)).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
+
+def profiles(rows: DataFrame, key: list[str], text: str = "text", top: int = 100, prefix: int | None = 1024, together: bool = False) -> DataFrame:
+    """(key..., gram, place): the ``top`` n-grams of each key by falling count, ties by gram; places count from 0.
+
+    Words are counted first, so that only distinct ones are cut in n-grams. ``together`` is for many small keys
+    (documents): what is read of each is brought together once, and nothing else is shuffled.
+    """
+    rows = rows.select(*key, F.substring(text, 1, prefix).alias(text)).repartition(*key) if together else rows
+    words = rows.select(*key, F.explode(_words(F.col(text), prefix)).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("n"))
+    counted = words.select(*key, "n", F.explode(grams(F.col("w"))).alias("gram")).groupBy(*key, "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "gram"))
     return counted.withColumn("place", place).where(F.col("place") <= top).select(*key, "gram", (F.col("place") - 1).cast("int").alias("place"))
 
@@ -37,7 +45,7 @@ def classify(docs: DataFrame, models: DataFrame, did: str = "doc_id", text: str
     Ties go to the language first in order; a text without a letter has no row. The models, ``top`` rows a
     language, are broadcast.
     """
-    mine = profiles(docs.select(F.col(did).alias("did"), F.col(text).alias("text")), ["did"], "text", top)
+    mine = profiles(docs.select(F.col(did).alias("did"), F.col(text).alias("text")), ["did"], "text", top, together=True)
     langs = models.groupBy().agg(F.sort_array(F.collect_set("lang")).alias("langs"))
     every = mine.crossJoin(F.broadcast(langs)).select("did", "gram", "place", F.explode("langs").alias("lang"))
     both = every.join(F.broadcast(models.withColumnRenamed("place", "model_place")), ["lang", "gram"], "left")

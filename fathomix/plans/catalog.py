@@ -12,6 +12,7 @@ from ..functions import clean
 from ..functions.tokens import ENTITY, TOKEN
 from ..operators import dedup, expand, hits, language, present, prior, rank, score
 from ..operators.index import Index, merge_norms
+from ..sources.layout import spread
 from .query import All, And, Not, Or, Phrase, Range, Term
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,8 @@ FULL = IndexConfig()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
@@ -113,12 +115,12 @@ def segments(spark, d):
 
 @register("positions", f"WITH {_base(50)} SELECT did, seg, pos, term FROM pos")
 def positions(spark, d):
-    return _index(spark, d, SHORT).positions
+    return _index(spark, d, SHORT).positions.select("did", "seg", "pos", "term")
 
 
 @register("postings", f"WITH {_base(50)} SELECT did, seg, term FROM tpost")
 def postings(spark, d):
-    return _index(spark, d, SHORT).text_postings
+    return _index(spark, d, SHORT).text_postings.select("did", "seg", "term")
 
 
 @register("long_token_filter", f"WITH {_TOK.replace('< 254', '< 8')} SELECT did, CAST(len(l) AS INTEGER) AS n FROM tok")
@@ -130,7 +132,7 @@ def long_token_filter(spark, d):
 
 @register("head_segments", f"WITH {_base(heads=True)} SELECT did, seg, term, kind FROM head")
 def head_segments(spark, d):
-    return _index(spark, d, heads=True).head
+    return _index(spark, d, heads=True).head.drop("lang")
 
 
 @register("norm_table", f"WITH {_base(heads=True)} SELECT term, freq FROM norm")
@@ -541,7 +543,7 @@ def lang_train(spark, d):
 
 @register("lang_profile", f"WITH {_profiles('', 'doc_id', 'substr(text, 1, 1024)')} SELECT doc_id AS did, gram, place FROM p")
 def lang_profile(spark, d):
-    return language.profiles(_table(spark, d, "documents").select(F.col("doc_id").alias("did"), "text"), ["did"])
+    return language.profiles(_table(spark, d, "documents").select(F.col("doc_id").alias("did"), "text"), ["did"], together=True)
 
 
 @register(
@@ -653,6 +655,40 @@ def contamination_phrase(spark, d):
     return docs.join(grams(_table(spark, d, "benchmark"), "item_id"), "g").groupBy("item_id", "did").agg(F.count("*").alias("n"))
 
 
+# without SQL
+
+
+@register("lemmas")
+def lemmas(spark, d):
+    return expand.lemmas(_index(spark, d, FULL).lexicon)
+
+
+@register("search_end_to_end")
+def search_end_to_end(spark, d):
+    from .search import Searcher
+
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("did"), F.concat(F.lit("http://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
+    docs = docs.withColumn("site", clean.site(F.col("url")))
+    return Searcher(Index.build(docs, PLAIN, did="did", text="body"), docs).search('"of the" by /with')
+
+
+@register("streaming_norm", f"WITH {_base()} SELECT term, freq FROM norm")
+def streaming_norm(spark, d):
+    """Documents through a file stream, block by block; the sum of the blocks' tables is that of the whole."""
+    import tempfile
+    import uuid
+
+    from ..streaming import ingest
+
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = f"{shared.get() if shared.isDefined() else tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ingest.ingest(stream, f"{base}/index", f"{base}/checkpoint", PLAIN).awaitTermination()
+    return ingest.norm(spark, f"{base}/index")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the key ``by``, ordered by the theme of the cue ``with``."""
     return rank_exact(spark, sf_dir)
