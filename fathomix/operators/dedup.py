@@ -14,8 +14,7 @@ def _one(rows: DataFrame, by: list, order: list) -> DataFrame:
 
 def one_per_content(index: Index, segments: DataFrame | None = None) -> DataFrame:
     """(did, seg): of segments with the same tokens in the same order the last one."""
-    where = index.decode(segments if segments is not None else index.segments)
-    return where.groupBy(F.md5("text").alias("h")).agg(F.max(F.struct("did", "seg")).alias("m")).select("m.did", "m.seg")
+    return index.decode(segments).groupBy(F.md5("text").alias("h")).agg(F.max(F.struct("did", "seg")).alias("m")).select("m.did", "m.seg")
 
 
 def one_per_site(segments: DataFrame, sites: DataFrame) -> DataFrame:

@@ -118,17 +118,19 @@ class Index:
         found = self.postings.where(F.col("term") == term.lower())
         return found.select("did").distinct() if by_document else found.select("did", "seg")
 
-    def forward(self, layer: int) -> DataFrame:
-        """(did, seg, term) of one frequency band."""
-        return self.postings.join(self.lexicon.where(F.col("layer") == layer).select("term"), "term").select("did", "seg", "term")
+    def forward(self, layer: int | None = None) -> DataFrame:
+        """(did, seg, term, layer) of one frequency band, or of all."""
+        some = self.lexicon.where(F.col("layer").isNotNull() if layer is None else F.col("layer") == layer)
+        return self.postings.join(some.select("term", "layer"), "term").select("did", "seg", "term", "layer")
 
-    def bag(self, did: int) -> DataFrame:
-        """(did, terms): the layered terms of all segments of a document, a term as often as segments hold it."""
-        return self.layered.where(F.col("did") == did).groupBy("did").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    def bag(self, did: int | None = None) -> DataFrame:
+        """(did, terms): the layered terms of all segments of a document (or each), a term as often as segments hold it."""
+        rows = self.layered if did is None else self.layered.where(F.col("did") == did)
+        return rows.groupBy("did").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
-    def decode(self, segments: DataFrame) -> DataFrame:
+    def decode(self, segments: DataFrame | None = None) -> DataFrame:
         """(did, seg, text): tokens of each segment in order."""
-        some = self.positions.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
+        some = self.positions if segments is None else self.positions.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
         return some.groupBy("did", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x.term), " ").alias("text"))
 
     def lookup(self, terms: list[str]) -> DataFrame:

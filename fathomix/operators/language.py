@@ -2,41 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = 500
+#: Longest n-gram.
+MOST = 4
+#: Letters by rank: a to z, then the Latin-1 letters. Four ranks of six bits make a number that sorts as the n-gram does.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xE0, 0x100)))
+_CHUNK = 1 << 19
 
 
-def _words(text: Column, prefix: int | None) -> Column:
-    """Runs of letters, lower-cased. ``prefix`` is the classical operator's own bound on what it reads of a text; None reads all."""
-    x = F.regexp_replace(F.lower(F.substring(text, 1, prefix) if prefix else text), "[^a-zà-ÿ]+", "_")
-    return F.filter(F.split(x, "_"), lambda w: w != "")
-
-
-def grams(word: Column, most: int = 4) -> Column:
+def grams(word: Column, most: int = MOST) -> Column:
     """All n-grams of 1 to ``most`` letters of a word; none crosses a word's end."""
     none = F.expr("cast(array() as array<string>)")
     one = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))).otherwise(none)
     return F.concat(*(one(n) for n in range(1, most + 1)))
 
 
-def profiles(rows: DataFrame, key: list[str], text: str = "text", top: int = 100, prefix: int | None = 1024, together: bool = False) -> DataFrame:
-    """(key..., gram, place): the ``top`` n-grams of each key by falling count, ties by gram; places count from 0.
+def _symbols(text: str) -> np.ndarray:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    rank = np.zeros(256, np.int64)
+    rank[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
+    return np.where(points < 256, rank[np.minimum(points, 255)], 0)
+
+
+def _top(texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram number and place of the ``top`` n-grams of each text."""
+    parts = [np.append(_symbols(t), 0) for t in texts]
+    x, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    whole, keys = x > 0, []
+    gram = np.zeros(len(x), np.int64)
+    for n in range(MOST):
+        shifted = np.zeros(len(x), np.int64)
+        shifted[: len(x) - n] = x[n:]
+        whole &= shifted > 0
+        gram = gram | shifted << (6 * (MOST - 1 - n))
+        keys.append((row << 24 | gram)[whole])
+    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+    row = keys >> 24
+    order = np.lexsort((keys, -counts, row))
+    keys, row = keys[order], row[order]
+    first = np.searchsorted(row, np.arange(len(texts)))
+    place = np.arange(len(keys)) - first[row]
+    keep = place < top
+    return row[keep], (keys & 0xFFFFFF)[keep], place[keep]
+
+
+def _spell(grams: np.ndarray) -> list[str]:
+    some, at = np.unique(grams, return_inverse=True)
+    names = np.array(["".join(LETTERS[r - 1] for k in (18, 12, 6, 0) if (r := g >> k & 63)) for g in some.tolist()], object)
+    return names[at].tolist() if len(some) else []
 
-    Words are counted first, so that only distinct ones are cut in n-grams. ``together`` is for many small keys
-    (documents): what is read of each is brought together once, and nothing else is shuffled.
+
+def profiles(docs: DataFrame, did: str = "did", text: str = "text", top: int = 100) -> DataFrame:
+    """(did, gram, place): the ``top`` n-grams of each whole text by falling count, ties by gram; places count from 0.
+
+    A profile needs its document alone, so it is made where the document lies, without a shuffle. Texts
+    that are null or hold no letter have no row; rows that repeat an id give their profiles each.
     """
-    rows = rows.select(*key, F.substring(text, 1, prefix).alias(text)).repartition(*key) if together else rows
-    words = rows.select(*key, F.explode(_words(F.col(text), prefix)).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("n"))
-    counted = words.select(*key, "n", F.explode(grams(F.col("w"))).alias("gram")).groupBy(*key, "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "gram"))
-    return counted.withColumn("place", place).where(F.col("place") <= top).select(*key, "gram", (F.col("place") - 1).cast("int").alias("place"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CHUNK, side="right")))
+                row, gram, place = _top(texts[a:b], top)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(_spell(gram), pa.string()), pa.array(place.astype(np.int32))], names=["did", "gram", "place"])
+                a = b
+
+    return docs.select(F.col(did).cast("long").alias("did"), F.col(text).alias("text")).mapInArrow(work, "did long, gram string, place int")
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters, lower-cased."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-zà-ÿ]+", "_"), "_"), lambda w: w != "")
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = 100) -> DataFrame:
-    """(lang, gram, place): profiles of whole corpora."""
-    return profiles(docs.where(F.col(lang).isNotNull()).withColumnRenamed(lang, "lang"), ["lang"], text, top, prefix=None)
+    """(lang, gram, place): profiles of whole corpora. Words are counted first, so that only distinct ones are cut in n-grams."""
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_words(F.col(text))).alias("w"))
+    words = rows.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = words.select("lang", "n", F.explode(grams(F.col("w"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counted.withColumn("place", place).where(F.col("place") <= top).select("lang", "gram", (F.col("place") - 1).cast("int").alias("place"))
 
 
 def classify(docs: DataFrame, models: DataFrame, did: str = "doc_id", text: str = "text", top: int = 100) -> DataFrame:
@@ -45,7 +100,7 @@ def classify(docs: DataFrame, models: DataFrame, did: str = "doc_id", text: str
     Ties go to the language first in order; a text without a letter has no row. The models, ``top`` rows a
     language, are broadcast.
     """
-    mine = profiles(docs.select(F.col(did).alias("did"), F.col(text).alias("text")), ["did"], "text", top, together=True)
+    mine = profiles(docs, did, text, top)
     langs = models.groupBy().agg(F.sort_array(F.collect_set("lang")).alias("langs"))
     every = mine.crossJoin(F.broadcast(langs)).select("did", "gram", "place", F.explode("langs").alias("lang"))
     both = every.join(F.broadcast(models.withColumnRenamed("place", "model_place")), ["lang", "gram"], "left")

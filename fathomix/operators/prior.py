@@ -22,7 +22,8 @@ def normality(index: Index, words: DataFrame) -> DataFrame:
     the ``window + 1`` before that token.
     """
     w = index.config.window
-    marked = index.positions.join(words.withColumn("top", F.lit(1)), "term", "left").select("did", "seg", "pos", F.coalesce("top", F.lit(0)).alias("top"))
+    # top_words a language at most
+    marked = index.positions.join(F.broadcast(words.withColumn("top", F.lit(1))), "term", "left").select("did", "seg", "pos", F.coalesce("top", F.lit(0)).alias("top"))
     before = Window.partitionBy("did", "seg").orderBy("pos").rowsBetween(-(w + 1), -1)
     hit = marked.withColumn("hit", F.max("top").over(before))
     return hit.groupBy("did").agg(F.coalesce(F.avg(F.when(F.col("pos") > w, F.col("hit"))), F.lit(0.0)).alias("prior"))

@@ -160,9 +160,9 @@ def layers_hist(spark, d):
     return _index(spark, d, FULL).lexicon.groupBy(F.coalesce("layer", F.lit(-1)).alias("layer")).agg(F.count("*").alias("n"))
 
 
-@register("layer_members", f"WITH {_base()}, {_lexicon()} SELECT did, seg, term FROM post SEMI JOIN (SELECT term FROM lex WHERE layer = 3) USING (term)")
+@register("layer_members", f"WITH {_base()}, {_lexicon()} SELECT did, seg, term, layer FROM post JOIN lex USING (term) WHERE layer IS NOT NULL")
 def layer_members(spark, d):
-    return _index(spark, d, FULL).forward(3)
+    return _index(spark, d, FULL).forward()
 
 
 @register("index_info", f"WITH {_base(heads=True)} SELECT (SELECT count(DISTINCT did) FROM segs) AS n_docs, (SELECT count(*) FROM segs) AS n_segments, (SELECT count(*) FROM norm) AS n_terms")
@@ -180,23 +180,22 @@ def inverted_docs(spark, d):
     return _index(spark, d).inverted("with", by_document=True)
 
 
-@register("doc_bag", f"WITH {_base(50)} SELECT did, list_sort(list(term)) AS terms FROM post WHERE did = 7 GROUP BY did")
+@register("doc_bag", f"WITH {_base(50)} SELECT did, list_sort(list(term)) AS terms FROM post GROUP BY did")
 def doc_bag(spark, d):
-    return _index(spark, d, SHORT).bag(7)
+    return _index(spark, d, SHORT).bag()
 
 
-@register("segment_decode", f"WITH {_base(50)} SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS text FROM pos WHERE seg = 2 GROUP BY did, seg")
+@register("segment_decode", f"WITH {_base(50)} SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS text FROM pos GROUP BY did, seg")
 def segment_decode(spark, d):
-    ix = _index(spark, d, SHORT)
-    return ix.decode(ix.segments.where("seg = 2"))
+    return _index(spark, d, SHORT).decode()
 
 
-@register("frozen_vocabulary", f"WITH {_base()}, known AS (SELECT DISTINCT term FROM pos WHERE did % 2 = 0) SELECT did, count(*) AS n FROM pos SEMI JOIN known USING (term) WHERE did % 2 = 1 GROUP BY did")
+@register("frozen_vocabulary", f"WITH {_base()}, known AS (SELECT term FROM norm WHERE freq >= 3) SELECT did, count(*) AS n FROM pos SEMI JOIN known USING (term) GROUP BY did")
 def frozen_vocabulary(spark, d):
     from ..operators.index import frozen
 
-    p = _index(spark, d).positions
-    return frozen(p.where("did % 2 = 1"), p.where("did % 2 = 0").select("term").distinct()).groupBy("did").agg(F.count("*").alias("n"))
+    ix = _index(spark, d)
+    return frozen(ix.positions, ix.norm.where("freq >= 3")).groupBy("did").agg(F.count("*").alias("n"))
 
 
 # retrieval
@@ -541,14 +540,14 @@ def lang_train(spark, d):
     return language.train(_table(spark, d, "documents"))
 
 
-@register("lang_profile", f"WITH {_profiles('', 'doc_id', 'substr(text, 1, 1024)')} SELECT doc_id AS did, gram, place FROM p")
+@register("lang_profile", f"WITH {_profiles('', 'doc_id', 'text')} SELECT doc_id AS did, gram, place FROM p")
 def lang_profile(spark, d):
-    return language.profiles(_table(spark, d, "documents").select(F.col("doc_id").alias("did"), "text"), ["did"], together=True)
+    return language.profiles(_table(spark, d, "documents"), "doc_id")
 
 
 @register(
     "lang_classify",
-    f"""WITH {_profiles('m', 'lang', 'text')}, {_profiles('d', 'doc_id', 'substr(text, 1, 1024)')},
+    f"""WITH {_profiles('m', 'lang', 'text')}, {_profiles('d', 'doc_id', 'text')},
 far AS (SELECT dp.doc_id AS did, l.lang, sum(coalesce(abs(dp.place - mp.place), 500)) AS distance FROM dp, (SELECT DISTINCT lang FROM mp) AS l LEFT JOIN mp ON mp.lang = l.lang AND mp.gram = dp.gram GROUP BY dp.doc_id, l.lang)
 SELECT did, lang, CAST(distance AS BIGINT) AS distance FROM far QUALIFY row_number() OVER (PARTITION BY did ORDER BY distance, lang) = 1""",
 )
