@@ -34,16 +34,18 @@ def _region(word: str, vowels: str, start: int = 0) -> int:
 # English
 
 _IRREGULAR = {
-    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
-    **{w: w for w in "sky news howe atlas cosmos bias andes".split()},
+    **dict.fromkeys(("skies", "sky"), "sky"), "skis": "ski", "idly": "idl", "ugly": "ugli",
+    **{x + "ying": x + "ie" for x in "tdl"}, **{x + "ly": x + "l" for x in ("sing", "gent")}, **{x + "ly": x + "li" for x in ("on", "ear")},
+    **{w: w for w in "bias news cosmos andes howe atlas".split()},
 }
-_KEPT = set("inning outing canning herring earring proceed exceed succeed".split())
+_KEPT = {*(x + "ing" for x in ("herr", "inn", "earr", "out", "cann")), *(x + "ceed" for x in ("suc", "pro", "ex"))}
 _STEP2 = {
-    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al",
-    "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less", "ogi": "og", "li": "",
+    **dict.fromkeys(("ator", "ation", "ational"), "ate"), **dict.fromkeys(("alli", "aliti", "alism"), "al"), **dict.fromkeys(("ousness", "ousli"), "ous"), **dict.fromkeys(("bli", "biliti"), "ble"),
+    **dict.fromkeys(("iviti", "iveness"), "ive"), **dict.fromkeys(("ization", "izer"), "ize"), **dict.fromkeys(("fulness", "fulli"), "ful"),
+    "ogi": "og", "li": "", "lessli": "less", "tional": "tion", "entli": "ent", "abli": "able", "anci": "ance", "enci": "ence",
 }
-_STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
-_STEP4 = set("ion ment ement ent ant able ible ance ence al er ic ism ate iti ous ive ize".split())
+_STEP3 = {**dict.fromkeys(("ical", "iciti", "icate"), "ic"), **dict.fromkeys(("ative", "ness", "ful"), ""), "alize": "al", "ational": "ate", "tional": "tion"}
+_STEP4 = set("ize ive ous iti ate ism ic er al ence ance ible able ant ent ement ment ion".split())
 _DOUBLES = tuple(c + c for c in "bdfgmnprt")
 _EN = "aeiouy"
 
