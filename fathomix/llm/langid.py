@@ -176,9 +176,9 @@ def _scores(who: Identifier, code: np.ndarray) -> np.ndarray:
     cells = who.size**who.order
     if cells > 1 << 22:
         some, at = np.unique(code, return_inverse=True)
-        return np.stack([log_probability(m, some) for m in who.models], axis=1).astype(np.float32)[at]
+        return np.stack([log_probability(m, some) for m in who.models], axis=1)[at]
     if who._table is None:
-        who._table = np.full((cells, len(who.models)), np.nan, np.float32)
+        who._table = np.full((cells, len(who.models)), np.nan)
     fresh = np.zeros(cells, bool)
     fresh[code] = True
     fresh = np.flatnonzero(fresh)
