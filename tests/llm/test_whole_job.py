@@ -25,3 +25,20 @@ def test_key_tables_keep_recall_at_any_size(n):
     bits = simhash.key_bits(simhash.key_tables(width), width)
     a, b = apart(np.random.default_rng(n), 2000, simhash.MAX_DISTANCE)
     assert (simhash.keys(a, bits) == simhash.keys(b, bits)).any(axis=1).mean() >= 0.9
+
+
+@pytest.mark.parametrize("first", [0, 14, 20, 48])
+def test_distance_alone_decides(first):
+    a, b = apart(np.random.default_rng(first), 300, simhash.MAX_DISTANCE, first)
+    far = apart(np.random.default_rng(first), 300, simhash.MAX_DISTANCE + 1, min(first, 13))[1]
+    n = len(a)
+    prints, ids = np.concatenate([a, b, far]), np.arange(3 * n)
+    key = np.concatenate([np.arange(n), np.arange(n), np.arange(n)]).astype(np.uint64)
+    table, i = simhash.word_tables(prints, simhash.pivots()), np.arange(n)
+    assert len(simhash.word_survivors(table, i, i + n, simhash.MAX_DISTANCE)) == n
+    strangers = simhash.word_survivors(table, i, (i + 1) % n, simhash.MAX_DISTANCE)
+    assert len(strangers) < n / 10
+    got = simhash.near_pairs_of(np.concatenate([a, b]), ids[: 2 * n], key[: 2 * n], simhash.MAX_DISTANCE, None, simhash.pivots())
+    assert dict(zip(*map(np.ndarray.tolist, got))) == {k + n: k for k in range(n)}
+    got = simhash.near_pairs_of(np.concatenate([a, far]), ids[: 2 * n], key[: 2 * n], simhash.MAX_DISTANCE, None, simhash.pivots())
+    assert not len(got[0])
