@@ -8,7 +8,10 @@ a partition, the expected uses of each state, transition and (state, symbol); a
 symbol adds those of all partitions, and the driver gets one row for each symbol.
 
 Scoring. The scaled forward recursion gives the exact likelihood of each whole document:
-the logarithms of the scales, added.
+the logarithms of the scales, added. A rare token has the probability of its bin times that
+of the word within the bin, which comes from the counts of all the corpus's rare words. As no
+state takes part in the latter, training needs only the bins, and the logarithms join in
+at the end: the table of counts grows with the corpus and stays distributed.
 
 Documents of a partition run side by side, longest first, so that a step of the recursion
 is one operation for all documents that are long enough.
@@ -16,6 +19,7 @@ is one operation for all documents that are long enough.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,24 +78,42 @@ def symbols(words: np.ndarray, rare_bins: int, hashes: np.ndarray, rare: np.ndar
     return np.where(at >= 0, at, len(words) + (rare % np.uint64(rare_bins)).astype(np.int64)).astype(np.int32)
 
 
-def vocabulary(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of the most frequent tokens of all documents, with counts; of equal counts the smaller hashes."""
+def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(hash, bin, n) of each token type of all documents, kept in the shared folder; ``bin`` is where it goes if it's rare."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        keys, bins, counts = [], [], []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            k, first = np.unique(np.concatenate(keys), return_index=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return k, np.concatenate(bins)[first] if keys else np.zeros(0, np.int64), merge_counts(keys, counts)[1]
+
         for batch in batches:
             for c in chunks(batch.column(0)):
-                k, n = np.unique(token_hashes(c.points, c.offsets)[0], return_counts=True)
+                h, _, rare = token_hashes(c.points, c.offsets)
+                k, first, n = np.unique(h, return_index=True, return_counts=True)
                 keys.append(k)
+                bins.append((rare[first] % np.uint64(settings.rare_bins)).astype(np.int64))
                 counts.append(n)
                 if len(keys) > 16:
-                    k, n = merge_counts(keys, counts)
-                    keys, counts = [k], [n]
-        k, n = merge_counts(keys, counts)
+                    k, b, n = merged()
+                    keys, bins, counts = [k], [b], [n]
+        k, b, n = merged()
         for a in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["hash", "n"])
+            some = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array(b[some]), pa.array(n[some].astype(np.int64))], names=["hash", "bin", "n"])
+
+    return cut(map_partition(docs.select("text"), work, "hash long, bin long, n long").groupBy("hash").agg(F.min("bin").alias("bin"), F.sum("n").alias("n")))
+
 
-    counts = cut(map_partition(docs.select("text"), work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+def vocabulary(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the most frequent tokens of all documents, with counts; of equal counts the smaller hashes."""
+    words, counts, _ = most_frequent(word_counts(docs, settings), settings)
+    return words, counts
+
+
+def most_frequent(counts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``vocabulary`` of counted tokens, and the number of tokens of each rare bin."""
     # how many tokens are as frequent: small, and tells from which count on they fit
     times = counts.groupBy("n").count().orderBy(F.desc("n")).collect()
     times_of = {r["n"]: r["count"] for r in times}
@@ -109,7 +131,11 @@ def vocabulary(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndar
     top = top.toPandas()
     k, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(k)
-    return k[order], n[order]
+    rare = np.zeros(settings.rare_bins, np.int64)
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        rare[r["bin"]] = r["n"]
+    np.subtract.at(rare, top["bin"].to_numpy(np.int64), n)
+    return k[order], n[order], rare
 
 
 def initial(words: np.ndarray, counts: np.ndarray, settings: Settings) -> Model:
@@ -242,17 +268,22 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
 
 
 def encoded(docs: DataFrame, words: np.ndarray, settings: Settings) -> DataFrame:
-    """(doc_id, symbols) of each document, null for a null text."""
+    """(doc_id, symbols, rare) of each document, null for a null text; ``rare`` are the hashes of its rare tokens."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for c in chunks(batch.column(1)):
             h, row, rare = token_hashes(c.points, c.offsets)
             n = np.bincount(row, minlength=c.stop - c.start)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(~c.valid, False))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(symbols(words, settings.rare_bins, h, rare)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.start, c.stop - c.start), lists], names=["doc_id", "symbols"])
+            sym = symbols(words, settings.rare_bins, h, rare)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(sym))
+            some = sym >= len(words)
+            n = np.bincount(row[some], minlength=c.stop - c.start)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(~c.valid, False))
+            others = pa.ListArray.from_arrays(offsets, pa.array(h[some].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.start, c.stop - c.start), lists, others], names=["doc_id", "symbols", "rare"])
 
-    return map_batches(docs, work, "doc_id long, symbols array<int>")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, symbols array<int>, rare array<long>")
 
 
 def one_round(rows: DataFrame, model: Model) -> Counts:
@@ -309,22 +340,31 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     """(doc_id, n_tokens, log_likelihood, bits_per_token) of each document under the model trained on all of them.
 
     A null text gives nulls; one without a token has likelihood 1 (logarithm 0) and null bits. Rows with a
-    null or repeated id train and score a row each. Whole texts of any length count.
+    null or repeated id train and score a row each. Whole texts of any length count. A rare token counts
+    as its bin and, within it, by its share of the bin's tokens in all documents.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words, counts = vocabulary(texts, settings)
-    rows = cut(encoded(texts, words, settings))
-    model, _ = train(rows, words, counts, settings)
+    kept = word_counts(texts, settings)
+    words, counts, rare = most_frequent(kept, settings)
+    # the row number is that of the row as it is kept, so that ids may be null or repeat
+    rows = cut(encoded(texts, words, settings).withColumn("row", F.monotonically_increasing_id()))
+    symbols_of = rows.select("doc_id", "symbols")
+    model, _ = train(symbols_of, words, counts, settings)
+    # logarithms of the counts of a row's rare words; those of their bins' totals come off where the symbols are
+    words_of = rows.select("row", F.explode("rare").alias("hash"))
+    within = words_of.join(kept.select("hash", F.log("n").alias("log_n")), "hash").groupBy("row").agg(F.sum("log_n").alias("within"))
+    totals = np.concatenate([np.zeros(len(words)), np.log(np.maximum(rare, 1))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _gathered(batches):
             ids, sym, offsets = _documents(some)
-            n, ll = np.diff(offsets), forward(model, sym, offsets)
+            sums = np.concatenate([[0.0], np.cumsum(totals[sym])])[offsets]
+            n, ll = np.diff(offsets), forward(model, sym, offsets) - np.diff(sums)
             null = np.concatenate([~np.asarray(b.column(1).is_valid()) for b in some])
-            bits = -ll / np.maximum(n, 1) / np.log(2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.chunked_array(ids).combine_chunks(), pa.array(n, mask=null), pa.array(ll, mask=null), pa.array(bits, mask=null | (n == 0))],
-                names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"],
-            )
+            number = pa.chunked_array([b.column(2) for b in some]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([number, pa.chunked_array(ids).combine_chunks(), pa.array(n, mask=null), pa.array(ll, mask=null)], names=["row", "doc_id", "n_tokens", "classes"])
 
-    return map_partition(rows, work, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")
+    scored = map_partition(rows.select("doc_id", "symbols", "row"), work, "row long, doc_id long, n_tokens long, classes double")
+    total = (F.col("classes") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood")
+    joined = scored.join(within, "row", "left").select("doc_id", "n_tokens", total)
+    return joined.withColumn("bits_per_token", F.when(F.col("n_tokens") > 0, -F.col("log_likelihood") / F.col("n_tokens") / math.log(2)))

@@ -1,9 +1,11 @@
 """What the first review found to be less than the whole job."""
 
+import math
+
 import numpy as np
 import pytest
 
-from fathomix.llm import simhash
+from fathomix.llm import hmm, simhash
 
 # op8
 
@@ -42,3 +44,27 @@ def test_distance_alone_decides(first):
     assert dict(zip(*map(np.ndarray.tolist, got))) == {k + n: k for k in range(n)}
     got = simhash.near_pairs_of(np.concatenate([a, far]), ids[: 2 * n], key[: 2 * n], simhash.MAX_DISTANCE, None, simhash.pivots())
     assert not len(got[0])
+
+
+# op3
+
+
+def test_rare_words_count_within_their_bin(spark):
+    words = ["the", "cat", "sat"]
+    # of one length and ending, so of one bin: xylophane is common among the rare words, xylqwzvne is not
+    rows = [(i, " ".join(words * 5 + ["xylophane"])) for i in range(30)] + [(90, "the cat xylophane"), (91, "the cat xylqwzvne"), (92, None), (93, ""), (None, "the cat xylophane"), (90, "the cat sat")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    s = hmm.Settings(states=2, vocabulary=3, rare_bins=4, rounds=2)
+    got = hmm.score(table, s).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, round(r.log_likelihood, 6)) if r.log_likelihood is not None else (r.doc_id, None): r for r in got}
+    real = [r for r in got if r.doc_id is None][0]
+    odd = [r for r in got if r.doc_id == 91][0]
+    assert (90, round(real.log_likelihood, 6)) in by and (92, None) in by
+    # 32 to 1 within the bin, and nothing else tells them apart
+    assert math.isclose(real.log_likelihood - odd.log_likelihood, math.log(32), rel_tol=1e-9)
+    assert math.isclose(odd.bits_per_token, -odd.log_likelihood / 3 / math.log(2), rel_tol=1e-12)
+    # the chances of the corpus's words within their bins add up to 1: rare counts are those of the table
+    counts = hmm.word_counts(table, s)
+    kept, n, rare = hmm.most_frequent(counts, s)
+    assert len(kept) == 3 and int(n.sum() + rare.sum()) == sum(len((t or "").split()) for _, t in rows) and rare.max() == 33
