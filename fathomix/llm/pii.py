@@ -12,8 +12,8 @@ Detectors then read the normalised text, and each hit is mapped back: its source
 starts where its first character's source starts and ends where its last one's ends.
 
 Only documents that can hold an identifier are rewritten: those with a figure (of any
-script), an @-like sign, a number word, or a word or bracket that disguises a sign. The test for that looks at
-every character and word, so nothing is missed.
+script), an @-like sign, a character that is rewritten, a number word, a word for a dot, ``at`` in brackets or
+``at`` before a name with a dot. The test for that looks at every character and word.
 """
 
 from __future__ import annotations
@@ -99,6 +99,33 @@ def _triggers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, changed, words
 
 
+@lru_cache(maxsize=1)
+def _around_at() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """White space, opening and closing brackets, and the characters of a host's labels."""
+    out = np.zeros((4, 0x110000), bool)
+    out[0, [i for i in range(0x110000) if chr(i).isspace()]] = True
+    for k, signs in ((1, "[({<"), (2, "])}>"), (3, "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")):
+        out[k, [ord(x) for x in signs]] = True
+    return out[0], out[1], out[2], out[3]
+
+
+def _disguised_at(points: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which of the words ``at`` stand in brackets, or before a label and a dot with at most a blank between. May look past the row: that costs a look, no more."""
+    blank, opening, closing, label = _around_at()
+    if not len(s):
+        return np.zeros(0, bool)
+    # a stop on either side of the text
+    points = np.concatenate([[0], points, [0, 0, 0]])
+    s, e = s + 1, e + 1
+    solid = np.flatnonzero(~blank[points])
+    before, after = solid[np.searchsorted(solid, s) - 1], solid[np.searchsorted(solid, e)]
+    brackets = opening[points[before]] & closing[points[after]]
+    ends = np.flatnonzero(~label[points])
+    end = ends[np.searchsorted(ends, np.minimum(e + 1, len(points) - 2))]
+    dot = (points[end] == ord(".")) | (points[end] == ord(" ")) & (points[np.minimum(end + 1, len(points) - 1)] == ord("."))
+    return brackets | (points[e] == ord(" ")) & (end > e + 1) & dot
+
+
 def suspects(c: Chunk) -> np.ndarray:
     """Rows (within the chunk) that can hold an identifier."""
     table, changed, words = _triggers()
@@ -117,6 +144,10 @@ def suspects(c: Chunk) -> np.ndarray:
         s, e = s[keep], e[keep]
         known = find(words, span_hashes(points, s, e)) >= 0
         hit[c.rows_of(s[known])] = True
+        # the words at
+        two = np.flatnonzero(e - s == 2)
+        two = two[(points[s[two]] == ord("a")) & (points[s[two] + 1] == ord("t"))]
+        hit[c.rows_of(s[two][_disguised_at(c.points, s[two], e[two])])] = True
     return np.flatnonzero(hit & c.valid)
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from fathomix.llm import hmm, simhash
+from fathomix.llm import hmm, pii, simhash
 
 # op8
 
@@ -68,3 +68,16 @@ def test_rare_words_count_within_their_bin(spark):
     counts = hmm.word_counts(table, s)
     kept, n, rare = hmm.most_frequent(counts, s)
     assert len(kept) == 3 and int(n.sum() + rare.sum()) == sum(len((t or "").split()) for _, t in rows) and rare.max() == 33
+
+
+# op6
+
+AT_ALONE = ["john.doe [at] example.com", "jane (at) example.com", "jane at example.com", "jane AT host-a.example.com", "joe < at > example . org", "joe {\tat\n} example.net", "ann at example .com", "ann at example. com"]
+
+
+@pytest.mark.parametrize("pad", ["", "Lorem ipsum. ", "a\n"])
+def test_at_alone_makes_a_suspect(spark, pad):
+    rows = [(i, pad + x + end) for i, (x, end) in enumerate((x, end) for x in AT_ALONE for end in ("", " dolor sit amet"))] + [(100, "at"), (101, "look at"), (102, "at "), (103, None), (104, "sat at home (at the time)"), (105, "at x")]
+    got = {(r.doc_id, r.start, r.length, r.value) for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, a, b - a, v) for i, t in rows if t for a, b, _, v in pii.identifiers(t)}
+    assert got == want and {i for i, *_ in want} >= set(range(8))
