@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import map_batches
-from .text import LETTER, OTHER, SPACE, Chunk, chunks, find, kinds, runs, span_hashes
+from .lookup import groups
+from .text import LETTER, OTHER, SPACE, Chunk, chunks, find, kinds, runs, span_pairs
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ID = 20  # bits of an id in a pair's key
@@ -33,7 +34,7 @@ class Ranks:
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {ranks[t[:k]] << _ID | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.most = most
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._forget()
 
     def count(self, span: bytes) -> int:
         """Symbols left when no adjacent pair merges."""
@@ -75,21 +76,35 @@ class Ranks:
         return n
 
     def counts_of(self, c: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Count of each span of a chunk."""
-        some, first, at = np.unique(span_hashes(c.points, starts, ends), return_index=True, return_inverse=True)
+        """Count of each span of a chunk. Spans are known by two 64-bit hashes; one that shares the first alone is counted each time."""
+        hashes, others = span_pairs(c.points, starts, ends)
+        some, first, at, odd = groups(hashes, others)
         if len(self.keys) > self.most:
-            self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+            self._forget()
+        text = None
+
+        def fresh(spans: np.ndarray) -> list[int]:
+            nonlocal text
+            text = text or c.text(0, len(c.points))
+            return [self.count(text[x:y].encode("utf-8", "surrogatepass")) for x, y in zip(starts[spans].tolist(), ends[spans].tolist())]
+
         known = find(self.keys, some)
         new = np.flatnonzero(known < 0)
         if len(new):
-            text = c.text(0, len(c.points))
-            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-            fresh = [self.count(text[x:y].encode("utf-8", "surrogatepass")) for x, y in zip(a, b)]
             where = np.searchsorted(self.keys, some[new])
+            counts = np.array(fresh(first[new]), np.int64)
             self.keys = np.insert(self.keys, where, some[new])
-            self.counts = np.insert(self.counts, where, np.array(fresh, np.int32))
+            self.others = np.insert(self.others, where, others[first[new]])
+            self.counts = np.insert(self.counts, where, counts)
             known = find(self.keys, some)
-        return self.counts[known][at]
+        odd |= (self.others[known] != others[first])[at]
+        out = self.counts[known][at]
+        if odd.any():
+            out[odd] = fresh(np.flatnonzero(odd))
+        return out
+
+    def _forget(self) -> None:
+        self.keys, self.others, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 @lru_cache(maxsize=2)

@@ -47,8 +47,17 @@ class IntMap:
         return out
 
 
+def groups(hashes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct first hashes, an index of each, the group of each span, and which spans aren't those of their group by the second hash."""
+    some, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    return some, first, at, others != others[first][at]
+
+
 class SpanCache:
-    """Remembers a list of int32 for each span hash. ``make`` computes those of new spans; past ``most`` spans it starts afresh."""
+    """Remembers a list of int32 for each span, known by two 64-bit hashes. ``make`` computes those of new spans; past ``most`` spans it starts afresh.
+
+    A span whose first hash is that of another is never taken for it: it is computed each time.
+    """
 
     def __init__(self, most: int = 400_000):
         self.most = most
@@ -56,27 +65,38 @@ class SpanCache:
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.others = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
-    def lists(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, sizes) in ``pool`` of the lists of each hash. ``make`` gets the indexes of one span of each new hash and gives (sizes, concatenated lists)."""
-        some, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    def _add(self, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Starts of lists put in the pool."""
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, values.astype(np.int32)])
+        return starts
+
+    def lists(self, hashes: np.ndarray, others: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, sizes) in ``pool`` of the list of each span. ``make`` gets indexes of spans and gives (sizes, concatenated lists)."""
+        some, first, at, odd = groups(hashes, others)
         if len(self.keys) + len(some) > self.most:
             self._empty()
         known = find(self.keys, some)
         new = np.flatnonzero(known < 0)
         if len(new):
             sizes, values = make(first[new])
-            starts = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, values.astype(np.int32)])
             where = np.searchsorted(self.keys, some[new])
             self.keys = np.insert(self.keys, where, some[new])
-            self.starts = np.insert(self.starts, where, starts)
+            self.others = np.insert(self.others, where, others[first[new]])
+            self.starts = np.insert(self.starts, where, self._add(sizes, values))
             self.sizes = np.insert(self.sizes, where, sizes)
             known = find(self.keys, some)
-        return self.starts[known][at], self.sizes[known][at]
+        odd |= (self.others[known] != others[first])[at]
+        starts, sizes = self.starts[known][at], self.sizes[known][at]
+        if odd.any():
+            n, values = make(np.flatnonzero(odd))
+            starts[odd], sizes[odd] = self._add(n, values), n
+        return starts, sizes
 
     def take(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return self.pool[ragged(starts, sizes)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .cluster import map_batches
 from .lookup import IntMap, SpanCache
-from .text import Chunk, chunks, ragged, runs, span_hashes
+from .text import Chunk, chunks, ragged, runs, span_pairs
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -325,14 +325,14 @@ class Pieces:
         before = word - 1
         spaced = (word > 0) & (kind[before] == 0) & (row[before] == row[word]) if len(word) else np.zeros(0, bool)
         ws = s[word] - spaced
-        hashes = span_hashes(x, ws, e[word])
+        hashes = span_pairs(x, ws, e[word])
 
         def make(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b = ws[first], e[word[first]]
             n, ranks = self.encode_words(x[ragged(a, b - a)], np.concatenate([[0], np.cumsum(b - a)]))
             return n, self.ids[ranks]
 
-        at, count = self.cache.lists(hashes, make)
+        at, count = self.cache.lists(*hashes, make)
         # a word whose first piece is the blank alone takes none
         alone = spaced & (self.cache.pool[at] == self.blank_id[1]) if len(word) else spaced
         starts[word], sizes[word] = at + alone, count - alone

@@ -16,12 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters worked on at once; a longer single text is a chunk of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
 
 @dataclass
 class Chunk:
@@ -112,29 +110,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASE) | 1
-    inverse = pow(base, -1, 1 << 64)
-    both = []
-    for b in (base, inverse):
-        steps = np.full(n + 1, b, np.uint64)
-        steps[0] = 1
-        both.append(np.multiply.accumulate(steps))
-    return both[0], both[1]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    t = x >> np.uint64(30)
+    x ^= t
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
+
+
+def _sums(values: np.ndarray, before: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return _mixed(total[before + lengths] - total[before] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+def span_pairs(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, twice: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two 64-bit hashes of each span of code points, equal for equal spans wherever they stand.
+
+    A hash is the sum, over the span, of a random-looking number for each pair of a character and its
+    place in the span. There is no algebra between places, so texts of a rule (such as Thue-Morse words)
+    don't fall together, as they do under polynomials modulo a power of two.
+    """
+    lengths = (ends - starts).astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(before, lengths)
+    x = points[place + np.repeat(starts, lengths)].astype(np.uint64)
+    place <<= 21  # a code point has 21 bits
+    x |= place.view(np.uint64)
+    x = _mixed(x)
+    first = _sums(x, before, lengths)
+    if not twice:
+        return first, None
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    return first, _sums(x, before, lengths)
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of code points, equal for equal spans wherever they stand."""
-    up, down = _powers_for(len(points))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """The first hash of ``span_pairs``."""
+    return span_pairs(points, starts, ends, twice=False)[0]
 
 
 def text_hash(word: str) -> int:
