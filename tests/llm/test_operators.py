@@ -167,26 +167,59 @@ def test_forward_and_expected_counts_against_all_paths(block, monkeypatch):
     sym, offsets = np.array(sum(docs, []), np.int32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     brute = [enumerate_paths(m, d) if d else None for d in docs]
     np.testing.assert_allclose(hmm.forward(m, sym, offsets), [b[0] if b else 0 for b in brute], rtol=1e-12)
-    c = hmm.expected(m, sym, offsets)
+    c = hmm.expected(m, sym, offsets)  # in single precision
     for got, k in ((c.start, 1), (c.step, 2), (c.emit, 3)):
-        np.testing.assert_allclose(got, sum(b[k] for b in brute if b), rtol=1e-9, atol=1e-12)
-    assert math.isclose(c.log_likelihood, sum(b[0] for b in brute if b), rel_tol=1e-12)
+        np.testing.assert_allclose(got, sum(b[k] for b in brute if b), rtol=2e-6, atol=1e-6)
+    assert math.isclose(c.log_likelihood, sum(b[0] for b in brute if b), rel_tol=1e-6)
 
 
 def test_training_climbs_and_does_not_depend_on_partitions(spark, corpus):
-    s = hmm.Settings(states=4, vocabulary=500, rounds=4, smoothing=1e-6)
+    s = hmm.Settings(states=4, vocabulary=500, rounds=4, smoothing=1e-6, gain=0.0)
     texts = corpus.select("doc_id", "text")
-    words, counts = hmm.vocabulary(texts, s)
+    words, counts, rare = hmm.most_frequent(hmm.word_counts(texts, s), s)
     brute = Counter()
     for r in texts.collect():
         p = np.frombuffer(r.text.encode("utf-32-le"), np.uint32)
-        brute.update(hmm.token_hashes(p, np.array([0, len(p)]))[0].tolist())
-    assert sorted(counts.tolist()) == sorted(n for _, n in brute.most_common(500))
-    rows = hmm.encoded(texts, words, s)
-    model, seen = hmm.train(rows.repartition(5).cache(), words, counts, s)
-    assert all(a < b for a, b in zip(seen, seen[1:]))
-    other, _ = hmm.train(rows.coalesce(1).cache(), words, counts, s)
-    np.testing.assert_allclose(model.emit, other.emit, rtol=1e-6)
+        brute.update(hmm.tokens_of(p, np.array([0, len(p)])).hashes.tolist())
+    assert sorted(counts.tolist()) == sorted(n for _, n in brute.most_common(500)) and counts.sum() + rare.sum() == sum(brute.values())
+    rows, models = hmm.encoded(texts, words, s), []
+    for some in (rows.repartition(5).cache(), rows.coalesce(1).cache()):
+        model, seen = hmm.train(some, hmm.start_model(some, words, np.concatenate([counts, rare]), s), s)
+        assert len(seen) == 4 and all(a < b for a, b in zip(seen, seen[1:]))
+        models.append(model)
+    np.testing.assert_allclose(models[0].emit, models[1].emit, rtol=1e-3, atol=1e-8)
+
+
+def test_neighbours_against_brute_force():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 6, n).tolist() for n in (0, 1, 5, 0, 30, 2)]
+    sym, offsets = np.array(sum(docs, [])), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    classed, neighbours = np.array([0, 1, -1, 2, -1, 3]), np.array([-1, 0, 1, -1, 2, -1])
+    want = np.zeros((2, 4, 3), int)
+    for d in docs:
+        for a, b in zip(d, d[1:]):
+            if classed[b] >= 0 and neighbours[a] >= 0:
+                want[0, classed[b], neighbours[a]] += 1
+            if classed[a] >= 0 and neighbours[b] >= 0:
+                want[1, classed[a], neighbours[b]] += 1
+    assert (hmm.neighbour_counts(sym, offsets, classed, neighbours) == want).all()
+
+
+def test_training_converges_on_held_out_text(spark):
+    """Bits a token on documents that took no part: far below a unigram model of the same symbols, and rounds end by themselves."""
+    s = hmm.Settings()
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text").repartition(4)
+    used, held = texts.where("doc_id % 5 <> 0"), texts.where("doc_id % 5 = 0")
+    words, counts, rare = hmm.most_frequent(hmm.word_counts(used, s), s)
+    totals = np.concatenate([counts, rare])
+    rows = hmm.encoded(used, words, s).cache()
+    model, seen = hmm.train(rows, hmm.start_model(rows, words, totals, s), s)
+    batch = hmm.encoded(held, words, s).select("symbols").toArrow().combine_chunks().to_batches()
+    sym, offsets = hmm._documents(batch, hmm._width(len(totals)))
+    even = (totals + s.smoothing) / (totals + s.smoothing).sum()
+    bits, unigram = -hmm.forward(model, sym, offsets).sum() / len(sym) / math.log(2), -np.log2(even[sym]).mean()
+    print("rounds", len(seen), "bits", bits, "unigram", unigram)
+    assert bits < unigram - 0.9 and 2 < len(seen) < s.rounds
 
 
 # op4
