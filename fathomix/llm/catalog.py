@@ -113,22 +113,25 @@ FROM u
 """
 
 _S = secrets.Rules()
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 OP5_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '[A-Za-z0-9+/_-]+|[^A-Za-z0-9+/_-]+') AS l FROM documents),
 u AS (SELECT rid, doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM d),
 o AS (SELECT rid, doc_id, s, k, sum(length(s)) OVER (PARTITION BY rid ORDER BY k) - length(s) AS start FROM u),
-c AS (SELECT row_number() OVER () AS cid, * FROM o
-  WHERE length(s) >= {_S.min_length} AND regexp_matches(s, '^[A-Za-z0-9+/_-]') AND regexp_matches(s, '[A-Za-z]')
-    AND length(regexp_replace(s, '[^0-9]', '', 'g')) >= {_S.min_digits}
-    AND NOT regexp_full_match(s, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
-    AND NOT regexp_matches(s, '{"|".join(secrets.PLACEHOLDERS)}')),
+r AS (SELECT doc_id, s AS run, start, length(regexp_extract(s, '^[/_+-]*(?:{secrets.KNOWN}[/_+-]+)*')) AS ahead FROM o WHERE length(s) >= {_S.min_length} AND regexp_matches(s, '^[A-Za-z0-9+/_-]')),
+q AS (SELECT doc_id, run, start + ahead AS start, regexp_extract(substr(run, CAST(ahead AS BIGINT) + 1), '^(.*?)(?:[/_+-]+{secrets.KNOWN})*[/_+-]*$', 1) AS s FROM r),
+c AS (SELECT row_number() OVER () AS cid, * FROM q
+  WHERE length(s) >= {_S.min_length} AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_full_match(s, '{secrets.KNOWN}')
+    AND NOT regexp_full_match(run, '{_UUID}') AND NOT regexp_full_match(s, '{_UUID}')
+    AND NOT regexp_matches(s, '{"|".join(secrets.PLACEHOLDERS)}')
+    AND 2 * list_sum(list_transform(string_split_regex(s, '[/_+-]'), lambda x: CASE WHEN regexp_full_match(x, '{secrets.KNOWN}') THEN 0 ELSE length(x) END)) >= length(s)),
 w AS (SELECT cid, i, substr(s, i, {_S.window}) AS w FROM (SELECT cid, s, unnest(range(1, length(s) - {_S.window - 2})) AS i FROM c)),
 n AS (SELECT cid, i, ch, count(*) AS n FROM (SELECT cid, i, unnest(string_split(w, '')) AS ch FROM w) GROUP BY cid, i, ch),
 h AS (SELECT cid, i, sum(n * log2(n)) AS t FROM n GROUP BY cid, i),
 e AS (SELECT cid, round(log2({_S.window}) - min(t) / {_S.window}, 6) AS entropy FROM h GROUP BY cid),
-k AS (SELECT c.*, entropy, CASE WHEN regexp_full_match(s, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(s, '[0-9A-Za-z]+') THEN 'alnum' ELSE 'base64' END AS kind FROM c JOIN e USING (cid))
+k AS (SELECT c.*, entropy, CASE WHEN regexp_full_match(s, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(s, '[A-Z]?[a-z]+') THEN 'letters' WHEN regexp_full_match(s, '[0-9A-Za-z]+') THEN 'alnum' ELSE 'base64' END AS kind FROM c JOIN e USING (cid))
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(length(s) AS BIGINT) AS length, kind, entropy FROM k
-WHERE entropy >= CASE kind WHEN 'hex' THEN {_S.limits["hex"]} WHEN 'alnum' THEN {_S.limits["alnum"]} ELSE {_S.limits["base64"]} END
+WHERE entropy >= CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _S.limits.items())} END
 """
 
 OP9_SQL = f"""

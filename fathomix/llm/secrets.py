@@ -1,14 +1,18 @@
 """Secret scan by sliding-window entropy.
 
-Candidates are maximal runs of ``ALPHABET`` of at least ``min_length`` characters. A candidate
+Maximal runs of ``ALPHABET`` are cut at the signs / _ + - in segments. Segments that people write
+are known: words (of one case, capitalised, or joined capitalised ones) in which no more
+consonants follow each other than in words, short numbers, and words or numbers with a short number or
+ending. A candidate is what is left of a run when known segments at its start and end
+are taken off, if that has at least ``min_length`` characters, half of which or more aren't in known segments. It
 belongs to the narrowest character class that holds all its characters: ``hex``
-(0-9, a-f of one case), ``alnum`` or ``base64``. A window of ``window`` characters slides over it;
+(0-9, a-f of one case), ``letters`` (small ones, the first of which may be a capital), ``alnum`` or ``base64``. A window of ``window`` characters slides over it;
 its Shannon entropy comes from counts that change by one character in and one out. The
 candidate is a secret when its highest entropy reaches the limit of its class and the
 allow-list does not know it.
 
-Allow-list: candidates with fewer than ``min_digits`` digits (words and names), without a letter
-(numbers), UUIDs, and those that hold a known placeholder.
+Allow-list: known segments, candidates without a letter (numbers), UUIDs, and candidates that hold a
+placeholder.
 """
 
 from __future__ import annotations
@@ -28,9 +32,19 @@ from .cluster import map_batches
 from .text import Chunk, chunks, runs
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-PLACEHOLDERS = ("EXAMPLE", "example", "XXXX", "xxxx", "placeholder", "PLACEHOLDER", "changeme", "your_")
+PLACEHOLDERS = ("EXAMPLE", "example", "XXXX", "xxxx", "placeholder", "PLACEHOLDER", "changeme")
+SEPARATORS = "/_+-"
+# what people write: consonants in a row are few in words; the patterns read each segment in one way only
+_LOWER = "[A-Z]?[b-df-hj-np-tv-xz]{0,4}(?:[aeiouy]+[b-df-hj-np-tv-xz]{1,4})*[aeiouy]*"
+_UPPER = "[B-DF-HJ-NP-TV-XZ]{0,3}(?:[AEIOUY]+[B-DF-HJ-NP-TV-XZ]{1,3})*[AEIOUY]*"
+_JOINED = "[a-z]{2,}(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,}){2,}"
+#: A known segment, for regular expressions of Python and of SQL.
+KNOWN = f"(?:(?:{_LOWER}|{_UPPER}|{_JOINED})[0-9]{{0,4}}|[0-9]{{1,6}}[a-z]{{0,2}})"
+_KNOWN = re.compile(KNOWN)
+_SEGMENT = re.compile(rf"[^{SEPARATORS}]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+_LETTERS = re.compile(r"[A-Z]?[a-z]+")
 _ALNUM = re.compile(r"[0-9A-Za-z]+")
 
 
@@ -40,8 +54,7 @@ class Rules:
 
     min_length: int = 20
     window: int = 20
-    min_digits: int = 2
-    limits: dict[str, float] = field(default_factory=lambda: {"hex": 2.8, "alnum": 3.4, "base64": 3.4})
+    limits: dict[str, float] = field(default_factory=lambda: {"hex": 2.8, "letters": 3.7, "alnum": 3.1, "base64": 3.4})
 
 
 def _candidate_table() -> np.ndarray:
@@ -53,8 +66,8 @@ def _candidate_table() -> np.ndarray:
 _TABLE = _candidate_table()
 
 
-def candidates(c: Chunk, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the candidate runs of a chunk."""
+def long_runs(c: Chunk, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a chunk that are long enough."""
     inside = _TABLE[c.points]
     s, e = runs(inside, c.offsets)
     if not len(s):
@@ -63,9 +76,20 @@ def candidates(c: Chunk, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     return s[keep], e[keep]
 
 
+def core(run: str) -> tuple[int, int]:
+    """Start and end of what is left of a run without the known segments at its ends; equal where all are known."""
+    parts = [m.span() for m in _SEGMENT.finditer(run)]
+    first, last = 0, len(parts)
+    while first < last and _KNOWN.fullmatch(run, *parts[first]):
+        first += 1
+    while first < last and _KNOWN.fullmatch(run, *parts[last - 1]):
+        last -= 1
+    return (parts[first][0], parts[last - 1][1]) if first < last else (0, 0)
+
+
 def character_class(text: str) -> str:
-    """hex, alnum or base64."""
-    return "hex" if _HEX.fullmatch(text) else "alnum" if _ALNUM.fullmatch(text) else "base64"
+    """hex, letters, alnum or base64."""
+    return "hex" if _HEX.fullmatch(text) else "letters" if _LETTERS.fullmatch(text) else "alnum" if _ALNUM.fullmatch(text) else "base64"
 
 
 def max_entropy(text: str, window: int) -> float:
@@ -93,31 +117,33 @@ def max_entropy(text: str, window: int) -> float:
     return round(math.log2(window) - least / window, 6)
 
 
-def allowed(text: str, rules: Rules) -> bool:
+def allowed(text: str) -> bool:
     """Whether the allow-list suppresses a candidate."""
-    digits = sum(ch.isdigit() for ch in text)
-    if digits < rules.min_digits or not any(ch.isalpha() for ch in text):
+    if not any(ch.isalpha() for ch in text) or _UUID.fullmatch(text) or any(p in text for p in PLACEHOLDERS):
         return True
-    return bool(_UUID.fullmatch(text)) or any(p in text for p in PLACEHOLDERS)
+    return 2 * sum(len(x) for x in _SEGMENT.findall(text) if not _KNOWN.fullmatch(x)) < len(text)
 
 
 def secrets(c: Chunk, rules: Rules) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, class, entropy) of the secrets of a chunk, positions within the chunk."""
-    for a, b in zip(*(x.tolist() for x in candidates(c, rules))):
-        text = c.text(a, b)
-        if allowed(text, rules):
+    for a, b in zip(*(x.tolist() for x in long_runs(c, rules))):
+        run = c.text(a, b)
+        x, y = core(run)
+        text = run[x:y]
+        if y - x < rules.min_length or _UUID.fullmatch(run) or allowed(text):
             continue
         kind = character_class(text)
         entropy = max_entropy(text, rules.window)
         if entropy >= rules.limits[kind]:
-            yield a, b, kind, entropy
+            yield a + x, a + y, kind, entropy
 
 
 def scan(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, kind, entropy): a row for each secret, ``start`` counting characters from 0.
 
     Null and empty texts have none. A row with a null id gives findings with a null id; repeated rows give
-    repeated findings. Texts of any length are scanned whole.
+    repeated findings. Texts of any length are scanned whole. Other columns, of whatever names, aren't read; an
+    empty table gives no rows.
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
