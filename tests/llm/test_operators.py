@@ -475,27 +475,28 @@ def test_counts_of_whole_texts(encoding, corpus):
 # op8
 
 
-def test_pivot_filter_and_pairs_against_brute_force():
+def test_pairs_against_brute_force():
+    """Of all pairs within the whole distance, over all 256 bits: those that share a bucket are linked, and at least 0.9 do."""
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
     copies = np.repeat(base, 20, axis=0)
     for r in copies:
-        for bit in rng.integers(0, 256, rng.integers(0, 25)):
+        for bit in rng.integers(0, 256, rng.integers(0, 36)):
             r[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     n = len(copies)
     i, j = np.triu_indices(n, 1)
-    good = simhash.verify(copies, i, j, simhash.MAX_DISTANCE, simhash.MAX_FIRST)
-    table = simhash.pivot_table(np.ascontiguousarray(copies[:, 0]), simhash.pivots())
-    left = simhash.pivot_survivors(table, i, j, simhash.MAX_FIRST)
-    assert set(np.flatnonzero(good)) <= set(left) and len(left) < len(i) / 4
-    k = simhash.keys(copies, simhash.key_bits(simhash.N_KEYS, simhash.key_width(n)))
+    bits = np.unpackbits(copies.view(np.uint8), axis=1).astype(int)
+    far = np.array([(bits[a] != bits[b]).sum() for a, b in zip(i, j)])
+    assert (far == simhash.distances(copies[i], copies[j])).all()
+    good = far <= simhash.MAX_DISTANCE
+    width = simhash.key_width(n)
+    k = simhash.keys(copies, simhash.key_bits(simhash.key_tables(width), width))
     same = (k[i] == k[j]).any(axis=1)
-    assert same[good].mean() >= 0.9
-    a, b = simhash.near_pairs_of(np.repeat(copies, k.shape[1], axis=0), np.repeat(np.arange(n), k.shape[1]), k.ravel(), simhash.MAX_DISTANCE, simhash.MAX_FIRST, simhash.pivots())
+    assert same[good].mean() >= 0.9 and far[good].max() > 44
     pairs = same & good
     want = dict(zip(*simhash.forest(i[pairs], j[pairs])))
-    got = dict(zip(*simhash.forest(a, b)))
-    assert got == want
+    got = simhash.near_pairs_of(np.repeat(copies, k.shape[1], axis=0), np.repeat(np.arange(n), k.shape[1]), k.ravel(), simhash.MAX_DISTANCE).forest()
+    assert dict(zip(*got)) == want
 
 
 def test_components_against_union_find(spark):

@@ -1,6 +1,8 @@
 """What the first review found to be less than the whole job."""
 
 import math
+import resource
+import time
 
 import numpy as np
 import pytest
@@ -34,16 +36,75 @@ def test_distance_alone_decides(first):
     a, b = apart(np.random.default_rng(first), 300, simhash.MAX_DISTANCE, first)
     far = apart(np.random.default_rng(first), 300, simhash.MAX_DISTANCE + 1, min(first, 13))[1]
     n = len(a)
-    prints, ids = np.concatenate([a, b, far]), np.arange(3 * n)
-    key = np.concatenate([np.arange(n), np.arange(n), np.arange(n)]).astype(np.uint64)
-    table, i = simhash.word_tables(prints, simhash.pivots()), np.arange(n)
-    assert len(simhash.word_survivors(table, i, i + n, simhash.MAX_DISTANCE)) == n
-    strangers = simhash.word_survivors(table, i, (i + 1) % n, simhash.MAX_DISTANCE)
-    assert len(strangers) < n / 10
-    got = simhash.near_pairs_of(np.concatenate([a, b]), ids[: 2 * n], key[: 2 * n], simhash.MAX_DISTANCE, None, simhash.pivots())
+    ids, key = np.arange(2 * n), np.concatenate([np.arange(n), np.arange(n)]).astype(np.uint64)
+    got = simhash.near_pairs_of(np.concatenate([a, b]), ids, key, simhash.MAX_DISTANCE).forest()
     assert dict(zip(*map(np.ndarray.tolist, got))) == {k + n: k for k in range(n)}
-    got = simhash.near_pairs_of(np.concatenate([a, far]), ids[: 2 * n], key[: 2 * n], simhash.MAX_DISTANCE, None, simhash.pivots())
-    assert not len(got[0])
+    assert not len(simhash.near_pairs_of(np.concatenate([a, far]), ids, key, simhash.MAX_DISTANCE).forest()[0])
+    # in one bucket, by a pivot table
+    got = simhash.near_pairs_of(np.concatenate([a, b]), ids, np.zeros(2 * n, np.uint64), simhash.MAX_DISTANCE).forest()
+    assert dict(zip(*map(np.ndarray.tolist, got))) == {k + n: k for k in range(n)}
+
+
+def family(rng, n, flips, base=None):
+    """n fingerprints that each differ from a base in some ``flips`` bits."""
+    base = rng.integers(0, 2**64, (1, 4), dtype=np.uint64) if base is None else base
+    change = np.stack([np.packbits(rng.random((n, 64)) < flips / 256, axis=1).view(np.uint64)[:, 0] for _ in range(4)], axis=1)
+    return base ^ change
+
+
+def groups_of(links, n):
+    root = np.arange(n)
+    root[links[0]] = links[1]
+    return root.tolist()
+
+
+def brute_groups(prints, most):
+    edges = [(i, j) for i in range(len(prints)) for j in (i + 1 + np.flatnonzero(simhash.distances(prints[i + 1 :], prints[i]) <= most)).tolist()]
+    a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    return groups_of(simhash.forest(a, b), len(prints))
+
+
+@pytest.mark.parametrize("mix", ["tight", "wide", "chains", "strangers", "all"])
+def test_pivot_table_loses_no_link(mix):
+    rng = np.random.default_rng(len(mix))
+    parts = {
+        "tight": [family(rng, 300, 12)], "wide": [family(rng, 400, 30)], "strangers": [rng.integers(0, 2**64, (500, 4), dtype=np.uint64)],
+        "chains": [family(rng, 40, 24, f[None]) for f in family(rng, 10, 30)],
+    }
+    prints = np.concatenate(parts[mix] if mix != "all" else [x for p in parts.values() for x in p])
+    prints = prints[rng.permutation(len(prints))]
+    links = simhash.near_pairs_of(prints, np.arange(len(prints)), np.zeros(len(prints), np.uint64), simhash.MAX_DISTANCE)
+    assert groups_of(links.forest(), len(prints)) == brute_groups(prints, simhash.MAX_DISTANCE)
+
+
+def test_a_bucket_of_a_hundred_thousand():
+    """Different fingerprints in one bucket: strangers among whom pairs at the largest distance are planted, and a family of one template."""
+    rng = np.random.default_rng(5)
+    n, pairs = 100_000, 1000
+    strangers = rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+    strangers[pairs : 2 * pairs] = strangers[:pairs]
+    for r in strangers[pairs : 2 * pairs]:
+        for x in rng.permutation(256)[: simhash.MAX_DISTANCE].tolist():
+            r[x // 64] ^= np.uint64(1) << np.uint64(x % 64)
+    for prints, least in ((strangers, 0.95 * pairs), (family(rng, n, 12), n - 1)):
+        began = time.process_time()
+        a, _ = simhash.near_pairs_of(prints, np.arange(n), np.zeros(n, np.uint64), simhash.MAX_DISTANCE).forest()
+        assert len(a) >= least and time.process_time() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4 << 20  # kB
+
+
+def test_hot_keys_are_split_over_tasks(spark):
+    """With keys split from 20 rows on, the groups are those of whole keys, but for the recall of the split."""
+    rng = np.random.default_rng(11)
+    prints = np.concatenate([family(rng, 60, 14) for _ in range(20)] + [rng.integers(0, 2**64, (300, 4), dtype=np.uint64)])
+    rows = [(i, *map(int, p.view(np.int64))) for i, p in enumerate(prints)]
+    distinct = spark.createDataFrame(rows, "rep long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    want = brute_groups(prints, simhash.MAX_DISTANCE)
+    for hot in (20, 10**9):
+        edges = simhash._edges_of_buckets(distinct, len(rows), simhash.MAX_DISTANCE, None, hot).collect()
+        got = groups_of(simhash.forest(np.array([e.a for e in edges]), np.array([e.b for e in edges])), len(prints))
+        assert sum(x == y for x, y in zip(got, want)) >= 0.98 * len(prints)
+        assert all(want[i] == want[r] for i, r in enumerate(got))
 
 
 # op3
