@@ -2,16 +2,17 @@
 
 Each component is quantised to ``2 ** bits`` cells between the table's bounds; the file of cell
 numbers is a small part of the vectors. A query's distance to a vector lies between bounds
-that come from the vector's cell alone: the distance to the cell's centre, less or more
-half the cell's diagonal. Step 1 scans the cells and keeps, for each query, whatever has a
+that come from the vector's cells alone. Step 1 scans the cells: the distance to the cells' centre, less or more
+half their diagonal, is a bound that a matrix product gives for all; what that leaves gets the exact bounds,
+component by component (to the nearest and to the farthest edge of each cell). It keeps, for each query, whatever has a
 lower bound within the kth smallest upper bound. Step 2 reads exact vectors in lower-bound
 order: first those of the k lowest bounds, whose greatest exact distance then says which
 of the others must still be read; past it the kth result is certain.
 
-Blocks. Every row is a query, so the work is quadratic; the table is cut in blocks and a task
-pairs one block of queries with one block of cells. What a task keeps is pruned again by the
-kth smallest upper bound over all blocks before exact vectors are read, so these are
-fetched for little more than k candidates a query.
+Layout. Queries are cut in blocks, cells in stripes, and a task scans one stripe for one block, a part of the
+stripe at a time: what it has seen bounds what it keeps of the rest, so that a stripe gives little more than k
+candidates a query. Only cell numbers travel to the blocks (a byte a component where vectors have four), queries with their vectors
+to the stripes. Both sides of a task are bounded in rows whatever the table's size.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import cut, map_batches
 
 K = 10
 BITS = 8
-#: Rows of a block of queries or cells.
-BLOCK = 8192
+#: Queries of a block, and the most cells of a stripe.
+QUERIES, CELLS = 32_768, 1 << 20
+#: Cells and queries of one matrix product.
+_PART = 2048
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -42,81 +45,122 @@ def quantise(x: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> np.
     return np.clip(np.floor((x - low) / width), 0, (1 << bits) - 1).astype(np.uint8)
 
 
-def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
-    """Squared distances (queries, cells) to the cells' centres, and the slack of a distance on either side: half a cell's diagonal and the rounding of the product."""
-    width = np.where(high > low, (high - low) / (1 << bits), 0.0)
-    centres = low + (cells + 0.5) * width
-    q, c = (queries**2).sum(axis=1), (centres**2).sum(axis=1)
-    far = float(q.max(initial=0.0) + c.max(initial=0.0))
-    d = queries @ centres.T
-    d *= -2.0
-    d += q[:, None]
-    d += c[None, :]
-    # sqrt(v + e) - sqrt(v) <= sqrt(e): the product's cancellation is at most about dim * eps of the squares
-    return d, float(np.sqrt((width**2).sum()) / 2 + math.sqrt(4 * queries.shape[1] * np.finfo(float).eps * max(far, 1e-300)))
-
-
-def keep_by_bounds(square: np.ndarray, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, cell) indexes whose lower bound is within the query's kth smallest upper bound."""
-    if square.shape[1] <= k:
-        return np.nonzero(np.ones(square.shape, bool))
-    kth = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0))
-    return np.nonzero(square <= ((kth + 2 * slack) ** 2)[:, None])
+def centres(cells: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of cells, and half the widths of a cell."""
+    half = np.where(high > low, (high - low) / (1 << bits), 0.0) / 2
+    return low + (2 * cells + 1) * half, half
 
 
-def nearest(table: DataFrame, k: int = K, bits: int = BITS, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, neighbour_id, distance, rank): for each row, the k other rows nearest by Euclidean distance.
-
+def slack(queries: np.ndarray, middle: np.ndarray, half: np.ndarray) -> float:
+    """How far a distance by the matrix product to a cell's centre may be from the distance to a vector in the cell: half the diagonal and the product's rounding."""
+    far = float((queries**2).sum(axis=1).max(initial=0.0) + (middle**2).sum(axis=1).max(initial=0.0))
+    # sqrt(v + e) - sqrt(v) <= sqrt(e): the product's cancellation is at most about dim * eps of the squares
+    return float(np.sqrt((half**2).sum()) + math.sqrt(4 * queries.shape[1] * np.finfo(float).eps * max(far, 1e-300)))
+
+
+def cell_bounds(queries: np.ndarray, middle: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row: the least and the greatest distance of a query to a vector in a cell with that centre."""
+    off = np.abs(queries - middle)
+    # a little wider than the cell, so that rounding can't put a vector outside of its bounds
+    edge = half * (1 + 1e-9) + 1e-12 * (np.abs(middle) + np.abs(queries))
+    return np.sqrt((np.maximum(off - edge, 0) ** 2).sum(axis=1)), np.sqrt(((off + edge) ** 2).sum(axis=1))
+
+
+def scan_cells(queries: np.ndarray, q_ids: np.ndarray, cells: np.ndarray, c_ids: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int, k: int) -> tuple[np.ndarray, ...]:
+    """(query index, cell id, lower, upper) of what a query may have among its k nearest in these cells; a row is no neighbour of its own id."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(queries), _PART):
+        q, own = queries[a : a + _PART], q_ids[a : a + _PART]
+        q2 = (q**2).sum(axis=1)
+        held: list[tuple[np.ndarray, ...]] = []
+        limit = np.full(len(q), np.inf)  # kth smallest upper bound so far
+        best = np.full((len(q), k), np.inf)
+        for b in range(0, len(cells), _PART):
+            middle, half = centres(cells[b : b + _PART].astype(np.float64), low, high, bits)
+            ids = c_ids[b : b + _PART]
+            square = q @ middle.T
+            square *= -2.0
+            square += q2[:, None]
+            square += (middle**2).sum(axis=1)[None, :]
+            wide = slack(q, middle, half)
+            # of this part alone, and of what was before
+            reach = limit
+            if square.shape[1] > k + 1:
+                # the row itself may be among them
+                kth = np.sqrt(np.maximum(np.partition(square, k, axis=1)[:, k], 0)) + wide
+                reach = np.minimum(limit, kth)
+            i, j = np.nonzero(square <= ((reach + wide) ** 2)[:, None])
+            other = own[i] != ids[j]
+            i, j = i[other], j[other]
+            lower, upper = cell_bounds(q[i], middle[j], half)
+            keep = lower <= limit[i]
+            i, j, lower, upper = i[keep], j[keep], lower[keep], upper[keep]
+            held.append((i, ids[j], lower, upper))
+            # k smallest upper bounds of each query
+            order = np.lexsort((upper, i))
+            row, up = i[order], upper[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            new = np.full((len(q), k), np.inf)
+            new[row[place < k], place[place < k]] = up[place < k]
+            best = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, :k]
+            limit = best[:, k - 1]
+        i, ids, lower, upper = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        keep = lower <= limit[i]
+        parts.append((i[keep] + a, ids[keep], lower[keep], upper[keep]))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
+def nearest(
+    table: DataFrame, k: int = K, bits: int = BITS, id_col: str = "vec_id", vector_col: str = "embedding", asks: Column | None = None, queries_of_block: int = QUERIES, cells_of_stripe: int = CELLS,
+) -> DataFrame:
+    """(query_id, neighbour_id, distance, rank): for each query row, the k other rows nearest by Euclidean distance.
+
+    ``asks``: a condition on ``id_col`` (and other columns of the table) that tells the query rows; all by default.
     Exact; equal distances go by id. Rows with a null id or vector, with another length than most vectors (the
     most frequent length; of equals the greater), or with a null or non-finite component take no part. An id counts as a row: of rows that repeat
-    an id the first vector in order stays. With fewer than k other rows, all are given; one row gives none.
+    an id the first vector in order stays, and it is a query if one of them is. With fewer than k other rows, all are given; one row gives none.
+    An empty table gives no rows. Other columns, of whatever names, are read only by ``asks``.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    ask = F.coalesce(asks if asks is not None else F.lit(True), F.lit(False))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), ask.alias("ask"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("ask").alias("ask")))
     schema = "query_id long, neighbour_id long, distance double, rank int"
-    if sizes is None:
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("ask").alias("asked")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if sizes is None or not sizes["asked"]:
         return table.sparkSession.createDataFrame([], schema)
-    dim, n = sizes["dim"], sizes["count"]
+    dim, n, asked = sizes["dim"], sizes["n"], sizes["asked"]
     rows = rows.where(F.size("v") == dim)
-    ends = rows.select(F.posexplode("v")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).orderBy("pos").collect()
+
+    def ends_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = _matrix(batch.column(0), dim)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(x.min(axis=0)), pa.array(x.max(axis=0))], names=["pos", "low", "high"])
+
+    ends = map_batches(rows.select("v"), ends_of, "pos long, low double, high double").groupBy("pos").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("pos").collect()
     low, high = np.array([r.low for r in ends]), np.array([r.high for r in ends])
-    blocks = max(1, math.ceil(n / block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    blocks = max(1, math.ceil(asked / queries_of_block))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    stripes = max(math.ceil(n / cells_of_stripe), min(math.ceil(2 * cores / blocks), math.ceil(n / (4 * _PART))), 1)
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = _matrix(batch.column(1), dim)
-        codes = [r.tobytes() for r in quantise(x, low, high, bits)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), batch.column(2)], names=["id", "cell", "b"])
-
-    cells = map_batches(rows, pack, "id long, cell binary, b int")
-    # the cells and the queries of a block travel once for each block they meet
-    by_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.select("id", "v", F.col("b").alias("qb")).withColumn("cb", by_block)
-    cells = cells.select("id", "cell", F.col("b").alias("cb")).withColumn("qb", by_block)
-
-    def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "lower": pa.array([], pa.float64()), "upper": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
+        codes = quantise(_matrix(batch.column(1), dim), low, high, bits)
+        ends = np.arange(0, codes.size + 1, dim, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])], names=["id", "cell"])
+
+    place = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    queries = rows.where("ask").select("id", "v", place(blocks, 1).alias("qb"), every(stripes).alias("cs"))
+    cells = map_batches(rows.select("id", "v"), pack, "id long, cell binary").select("id", "cell", place(stripes, 2).alias("cs"), every(blocks).alias("qb"))
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, c_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        x = _matrix(left.column("v").combine_chunks(), dim)
+        x = _matrix(left.column("v").combine_chunks(), dim) if left.num_rows else np.zeros((0, dim))
         c = np.frombuffer(b"".join(right.column("cell").to_pylist()), np.uint8).reshape(-1, dim)
-        out, same = [], key[0] == key[1]
-        for a in range(0, len(x), 512):
-            square, slack = bounds(x[a : a + 512], c, low, high, bits)
-            if same:  # a row is no neighbour of its own
-                square[q_ids[a : a + 512, None] == c_ids[None, :]] = np.inf
-            i, j = keep_by_bounds(square, slack, k)
-            fine = np.isfinite(square[i, j])
-            i, j = i[fine], j[fine]
-            d = np.sqrt(np.maximum(square[i, j], 0))
-            out.append(pa.table({"q": pa.array(q_ids[a + i]), "id": pa.array(c_ids[j]), "lower": pa.array(np.maximum(d - slack, 0)), "upper": pa.array(d + slack)}))
-        return pa.concat_tables(out)
-
-    pairs = queries.groupBy("qb", "cb").cogroup(cells.groupBy("qb", "cb")).applyInArrow(scan, "q long, id long, lower double, upper double")
-    # over all blocks: the kth smallest upper bound of each query
+        i, ids, lower, upper = scan_cells(x, q_ids, c, c_ids, low, high, bits, k)
+        return pa.table({"q": pa.array(q_ids[i]), "id": pa.array(ids), "lower": pa.array(lower), "upper": pa.array(upper)})
+
+    pairs = queries.groupBy("qb", "cs").cogroup(cells.groupBy("qb", "cs")).applyInArrow(scan, "q long, id long, lower double, upper double")
+    # over all stripes: the kth smallest upper bound of each query
     best = pairs.withColumn("u", F.row_number().over(Window.partitionBy("q").orderBy("upper", "id")))
     limit = F.min(F.when(F.col("u") == k, F.col("upper"))).over(Window.partitionBy("q"))
     few = best.withColumn("limit", limit).where("limit is null or lower <= limit").select("q", "id", "lower")
@@ -124,7 +168,7 @@ def nearest(table: DataFrame, k: int = K, bits: int = BITS, id_col: str = "vec_i
     square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
     def exact(some: DataFrame) -> DataFrame:
-        read = some.join(rows.select("id", "v"), "id").join(rows.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+        read = some.join(rows.select("id", "v"), "id").join(rows.where("ask").select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
         return read.select("q", "id", F.sqrt(square).alias("distance"))
 
     first = cut(exact(few.where(F.col("place") <= k)))

@@ -125,17 +125,31 @@ def packed(words, power):
 def test_packing_against_brute_force(spark, corpus):
     import re
 
-    rows = corpus.select("doc_id", "text").collect()
-    got = defaultdict(list)
-    for r in packing.pack(corpus, 4).collect():
-        got[r.doc_id].append(r)
-    for r in rows:
-        mine = sorted(got[r.doc_id], key=lambda x: x.piece)
-        assert "".join(x.text for x in mine) == r.text
-        tokens = re.findall(r"[ \t\n\r]*[^ \t\n\r]+(?:[ \t\n\r]+\Z)?|[ \t\n\r]+\Z", r.text)
-        assert [(x.start, x.power) for x in mine] == packed(tokens, 4)
-        assert [x.text for x in mine] == ["".join(tokens[s : s + (1 << k)]) for s, k in packed(tokens, 4)]
-        assert all(x.n_tokens == 1 << x.power for x in mine)
+    rng = random.Random(2)
+    signs = ["a", "é", "梦", "🙂", " ", "\n", "\t", "\u3000", "x" * 63, "y" * 64, "z" * 130, "é" * 65, "  "]
+    rows = [(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()]
+    rows += [(-1 - i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(-900, None), (-901, " \n "), (-902, "")]
+    table = docs_of(spark, [(i, t, None, None, None) for i, t in rows])
+    for power in (4, 11):
+        got = defaultdict(list)
+        for r in packing.pack(table, power).collect():
+            got[r.doc_id].append(r)
+        for i, t in rows:
+            mine = sorted(got[i], key=lambda x: x.piece)
+            assert "".join(x.text for x in mine) == (t or "")
+            tokens = re.findall(r"[ \t\n\r]*[^ \t\n\r]{1,64}(?:[ \t\n\r]+\Z)?|[ \t\n\r]+\Z", t or "")
+            assert [(x.start, x.power) for x in mine] == packed(tokens, power)
+            assert [x.text for x in mine] == ["".join(tokens[s : s + (1 << k)]) for s, k in packed(tokens, power)]
+            assert all(x.n_tokens == 1 << x.power for x in mine) and [x.piece for x in mine] == list(range(len(mine)))
+
+
+def test_packing_of_a_very_long_text(spark):
+    import time
+
+    table = docs_of(spark, [(1, "word " * 2_000_000, None, None, None), (2, "x" * 5_000_000, None, None, None)])
+    began = time.time()
+    got = {r.doc_id: (r.n, r.longest) for r in packing.pack(table).groupBy("doc_id").agg({"n_tokens": "sum", "text": "max"}).selectExpr("doc_id", "`sum(n_tokens)` as n", "length(`max(text)`) as longest").collect()}
+    assert got[1][0] == 2_000_000 and got[2] == (-(-5_000_000 // 64), 2048 * 64) and time.time() - began < 20
 
 
 # op3
@@ -544,32 +558,51 @@ def test_near_duplicates_of_planted_copies(spark):
 # op9
 
 
-def test_top_k_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("asks", [None, "vec_id % 20 = 0"])
+def test_top_k_against_brute_force(spark, asks):
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[50:60] = x[40:50]  # ties
     x[:, 3] = 0.5  # a component without spread
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    for bits, block in ((2, 64), (8, 1000)):
+    for bits, queries, stripe in ((2, 64, 40), (8, 1000, 1000)):
         got = defaultdict(list)
-        for r in vafile.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, bits, block=block).collect():
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        for r in vafile.nearest(table, 5, bits, asks=asks and F.expr(asks), queries_of_block=queries, cells_of_stripe=stripe).collect():
             got[r.query_id].append((r.rank, r.neighbour_id, r.distance))
         d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(-1))
-        for q in range(300):
+        asked = [q for q in range(300) if not asks or q % 20 == 0]
+        assert sorted(got) == asked
+        for q in asked:
             want = sorted((d[q, j], j) for j in range(300) if j != q)[:5]
             assert [(k + 1, j) for k, (_, j) in enumerate(want)] == [g[:2] for g in sorted(got[q])]
             np.testing.assert_allclose([g[2] for g in sorted(got[q])], [w[0] for w in want], atol=1e-6)
 
 
-def test_bounds_hold():
+def test_bounds_hold_and_few_candidates_are_kept(monkeypatch):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 6))
+    x = rng.normal(size=(600, 6))
     low, high = x.min(axis=0), x.max(axis=0)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    i, j = np.indices(d.shape).reshape(2, -1)
+    monkeypatch.setattr(vafile, "_PART", 64)
     for bits in (1, 3, 8):
-        square, slack = vafile.bounds(x, vafile.quantise(x, low, high, bits), low, high, bits)
-        centre = np.sqrt(np.maximum(square, 0))
-        assert (centre - slack <= d).all() and (d <= centre + slack).all()
+        cells = vafile.quantise(x, low, high, bits)
+        middle, half = vafile.centres(cells.astype(float), low, high, bits)
+        lower, upper = vafile.cell_bounds(x[i], middle[j], half)
+        assert (lower <= d.ravel()).all() and (d.ravel() <= upper).all()
+        wide = vafile.slack(x, middle, half)
+        centre = np.sqrt(((x[:, None] - middle[None]) ** 2).sum(-1))
+        assert (np.abs(centre - d) <= wide).all()
+        q, ids, least, most = vafile.scan_cells(x, np.arange(600), cells, np.arange(600), low, high, bits, 5)
+        kept = set(zip(q.tolist(), ids.tolist()))
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1)[:, :5]
+        assert all((a, int(b)) in kept for a in range(600) for b in near[a])
+        np.fill_diagonal(d, 0)
+    assert len(q) < 600 * 8
 
 
 # op10
