@@ -67,11 +67,11 @@ x{n} AS (SELECT {key}, sum(k) AS total, count(*) AS followers FROM c{n} GROUP BY
 d{n} AS (SELECT lang, CASE WHEN one = 0 THEN 0.5 ELSE one / (one + 2 * two) END AS d FROM (SELECT lang, count(*) FILTER (WHERE k = 1) AS one, count(*) FILTER (WHERE k = 2) AS two FROM c{n} GROUP BY lang))"""
 
 
-# an order-3 model; languages with fewer than 2 * hold_out labelled texts would be held out whole, which this leaves aside
+# an order-3 model; a language with fewer than 2 * hold_out labelled texts trains and calibrates on all of them
 OP1_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, * FROM documents),
-samp AS (SELECT rid, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, text) - 1 AS i, text FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM docs WHERE lang IS NOT NULL AND doc_id IS NOT NULL)
+samp AS (SELECT rid, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, text) - 1 AS i, count(*) OVER (PARTITION BY lang) < {2 * _L.hold_out} AS few, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, text NULLS LAST) AS k FROM docs WHERE lang IS NOT NULL AND doc_id IS NOT NULL)
   WHERE k <= {_L.per_language} AND text IS NOT NULL),
 letters AS (SELECT c, CAST(row_number() OVER (ORDER BY unicode(c)) + 1 AS INTEGER) AS sym FROM (
   SELECT c FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', '', 'g'), '')) AS c FROM samp) WHERE c <> '' GROUP BY c HAVING count(*) >= {_L.min_letter})),
@@ -80,7 +80,7 @@ flat AS (SELECT rid, unnest(l) AS c, generate_subscripts(l, 1) AS j FROM (
   SELECT rid, string_split(s, '') AS l FROM (SELECT rid, trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' ') AS s FROM docs) WHERE s <> '')),
 sym AS (SELECT rid, j, CASE WHEN c = ' ' THEN 0 ELSE coalesce(sym, 1) END AS z FROM flat LEFT JOIN letters USING (c)),
 gram AS (SELECT rid, coalesce(lag(z, 2) OVER w, 0) AS x, coalesce(lag(z, 1) OVER w, 0) AS y, z FROM sym WINDOW w AS (PARTITION BY rid ORDER BY j)),
-{_level(3, "x, y, z", "x, y", f"SELECT lang, x, y, z, count(*) AS k FROM gram JOIN samp USING (rid) WHERE i % {_L.hold_out} <> 0 GROUP BY lang, x, y, z")},
+{_level(3, "x, y, z", "x, y", f"SELECT lang, x, y, z, count(*) AS k FROM gram JOIN samp USING (rid) WHERE few OR i % {_L.hold_out} <> 0 GROUP BY lang, x, y, z")},
 {_level(2, "y, z", "y", "SELECT lang, y, z, count(*) AS k FROM c3 GROUP BY lang, y, z")},
 {_level(1, "z", "", "SELECT lang, z, count(*) AS k FROM c2 GROUP BY lang, z")},
 g AS (SELECT DISTINCT x, y, z FROM gram),
@@ -91,7 +91,7 @@ p2 AS (SELECT p1.x, p1.y, p1.z, p1.lang, CASE WHEN x2.total IS NULL THEN p ELSE
 p3 AS (SELECT p2.x, p2.y, p2.z, p2.lang, -log2(CASE WHEN x3.total IS NULL THEN p ELSE greatest(coalesce(c3.k, 0) - d3.d, 0) / x3.total + d3.d * x3.followers / x3.total * p END) AS bits
   FROM p2 JOIN d3 USING (lang) LEFT JOIN x3 ON x3.lang = p2.lang AND x3.x = p2.x AND x3.y = p2.y LEFT JOIN c3 ON c3.lang = p2.lang AND c3.x = p2.x AND c3.y = p2.y AND c3.z = p2.z),
 h AS (SELECT rid, p3.lang AS model, count(*) AS n, sum(bits) AS total, sum(bits * bits) AS square FROM gram JOIN p3 USING (x, y, z) GROUP BY rid, p3.lang),
-held AS (SELECT lang, model, sum(total) / sum(n) AS mean, sum(square) / sum(n) - (sum(total) / sum(n)) ** 2 AS variance FROM h JOIN samp USING (rid) WHERE i % {_L.hold_out} = 0 GROUP BY lang, model),
+held AS (SELECT lang, model, sum(total) / sum(n) AS mean, sum(square) / sum(n) - (sum(total) / sum(n)) ** 2 AS variance FROM h JOIN samp USING (rid) WHERE few OR i % {_L.hold_out} = 0 GROUP BY lang, model),
 cal AS (SELECT model, max(mean) FILTER (WHERE lang = model) AS mean, max(variance) FILTER (WHERE lang = model) AS variance,
   coalesce(avg(mean) FILTER (WHERE lang <> model), (SELECT log2(a) FROM size)) AS foreign_mean FROM held GROUP BY model),
 best AS (SELECT rid, model, n, total / n AS bits FROM h QUALIFY row_number() OVER (PARTITION BY rid ORDER BY total / n, model) = 1)
@@ -158,9 +158,9 @@ cp AS (SELECT rid, cl.total, cl.k / greatest(cl.total, 1) AS p, cr.k / greatest(
 cd AS (SELECT rid, total AS n_chars, CASE WHEN total = 0 THEN 0 ELSE round(sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6) END AS dist FROM cp GROUP BY rid, total),
 w AS (SELECT rid, lang, lower(unnest(regexp_extract_all(text, '\p{{L}}+'))) AS w FROM d),
 wl AS (SELECT lang, w, count(*) AS k FROM w GROUP BY lang, w),
-wk AS (SELECT lang, w, k, rank() OVER (PARTITION BY lang ORDER BY k DESC) AS r, sum(k) OVER (PARTITION BY lang) AS total FROM wl),
+wk AS (SELECT lang, w, k, count(*) OVER (PARTITION BY lang ORDER BY k DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r, sum(k) OVER (PARTITION BY lang) AS total FROM wl),
 common AS (SELECT * FROM wk WHERE r <= {_Q.top}),
-wr AS (SELECT lang, w, k, total FROM common UNION ALL SELECT lang, NULL, total - sum(k), total FROM common GROUP BY lang, total),
+wr AS (SELECT lang, w, k, total FROM common UNION ALL SELECT lang, NULL, total - coalesce(sum(k) FILTER (WHERE r <= {_Q.top}), 0), total FROM wk GROUP BY lang, total),
 wd AS (SELECT rid, w.lang, common.w AS w, count(*) AS k FROM w LEFT JOIN common ON w.lang = common.lang AND w.w = common.w GROUP BY rid, w.lang, common.w),
 wt AS (SELECT rid, lang, count(*) AS n FROM w GROUP BY rid, lang),
 wp AS (SELECT wt.rid, wt.n, coalesce(wd.k, 0) / wt.n AS p, wr.k / wr.total AS q FROM wt JOIN wr ON wt.lang = wr.lang LEFT JOIN wd ON wd.rid = wt.rid AND wd.w IS NOT DISTINCT FROM wr.w),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,10 +16,15 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the one that the cluster names, else (in tests) one of our own."""
+    """Make sure that checkpoints have a folder: the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine (``local`` as its master) may do without: it gets a temporary folder.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathomix-"))
 
 
@@ -28,15 +34,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of an Arrow batch. Spark's own 10,000 would make batches of gigabytes from texts of 100 kB.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch. Spark's own 10,000 rows of any size would make batches of gigabytes from texts of 100 kB.
+BATCH_ROWS, BATCH_BYTES = 1024, 64 << 20
 
 
 def _small_batches(df: DataFrame) -> None:
-    """Bound the batches that Python workers get, where the session leaves Spark's default."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(name)) == 10_000:
-        conf.set(name, str(BATCH_ROWS))
+    """Bound the batches that Python workers get where the session leaves Spark's defaults (batches are cut when the plan runs, so no narrower place than the session is left)."""
+    conf = df.sparkSession.conf
+    for name, least, value in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 256 << 20, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, None)
+        if now is not None and now.isdigit() and int(now) >= least:
+            conf.set(key, str(value))
+
+
+#: Values of a language column from which it is taken for something else.
+MOST_LANGUAGES = 10_000
+
+
+def check_languages(docs: DataFrame, lang_col: str) -> None:
+    """What is kept of each language is bounded; so is their number: ValueError past MOST_LANGUAGES."""
+    if docs.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import map_batches
+from .cluster import check_languages, map_batches
 from .text import LETTER, Chunk, chunks, find, kinds, lowered, mix
 
 BOUNDARY, UNKNOWN = 0, 1
@@ -203,7 +203,10 @@ def cross_entropies(who: Identifier, c: Chunk) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Identifier:
-    """Identifier from (language, text) pairs; every ``hold_out``-th text of a language calibrates, the others train."""
+    """Identifier from (language, text) pairs; every ``hold_out``-th text of a language calibrates, the others train.
+
+    A language with fewer than twice ``hold_out`` texts trains on all and is calibrated on the same, so its limit is tight.
+    """
     by: dict[str, list[str]] = {}
     for lang, text in texts:
         by.setdefault(lang, []).append(text)
@@ -238,13 +241,18 @@ def fit(texts: list[tuple[str, str]], settings: Settings = Settings()) -> Identi
 
 
 def sample(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """Up to ``per_language`` labelled texts of each language, those of the smallest MD5 of their ids."""
+    """Up to ``per_language`` labelled rows of each language, first in the order of the MD5 of their ids, the ids and the texts, less those with a null text. Rows are bounded, not ids."""
+    check_languages(docs, lang_col)
+    order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     label = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("doc_id is not null and lang is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    ids = label.withColumn("k", place).where(F.col("k") <= settings.per_language).select("doc_id").distinct()
+    # ids first, from two narrow columns; then the texts of their rows, again no more than per_language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ids = label.withColumn("k", place).where(F.col("k") <= settings.per_language).select("doc_id", "lang").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # bounded: per_language ids of each language
-    found = rows.join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null and lang is not null").collect()
+    some = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc_nulls_last("text")))
+    found = some.withColumn("k", place).where(F.col("k") <= settings.per_language).where("text is not null").collect()
     found.sort(key=lambda r: (r.lang, r.doc_id, r.text))
     return [(r.lang, r.text) for r in found]
 
@@ -268,7 +276,7 @@ def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     ``language`` is the best model's, also of a rejected text; null where there is no letter. A null or empty
     text, and one without letters, has 0 symbols and isn't accepted. Equal entropies go to the language first
     in order. Where no row is labelled there is no model and nothing is accepted. Rows with a null or repeated
-    id give a row each.
+    id give a row each; an empty table gives none. Other columns, of whatever names, aren't read. Texts of any length are read whole.
     """
     who = fit(sample(docs, settings, id_col, text_col, lang_col), settings)
 
@@ -285,13 +293,23 @@ def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     return map_batches(rows, work, "doc_id long, language string, bits double, n_symbols long, accepted boolean")
 
 
-def keep_known(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that ``identify`` accepts, all columns unchanged."""
+def keep_known(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", set_lang: bool = False) -> DataFrame:
+    """The documents that ``identify`` accepts, all columns unchanged; with ``set_lang`` the language column gets the identified language.
+
+    Null and empty texts, and those without letters, aren't accepted. Rows with a null id and repeated rows are judged each
+    by their texts; other columns, of whatever names and types, pass through. An empty table gives no rows.
+    """
     who = fit(sample(docs, settings, id_col, text_col, lang_col), settings)
-    text = docs.columns.index(text_col)
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = np.concatenate([decide(who, c)[3] for c in chunks(batch.column(text))])
+        judged = [decide(who, c) for c in chunks(batch.column(text))]
+        best, keep = (np.concatenate([j[k] for j in judged]) for k in (0, 3))
+        if set_lang:
+            names = np.array([m.lang for m in who.models] + [None], object)
+            columns = list(batch.columns)
+            columns[lang] = pa.array(names[best], pa.string()).cast(columns[lang].type)
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
         yield batch.filter(pa.array(keep))
 
     return map_batches(docs, work, docs.schema)

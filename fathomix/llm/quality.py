@@ -1,8 +1,8 @@
 """Quality rules by divergence from the language.
 
 For each language the whole corpus gives two references: the histogram of character
-classes, and the histogram of its common words (the ``top`` words by count, with all
-ties, and one bin for the rest). A document is compared with the references of its own
+classes, and the histogram of its common words (the ``top`` words by count, without those tied
+at the last place if they don't all fit, and one bin for the rest). A document is compared with the references of its own
 language by Jensen-Shannon distance (base 2, so 0 to 1) and rejected where a distance
 exceeds its limit. A rule judges only documents of a minimum length; shorter ones pass it.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import map_batches, map_partition
+from .cluster import check_languages, map_batches, map_partition
 from .text import LETTER, chunks, find, kinds, lowered, merge_counts, runs, span_hashes
 
 CLASSES = ("lower", "upper", "letter", "number", "space", "punctuation", "other")
@@ -98,7 +98,6 @@ class Reference:
     rest: int
 
 
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language of a partition: words by hash, and under the flag ``word`` = false the classes by number, then all words."""
     kept: dict[str, tuple[list, list]] = {}
@@ -133,21 +132,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
-    """References of each language, counted over all documents; what comes to the driver is ``top`` words (and ties) a language."""
+    """References of each language, counted over all documents; what comes to the driver is ``top`` + 1 words a language."""
+    check_languages(docs, lang_col)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     counts = map_partition(rows, _count, "lang string, hash long, n long, word boolean").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
-    # a rank alone, so that each task keeps only its best before the shuffle
-    rank = F.rank().over(Window.partitionBy("lang", "word").orderBy(F.desc("n")))
+    # a row number alone, so that each task keeps only its best before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang", "word").orderBy(F.desc("n"), "hash"))
     found: dict[str, Reference] = {}
     by: dict[str, list] = {}
-    for x in counts.withColumn("k", rank).where(F.col("k") <= max(rules.top, len(CLASSES) + 1)).collect():
+    for x in counts.withColumn("k", rank).where(F.col("k") <= max(rules.top, len(CLASSES)) + 1).collect():
         by.setdefault(x.lang, []).append(x)
     for lang, xs in by.items():
         cls = np.zeros(len(CLASSES), np.int64)
         for x in xs:
             if not x.word and x.hash < len(cls):
                 cls[x.hash] = x.n
-        common = sorted((np.int64(x.hash).view(np.uint64), x.n) for x in xs if x.word and x.k <= rules.top)
+        # the word after the last tells whether those tied at the last place all fit
+        least = max((x.n for x in xs if x.word and x.k == rules.top + 1), default=0)
+        common = sorted((np.int64(x.hash).view(np.uint64), x.n) for x in xs if x.word and x.k <= rules.top and x.n > least)
         hashes, n = np.array([c[0] for c in common], np.uint64), np.array([c[1] for c in common], np.int64)
         total_words = next((x.n for x in xs if not x.word and x.hash == len(cls)), 0)
         found[lang] = Reference(cls, hashes, n, int(total_words - n.sum()))
@@ -189,8 +191,9 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     """(doc_id, class_distance, word_distance, keep): the two distances of each document and whether it passes.
 
     A null text gives null distances and isn't kept. An empty text has distances 0 and passes, being shorter
-    than either guard. A null language is a language of its own. Rows with a null or repeated id give a row
-    each; an empty table gives none. Ties at the last common word are all taken.
+    than either guard. A null language is a language of its own, the same as an empty one. Rows with a null or repeated id give a row
+    each; an empty table gives none. Words tied at the last place of the common ones are left out if they don't all fit.
+    Texts of any length are read whole; other columns, of whatever names, aren't read.
     """
     refs = references(docs, rules, text_col, lang_col)
 
@@ -207,7 +210,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that ``judged`` keeps, all columns unchanged, in one pass after the references."""
+    """The documents that ``judged`` keeps, all columns unchanged, in one pass after the references.
+
+    Documents with a null text go; empty and short ones stay. Rows with a null id and repeated rows are judged each; other columns,
+    of whatever names and types, pass through. An empty table gives no rows.
+    """
     refs = references(docs, rules, text_col, lang_col)
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 

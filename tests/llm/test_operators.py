@@ -639,8 +639,8 @@ def test_quality_against_brute_force(spark, corpus):
 
     top = {}
     for lang, c in common.items():
-        least = c.most_common(rules.top)[-1][1]
-        top[lang] = {w: n for w, n in c.items() if n >= least}
+        after = c.most_common(rules.top + 1)[rules.top :]
+        top[lang] = {w: n for w, n in c.items() if not after or n > after[0][1]}
         top[lang][None] = sum(c.values()) - sum(top[lang].values())
     got = {r.doc_id: r for r in quality.judged(corpus).collect()}
     for r in rows:

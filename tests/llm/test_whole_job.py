@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fathomix.llm import hmm, pii, simhash
+from fathomix.llm import cluster, hmm, langid, pii, quality, simhash
 
 # op8
 
@@ -142,3 +143,50 @@ def test_at_alone_makes_a_suspect(spark, pad):
     got = {(r.doc_id, r.start, r.length, r.value) for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {(i, a, b - a, v) for i, t in rows if t for a, b, _, v in pii.identifiers(t)}
     assert got == want and {i for i, *_ in want} >= set(range(8))
+
+
+# op1
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"text {i}", "en", "s", 1) for i in range(3000)] + [(2 + i, f"other {i}", "de", "s", 1) for i in range(20)] + [(1, None, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = langid.sample(docs, langid.Settings(per_language=300))
+    assert sum(lang == "en" for lang, _ in got) == 300 and sum(lang == "de" for lang, _ in got) == 20
+
+
+def test_sql_of_few_labelled_texts(spark, tmp_path):
+    """A language with fewer texts than can be held out, repeated ids and null texts: the query and its SQL agree."""
+    import duckdb
+
+    from fathomix.llm import catalog
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' or doc_id % 23 = 0")
+    docs = source.unionByName(source.where("doc_id % 7 = 0")).unionByName(source.where("doc_id % 11 = 0").withColumn("text", F.lit(None).cast("string")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert con.sql("SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)").fetchall()[0][0] < 8
+    for name in ("op1_language_id", "op10_quality_rules"):
+        df = catalog.queries()[name](spark, str(tmp_path))
+        order = sorted(df.columns)
+        want = con.sql(f"SELECT {', '.join(order)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+        row = lambda r: repr([round(v, 5) if isinstance(v, float) else v for v in r])
+        assert sorted(map(row, df.select(*order).collect())) == sorted(map(row, want))
+
+
+# op10
+
+
+def test_references_take_no_ties_past_the_bound(spark):
+    rows = [(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)), "en"), (2, "one two two", "de"), (3, None, "fr")]
+    refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(refs["en"].hashes) == 0 and refs["en"].rest == 17_000 and sorted(refs["de"].counts.tolist()) == [1, 2] and refs["de"].rest == 0
+
+
+def test_a_column_that_is_no_language_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MOST_LANGUAGES", 5)
+    docs = spark.createDataFrame([(i, "text", f"l{i}", "s", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for f in (langid.sample, quality.references):
+        with pytest.raises(ValueError):
+            f(docs)
