@@ -17,4 +17,5 @@ class IndexConfig:
     window: int = 10
     rank_depth: int = 1000
     layer_threshold: float = 0.001
+    exact_up_to: int = 1500
     max_doc_bytes: int = 5_242_880

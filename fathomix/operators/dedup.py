@@ -37,3 +37,17 @@ def one_result_each(ranked: DataFrame, docs: DataFrame, collapse_sites: bool = T
         rows = rows.withColumn("own", F.coalesce("site", F.concat(F.lit("did:"), F.col("did").cast("string"))))
         rows = _one(rows, ["own"], order).drop("own")
     return _one(rows, ["digest"], order).select("did", "score")
+
+
+def filter_hits(index: Index, segments: DataFrame, sites: DataFrame | None = None, priors: DataFrame | None = None, site: str | None = None) -> DataFrame:
+    """(did, seg): hits as scoring and ranking take them.
+
+    Of documents with a prior of 1 only (where there are priors), of equal contents the last segment, and of each site
+    the last one, or with ``site`` all of that site.
+    """
+    if priors is not None:
+        segments = segments.join(priors.where("prior = 1").select("did"), "did", "left_semi")
+    segments = one_per_content(index, segments)
+    if sites is None:
+        return segments
+    return only_site(segments, sites, site) if site else one_per_site(segments, sites)

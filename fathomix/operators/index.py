@@ -1,8 +1,9 @@
-"""The tables of an index, all lazy: positions, postings, segments, lexicon.
+"""The tables of an index, all lazy or read from where they were written: bags, postings, segments, lexicon.
 
 A document is cut in segments of a fixed number of tokens, numbered from 1; segment 0, the
 head, holds its metadata attributes. The unit of every count is the segment: a term that a segment
-repeats counts once.
+repeats counts once. The base table is that of *bags*, a row for each segment with its tokens in order: positions and
+postings come from it without a shuffle, and whoever needs the contents of some segments reads those bags only.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from ..config import IndexConfig
 from ..functions.tokens import tokens
 
 
-def positions(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
-    """(did, seg, pos, term), with ``lang`` also (lang): each token; ``pos`` counts from 1 within the segment. No shuffle."""
+def bags(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(did, seg, terms), with ``lang`` also (lang): the tokens of each segment in order. No shuffle."""
     more = [F.col(lang).alias("lang")] if lang else []
-    found = docs.select(F.col(did).alias("did"), *more, F.posexplode(tokens(F.col(text), config.max_token_length)).alias("p", "term"))
-    return found.select("did", (F.floor(F.col("p") / config.segment_size) + 1).cast("int").alias("seg"), (F.col("p") % config.segment_size + 1).cast("int").alias("pos"), "term", *(["lang"] if lang else []))
+    size = config.segment_size
+    rows = docs.select(F.col(did).alias("did"), *more, tokens(F.col(text), config.max_token_length).alias("t")).where(F.size("t") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int")), lambda i: F.slice("t", i * size + 1, size))
+    found = rows.select("did", *(["lang"] if lang else []), F.posexplode(parts).alias("p", "terms"))
+    return found.select("did", (F.col("p") + 1).cast("int").alias("seg"), "terms", *(["lang"] if lang else []))
 
 
 def heads(docs: DataFrame, attributes: dict[str, str], did: str = "doc_id", lang: str | None = None) -> DataFrame:
@@ -43,24 +47,35 @@ def layer_of(freq: Column, limits: tuple[int, ...]) -> Column:
 
 @dataclass
 class Index:
-    """Tables of documents. ``positions`` and ``head`` (which may be None) carry the document's ``lang`` where it has one, so that no table joins it in."""
+    """Tables of documents. ``bags`` and ``head`` (which may be None) carry the document's ``lang`` where it has one, so that no table joins it in."""
 
-    positions: DataFrame
+    bags: DataFrame
     config: IndexConfig = IndexConfig()
     head: DataFrame | None = None
     priors: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, config: IndexConfig = IndexConfig(), attributes: dict[str, str] | None = None, did: str = "doc_id", text: str = "text", lang: str | None = None) -> Index:
-        return cls(positions(docs, config, did, text, lang), config, heads(docs, attributes, did, lang) if attributes else None)
+        return cls(bags(docs, config, did, text, lang), config, heads(docs, attributes, did, lang) if attributes else None)
+
+    @classmethod
+    def of_attributes(cls, rows: DataFrame, config: IndexConfig = IndexConfig()) -> Index:
+        """An index of (did, term) rows in any order: each document is one segment of attributes."""
+        return cls(rows.groupBy("did").agg(F.collect_set("term").alias("terms")).select("did", F.lit(1).alias("seg"), "terms"), config)
 
     @property
     def _lang(self) -> list[str]:
-        return [c for c in self.positions.columns if c == "lang"]
+        return [c for c in self.bags.columns if c == "lang"]
+
+    @property
+    def positions(self) -> DataFrame:
+        """(did, seg, pos, term, and ``lang`` where known): each token; ``pos`` counts from 1 within the segment."""
+        found = self.bags.select("did", "seg", *self._lang, F.posexplode("terms").alias("p", "term"))
+        return found.select("did", "seg", (F.col("p") + 1).cast("int").alias("pos"), "term", *self._lang)
 
     @cached_property
     def text_postings(self) -> DataFrame:
-        return self.positions.select("did", "seg", "term", *self._lang).distinct()
+        return self.bags.select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), *self._lang)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -71,11 +86,26 @@ class Index:
     @cached_property
     def segments(self) -> DataFrame:
         """(did, seg, n_tokens), head segments with 0 where there are heads."""
-        text = self.positions.groupBy("did", "seg").agg(F.count("*").alias("n_tokens"))
+        text = self.bags.select("did", "seg", F.size("terms").cast("long").alias("n_tokens"))
         if self.head is None:
             return text
         return text.unionByName(self.head.select("did", "seg").distinct().withColumn("n_tokens", F.lit(0).cast("long")))
 
+    def contents(self, segments: DataFrame, layered: bool = True) -> DataFrame:
+        """(did, seg, term, kind) of some segments, from their bags alone; ``layered`` leaves frequent tokens out."""
+        here = segments.select("did", "seg")
+        text = self.bags.join(here, ["did", "seg"], "left_semi").select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), F.lit("token").alias("kind"))
+        if layered and self.config.n_frequent:
+            text = text.join(F.broadcast(self.frequent), "term", "left_anti").select("did", "seg", "term", "kind")
+        if self.head is None:
+            return text
+        return text.unionByName(self.head.join(here, ["did", "seg"], "left_semi").select("did", "seg", "term", "kind"))
+
+    @property
+    def frequent(self) -> DataFrame:
+        """(term) of the frequent tokens, ``n_frequent`` a language at most."""
+        return self.lexicon.where("is_frequent").select("term")
+
     @cached_property
     def norm(self) -> DataFrame:
         """(term, freq): in how many segments a term is."""
@@ -103,7 +133,7 @@ class Index:
         """Postings that score and rank: all but those of frequent tokens."""
         if not self.config.n_frequent:
             return self.postings
-        return self.postings.join(F.broadcast(self.lexicon.where("is_frequent").select("term")), "term", "left_anti")
+        return self.postings.join(F.broadcast(self.frequent), "term", "left_anti")
 
     @cached_property
     def info(self) -> DataFrame:
@@ -130,8 +160,19 @@ class Index:
 
     def decode(self, segments: DataFrame | None = None) -> DataFrame:
         """(did, seg, text): tokens of each segment in order."""
-        some = self.positions if segments is None else self.positions.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
-        return some.groupBy("did", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x.term), " ").alias("text"))
+        some = self.bags if segments is None else self.bags.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
+        return some.select("did", "seg", F.array_join("terms", " ").alias("text"))
+
+    def docinfo(self) -> DataFrame:
+        """(did, first_seg, last_seg, n_tokens, prior): where a document's segments are, and its prior (1 where none is kept)."""
+        rows = self.segments.groupBy("did").agg(F.min("seg").alias("first_seg"), F.max("seg").alias("last_seg"), F.sum("n_tokens").alias("n_tokens"))
+        if self.priors is None:
+            return rows.withColumn("prior", F.lit(1.0))
+        return rows.join(self.priors.select("did", "prior"), "did", "left").withColumn("prior", F.coalesce("prior", F.lit(1.0)))
+
+    def peek(self, least: str = "", most: int = 100) -> DataFrame:
+        """Lexicon rows in the order of terms from ``least`` on: a listing that reads the row groups it shows."""
+        return self.lexicon.where(F.col("term") >= least).orderBy("term", "kind").limit(most)
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Lexicon rows of terms, without regard to case."""
@@ -143,30 +184,33 @@ class Index:
     # storage
 
     def write(self, path: str) -> None:
-        """Two layouts of the postings: by term for lookups, by document for ranking; row groups prune by their sort column."""
-        spark = self.positions.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
-        inverted = spark.read.parquet(f"{path}/inverted")
-        inverted.repartitionByRange("did").sortWithinPartitions("did", "seg").write.mode("overwrite").parquet(f"{path}/forward")
-        self.positions.repartitionByRange("did").sortWithinPartitions("did", "seg", "pos").write.mode("overwrite").parquet(f"{path}/positions")
-        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
-        self.segments.repartitionByRange("did").sortWithinPartitions("did", "seg").write.mode("overwrite").parquet(f"{path}/segments")
+        """Two layouts: bags by document, for contents and phrases, and postings by term, for lookups; row groups prune by their sort column.
+
+        Texts are read once, to write the bags; all else is made from those.
+        """
+        spark = self.bags.sparkSession
+        self.bags.sortWithinPartitions("did", "seg").write.mode("overwrite").parquet(f"{path}/bags")
+        if self.head is not None:
+            self.head.write.mode("overwrite").parquet(f"{path}/head")
+        now = Index(spark.read.parquet(f"{path}/bags"), self.config, spark.read.parquet(f"{path}/head") if self.head is not None else None)
+        now.postings.repartitionByRange("term").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
+        now.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
+        now.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
         if self.priors is not None:
             self.priors.write.mode("overwrite").parquet(f"{path}/priors")
-        spark.createDataFrame([(json.dumps(asdict(self.config)),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+        tables = [t for t, x in (("head", self.head), ("priors", self.priors)) if x is not None]
+        spark.createDataFrame([(json.dumps(asdict(self.config) | {"tables": tables}),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
         """A written index; its tables are scans."""
         raw = json.loads(spark.read.text(f"{path}/config").first()[0])
-        out = cls(spark.read.parquet(f"{path}/positions"), IndexConfig(**{**raw, "layers": tuple(raw["layers"])}))
-        out.__dict__.update(postings=spark.read.parquet(f"{path}/inverted"), lexicon=spark.read.parquet(f"{path}/lexicon"), segments=spark.read.parquet(f"{path}/segments"))
+        tables = raw.pop("tables")
+        more = {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+        out = cls(spark.read.parquet(f"{path}/bags"), IndexConfig(**{**raw, "layers": tuple(raw["layers"])}), more.get("head"), more.get("priors"))
+        out.__dict__.update(postings=spark.read.parquet(f"{path}/inverted"), lexicon=spark.read.parquet(f"{path}/lexicon"))
+        out.__dict__["text_postings"] = out.postings.where("kind = 'token'").drop("kind")
         out.__dict__["norm"] = out.lexicon.select("term", "freq")
-        try:
-            out.priors = spark.read.parquet(f"{path}/priors")
-        except Exception as e:  # no priors were written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         return out
 
 

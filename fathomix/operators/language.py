@@ -69,13 +69,9 @@ def profiles(docs: DataFrame, did: str = "did", text: str = "text", top: int = 1
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            a = 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CHUNK, side="right")))
+            for a, b in _runs(texts):
                 row, gram, place = _top(texts[a:b], top)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(_spell(gram), pa.string()), pa.array(place.astype(np.int32))], names=["did", "gram", "place"])
-                a = b
 
     return docs.select(F.col(did).cast("long").alias("did"), F.col(text).alias("text")).mapInArrow(work, "did long, gram string, place int")
 
@@ -94,15 +90,93 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", top: int = 10
     return counted.withColumn("place", place).where(F.col("place") <= top).select("lang", "gram", (F.col("place") - 1).cast("int").alias("place"))
 
 
+def _numbers(grams: list[str]) -> np.ndarray:
+    """The numbers that ``_top`` gives n-grams."""
+    rank = {c: i for i, c in enumerate(LETTERS, 1)}
+    return np.array([sum(rank[c] << (6 * (MOST - 1 - k)) for k, c in enumerate(g)) for g in grams], np.int64)
+
+
+#: Rows of models that are sent to every task.
+MOST_MODEL_ROWS = 1_000_000
+
+
+class Models:
+    """Ranked n-grams of each language, for distances in batches."""
+
+    def __init__(self, models: DataFrame):
+        rows = models.select("lang", "gram", "place").limit(MOST_MODEL_ROWS + 1).collect()
+        if len(rows) > MOST_MODEL_ROWS:
+            raise ValueError(f"more than {MOST_MODEL_ROWS} rows of language models")
+        self.langs, self.tables = sorted({r.lang for r in rows}), []
+        for lang in self.langs:
+            mine = [r for r in rows if r.lang == lang]
+            gram, place = _numbers([r.gram for r in mine]), np.array([r.place for r in mine], np.int64)
+            order = np.argsort(gram)
+            self.tables.append((gram[order], place[order]))
+
+    def nearest(self, texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Language (by number, -1 for a text without a letter) and distance of each text."""
+        row, gram, place = _top(texts, top)
+        far = np.empty((len(self.langs), len(texts)))
+        for k, (known, at) in enumerate(self.tables):
+            i = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            off = np.where(known[i] == gram, np.abs(place - at[i]), MISSING)
+            far[k] = np.bincount(row, weights=off, minlength=len(texts))
+        some = np.bincount(row, minlength=len(texts)) > 0
+        if not self.langs:
+            return np.full(len(texts), -1), np.zeros(len(texts), np.int64)
+        return np.where(some, far.argmin(axis=0), -1), far.min(axis=0).astype(np.int64)
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Rows of a batch that are worked on together."""
+    ends, a = np.cumsum([len(t) for t in texts]), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CHUNK, side="right")))
+        yield a, b
+        a = b
+
+
 def classify(docs: DataFrame, models: DataFrame, did: str = "doc_id", text: str = "text", top: int = 100) -> DataFrame:
     """(did, lang, distance): the language of the smallest sum of place differences; an n-gram that a model lacks counts MISSING.
 
     Ties go to the language first in order; a text without a letter has no row. The models, ``top`` rows a
-    language, are broadcast.
+    language, go to every task; distances are computed in the batch that makes the profiles, without a shuffle.
+    """
+    known = Models(models)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([*known.langs, None], object)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _runs(texts):
+                best, far = known.nearest(texts[a:b], top)
+                rows = np.flatnonzero(best >= 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + a)), pa.array(names[best[rows]], pa.string()), pa.array(far[rows])], names=["did", "lang", "distance"])
+
+    return docs.select(F.col(did).cast("long").alias("did"), F.col(text).alias("text")).mapInArrow(work, "did long, lang string, distance long")
+
+
+def tag(docs: DataFrame, models: DataFrame | None = None, lang: str = "lang", text: str = "text", top: int = 100, fixed: str | None = None) -> DataFrame:
+    """The documents with their language column filled: ``fixed`` for all if given, else what is known stays and the rest is classified.
+
+    What this writes is the cache: a tagged document isn't classified again. Texts without a letter stay untagged.
     """
-    mine = profiles(docs, did, text, top)
-    langs = models.groupBy().agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    every = mine.crossJoin(F.broadcast(langs)).select("did", "gram", "place", F.explode("langs").alias("lang"))
-    both = every.join(F.broadcast(models.withColumnRenamed("place", "model_place")), ["lang", "gram"], "left")
-    far = both.groupBy("did", "lang").agg(F.sum(F.coalesce(F.abs(F.col("place") - F.col("model_place")), F.lit(MISSING))).alias("distance"))
-    return far.groupBy("did").agg(F.min(F.struct("distance", "lang")).alias("m")).select("did", "m.lang", "m.distance")
+    have = docs if lang in docs.columns else docs.withColumn(lang, F.lit(None).cast("string"))
+    if fixed is not None:
+        return have.withColumn(lang, F.lit(fixed))
+    known, at, body = Models(models), have.columns.index(lang), have.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([*known.langs, None], object)
+        for batch in batches:
+            labels = np.array(batch.column(at).to_pylist(), object)
+            rows = np.flatnonzero(np.equal(labels, None))
+            texts = [t or "" for t in batch.column(body).take(pa.array(rows)).to_pylist()]
+            for a, b in _runs(texts):
+                labels[rows[a:b]] = names[known.nearest(texts[a:b], top)[0]]
+            columns = list(batch.columns)
+            columns[at] = pa.array(labels, pa.string()).cast(columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return have.mapInArrow(work, have.schema)

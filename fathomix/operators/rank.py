@@ -10,7 +10,7 @@ from .index import Index
 
 def segment_scores(index: Index, hits: DataFrame, scored: DataFrame) -> DataFrame:
     """(did, seg, score): for each hit segment with a layered term, the sum of its terms' scores; terms that only filter add nothing."""
-    posts = index.layered.join(hits, ["did", "seg"], "left_semi").select("did", "seg", "term", "kind")
+    posts = index.contents(hits)
     worth = F.when(F.col("kind") == "meta_norank", 0.0).otherwise(F.coalesce("score", F.lit(0.0)))
     return posts.join(scored.select("term", "score"), "term", "left").groupBy("did", "seg").agg(F.sum(worth).alias("score"))
 
@@ -26,8 +26,11 @@ def rank(index: Index, hits: DataFrame, scored: DataFrame, priors: DataFrame | N
     """(did, score), best first, ties by did, scores to 6 places.
 
     ``exact`` sums all hit segments of a document; ``top_segments`` only those among the best
-    ``top_segments`` (rank depth of the index by default) with a positive score.
+    ``top_segments`` (rank depth of the index by default) with a positive score. ``auto`` counts the hits first: up to
+    ``exact_up_to`` of the index are ranked exactly, more by their top segments.
     """
+    if mode == "auto":
+        mode = "exact" if hits.limit(index.config.exact_up_to + 1).count() <= index.config.exact_up_to else "top_segments"
     segments = with_prior(segment_scores(index, hits, scored), priors)
     if mode == "top_segments":
         segments = segments.where("score > 0").withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "did", "seg").limit(top_segments or index.config.rank_depth)

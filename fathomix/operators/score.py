@@ -19,9 +19,8 @@ def cueset(index: Index, terms: list[str], expansion: DataFrame | None = None) -
 
 
 def counts(index: Index, cues: DataFrame, layered: bool = True) -> DataFrame:
-    """(term, kind, cnt): in how many cue segments each term is. Partial sums before the shuffle by term."""
-    posts = index.layered if layered else index.postings
-    return posts.join(cues, ["did", "seg"], "left_semi").groupBy("term", "kind").agg(F.count("*").alias("cnt"))
+    """(term, kind, cnt): in how many cue segments each term is. Reads the cue segments' bags; partial sums before the shuffle by term."""
+    return index.contents(cues, layered).groupBy("term", "kind").agg(F.count("*").alias("cnt"))
 
 
 def selected_layers(n_cues: int, config: IndexConfig = IndexConfig()) -> list[int]:
@@ -72,9 +71,14 @@ def normalise(cnts: DataFrame, norm: DataFrame, cues: DataFrame | None, n_docs:
     return both.crossJoin(F.broadcast(n)).select("term", "cnt", "freq", jaccard(F.col("cnt"), F.col("freq"), size).alias("score"))
 
 
-def scores(index: Index, cues: DataFrame, layered: bool = True) -> DataFrame:
-    """(term, cnt, freq, score) of every term that shares a segment with the cues."""
-    return normalise(counts(index, cues, layered), index.norm, cues)
+def scores(index: Index, cues: DataFrame, layered: bool = True, select: bool = False) -> DataFrame:
+    """(term, cnt, freq, score) of every term that shares a segment with the cues; ``select`` leaves out the frequency bands that cannot score."""
+    if not select:
+        return normalise(counts(index, cues, layered), index.norm, cues)
+    n = cues.agg(F.count("*").alias("n_cues"))
+    both = counts(index, cues, layered=False).join(index.lexicon.where("layer is not null").select("term", "kind", "freq", "layer"), ["term", "kind"])
+    some = both.crossJoin(F.broadcast(n)).where(in_selected_layers(F.col("n_cues"), F.col("layer"), index.config))
+    return some.select("term", "cnt", "freq", jaccard(F.col("cnt"), F.col("freq"), F.col("n_cues")).alias("score"))
 
 
 def top_terms(scored: DataFrame, n: int = 10) -> DataFrame:

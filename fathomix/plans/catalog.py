@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import clean
 from ..functions.tokens import ENTITY, TOKEN
 from ..operators import dedup, expand, hits, language, present, prior, rank, score
 from ..operators.index import Index, merge_norms
+from ..session import shared_folder
 from ..sources.layout import spread
 from .query import All, And, Not, Or, Phrase, Range, Term
 
@@ -29,7 +31,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
-def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
+def _lazy(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
+    """The index of the documents, to be made where it is used."""
     docs = _table(spark, sf_dir, "documents")
     if heads:
         docs = docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -37,6 +40,19 @@ def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads:
     return Index.build(docs.select("doc_id", "text", "lang", *(["source", "quality"] if heads else [])), config, attributes, lang="lang")
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
+    """The same, written once an application in the shared folder and read from there: what retrieval, scoring and ranking work on."""
+    key = (spark.sparkContext.applicationId, sf_dir, config, heads)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        _lazy(spark, sf_dir, config, heads).write(path)
+        _WRITTEN[key] = path
+    return Index.read(spark, _WRITTEN[key])
+
+
 # SQL building blocks
 
 _TOK = f"""tok AS (SELECT doc_id AS did, lang, list_filter(regexp_extract_all(lower(regexp_replace(text, '{ENTITY}', ' ', 'g')), '{TOKEN}'), lambda x: length(x) < 254) AS l FROM documents)"""
@@ -100,27 +116,27 @@ def _term(t: str) -> str:
 
 @register("tok_freq", f"WITH {_TOK} SELECT term, count(*) AS n FROM (SELECT unnest(l) AS term FROM tok) GROUP BY term")
 def tok_freq(spark, d):
-    return _index(spark, d).positions.groupBy("term").agg(F.count("*").alias("n"))
+    return _lazy(spark, d).positions.groupBy("term").agg(F.count("*").alias("n"))
 
 
 @register("tok_doc_freq", f"WITH {_base()} SELECT term, count(DISTINCT did) AS n_docs FROM tpost GROUP BY term")
 def tok_doc_freq(spark, d):
-    return _index(spark, d).positions.select("did", "term").distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
+    return _lazy(spark, d).positions.select("did", "term").distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
 @register("segments", f"WITH {_base(50)} SELECT did, seg, count(*) AS n_tokens FROM pos GROUP BY did, seg")
 def segments(spark, d):
-    return _index(spark, d, SHORT).segments
+    return _lazy(spark, d, SHORT).segments
 
 
 @register("positions", f"WITH {_base(50)} SELECT did, seg, pos, term FROM pos")
 def positions(spark, d):
-    return _index(spark, d, SHORT).positions.select("did", "seg", "pos", "term")
+    return _lazy(spark, d, SHORT).positions.select("did", "seg", "pos", "term")
 
 
 @register("postings", f"WITH {_base(50)} SELECT did, seg, term FROM tpost")
 def postings(spark, d):
-    return _index(spark, d, SHORT).text_postings.select("did", "seg", "term")
+    return _lazy(spark, d, SHORT).text_postings.select("did", "seg", "term")
 
 
 @register("long_token_filter", f"WITH {_TOK.replace('< 254', '< 8')} SELECT did, CAST(len(l) AS INTEGER) AS n FROM tok")
@@ -132,32 +148,32 @@ def long_token_filter(spark, d):
 
 @register("head_segments", f"WITH {_base(heads=True)} SELECT did, seg, term, kind FROM head")
 def head_segments(spark, d):
-    return _index(spark, d, heads=True).head.drop("lang")
+    return _lazy(spark, d, heads=True).head.drop("lang")
 
 
 @register("norm_table", f"WITH {_base(heads=True)} SELECT term, freq FROM norm")
 def norm_table(spark, d):
-    return _index(spark, d, heads=True).norm
+    return _lazy(spark, d, heads=True).norm
 
 
 @register("norm_merge", f"WITH {_base()} SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT did % 4 AS block, term, count(*) AS freq FROM post GROUP BY ALL) GROUP BY term")
 def norm_merge(spark, d):
-    return merge_norms(_index(spark, d).postings.groupBy((F.col("did") % 4).alias("block"), "term").agg(F.count("*").alias("freq")))
+    return merge_norms(_lazy(spark, d).postings.groupBy((F.col("did") % 4).alias("block"), "term").agg(F.count("*").alias("freq")))
 
 
 @register("lexicon", f"WITH {_base(heads=True)}, {_lexicon()} SELECT term, kind, freq, lang, is_frequent, coalesce(layer, -1) AS layer FROM lex")
 def lexicon(spark, d):
-    return _index(spark, d, FULL, heads=True).lexicon.withColumn("layer", F.coalesce("layer", F.lit(-1)))
+    return _lazy(spark, d, FULL, heads=True).lexicon.withColumn("layer", F.coalesce("layer", F.lit(-1)))
 
 
 @register("lexicon_frequent", f"WITH {_base()}, {_lexicon(20)} SELECT term, lang, freq FROM lex WHERE is_frequent")
 def lexicon_frequent(spark, d):
-    return _index(spark, d, IndexConfig(n_frequent=20)).lexicon.where("is_frequent").select("term", "lang", "freq")
+    return _lazy(spark, d, IndexConfig(n_frequent=20)).lexicon.where("is_frequent").select("term", "lang", "freq")
 
 
 @register("layers_hist", f"WITH {_base()}, {_lexicon()} SELECT coalesce(layer, -1) AS layer, count(*) AS n FROM lex GROUP BY layer")
 def layers_hist(spark, d):
-    return _index(spark, d, FULL).lexicon.groupBy(F.coalesce("layer", F.lit(-1)).alias("layer")).agg(F.count("*").alias("n"))
+    return _lazy(spark, d, FULL).lexicon.groupBy(F.coalesce("layer", F.lit(-1)).alias("layer")).agg(F.count("*").alias("n"))
 
 
 @register("layer_members", f"WITH {_base()}, {_lexicon()} SELECT did, seg, term, layer FROM post JOIN lex USING (term) WHERE layer IS NOT NULL")
@@ -182,19 +198,19 @@ def inverted_docs(spark, d):
 
 @register("doc_bag", f"WITH {_base(50)} SELECT did, list_sort(list(term)) AS terms FROM post GROUP BY did")
 def doc_bag(spark, d):
-    return _index(spark, d, SHORT).bag()
+    return _lazy(spark, d, SHORT).bag()
 
 
 @register("segment_decode", f"WITH {_base(50)} SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS text FROM pos GROUP BY did, seg")
 def segment_decode(spark, d):
-    return _index(spark, d, SHORT).decode()
+    return _lazy(spark, d, SHORT).decode()
 
 
 @register("frozen_vocabulary", f"WITH {_base()}, known AS (SELECT term FROM norm WHERE freq >= 3) SELECT did, count(*) AS n FROM pos SEMI JOIN known USING (term) GROUP BY did")
 def frozen_vocabulary(spark, d):
     from ..operators.index import frozen
 
-    ix = _index(spark, d)
+    ix = _lazy(spark, d)
     return frozen(ix.positions, ix.norm.where("freq >= 3")).groupBy("did").agg(F.count("*").alias("n"))
 
 
@@ -287,12 +303,13 @@ def score_pqw(spark, d):
 
 @register(
     "score_meta",
-    f"WITH {_base(heads=True)}, {_scores(_term('lang:fr'))} SELECT term, cnt, freq, round(least(1.0, cnt / (freq + 1000 - cnt)), 9) AS score FROM scored",
+    f"WITH {_base(heads=True)}, {_scores(_term('lang:fr'))} SELECT term, cnt, freq, round(least(1.0, cnt / (freq + (SELECT count(DISTINCT did) FROM segs) - cnt)), 9) AS score FROM scored",
 )
 def score_meta(spark, d):
     ix = _index(spark, d, heads=True)
     cues = hits.hits(ix, Term("lang:fr"))
-    return score.normalise(score.counts(ix, cues), ix.norm, cues, F.lit(1000)).withColumn("score", F.round("score", 9))
+    n_docs = ix.info.first().n_docs
+    return score.normalise(score.counts(ix, cues), ix.norm, cues, F.lit(n_docs)).withColumn("score", F.round("score", 9))
 
 
 @register("score_quantised", f"WITH {_base()}, {_scores(_CUE)} SELECT term, round(greatest(1, floor(round(score, 9) / 1e-3)) * 1e-3, 6) AS score FROM scored")
@@ -314,8 +331,8 @@ def layer_select(spark, d):
     return ix.lexicon.crossJoin(F.broadcast(q)).where(score.in_selected_layers(F.col("q"), F.col("layer"))).select("term", "layer")
 
 
-@register("top_ixemes", f"WITH {_base()}, {_scores(_CUE)} SELECT term, round(score, 9) AS score FROM scored ORDER BY round(score, 9) DESC, term LIMIT 25")
-def top_ixemes(spark, d):
+@register("top_terms", f"WITH {_base()}, {_scores(_CUE)} SELECT term, round(score, 9) AS score FROM scored ORDER BY round(score, 9) DESC, term LIMIT 25")
+def top_terms(spark, d):
     ix = _index(spark, d)
     return score.top_terms(score.scores(ix, _cue(ix)).select("term", F.round("score", 9).alias("score")), 25)
 
@@ -593,8 +610,7 @@ def explain_scores(spark, d):
 
 def _attributes(rows: DataFrame) -> Index:
     """An index of (did, term) rows: each did one segment of attributes."""
-    ix = Index(rows.select("did", F.lit(1).alias("seg"), F.lit(1).alias("pos"), "term"), PLAIN)
-    return ix
+    return Index.of_attributes(rows, PLAIN)
 
 
 def _attribute_sql(rows: str, cue: str) -> str:
@@ -662,25 +678,52 @@ def lemmas(spark, d):
     return expand.lemmas(_index(spark, d, FULL).lexicon)
 
 
-@register("search_end_to_end")
+_LAYERS_OK = " OR ".join(f"(layer = {i} AND least({m}, q) / greatest({m}, q) > {FULL.layer_threshold})" for i, m in [*enumerate(FULL.layers), (len(FULL.layers), FULL.layers[-1])])
+_ONE_KEY = "CASE WHEN list_contains(t, 'by') THEN 1.0 ELSE 0.0 END"
+_THREE_KEYS = " + ".join(f"CASE WHEN list_contains(t, '{w}') THEN 1.0 ELSE 0.0 END" for w in ("of", "the", "by"))
+
+
+def _filter_sql(rows: str) -> str:
+    """Hits as scoring and ranking take them: the last segment of each content, then of each site."""
+    return f"""SELECT m.did AS did, m.seg AS seg FROM (SELECT max({{'did': did, 'seg': seg}}) AS m FROM (
+  SELECT m.did AS did, m.seg AS seg FROM (SELECT max({{'did': did, 'seg': seg}}) AS m FROM (SELECT did, seg, string_agg(term, ' ' ORDER BY pos) AS x FROM pos SEMI JOIN ({rows}) USING (did, seg) GROUP BY did, seg) GROUP BY x))
+  JOIN pages_of USING (did) GROUP BY site)"""
+
+
+_SEARCH_SQL = rf"""WITH {_base()}, {_lexicon(0)},
+pages_of AS (SELECT doc_id AS did, source || '-' || doc_id % 397 || '.example.com' AS site, 'http://' || source || '-' || doc_id % 397 || '.example.com/' || doc_id AS url, text AS body FROM documents),
+cue AS ({_filter_sql(_term("with"))}),
+cnt AS (SELECT term, kind, count(*) AS cnt FROM post SEMI JOIN cue USING (did, seg) GROUP BY term, kind),
+scored AS (SELECT term, cnt, freq, least(1.0, cnt / (freq + q - cnt)) AS score FROM cnt JOIN lex USING (term, kind), (SELECT count(*) AS q FROM cue) WHERE {_LAYERS_OK}),
+{_SENTENCES.replace(_ONE_KEY, _THREE_KEYS)},
+hit AS ({_filter_sql(_phrase(("of", "the"), 500) + " INTERSECT " + _term("by"))}),
+r AS (SELECT did, round(sum(score), 6) AS score FROM (SELECT did, seg, sum(coalesce(score, 0)) AS score FROM post SEMI JOIN hit USING (did, seg) LEFT JOIN scored USING (term) GROUP BY did, seg) GROUP BY did ORDER BY round(sum(score), 6) DESC, did LIMIT 1000),
+one AS (SELECT * FROM r JOIN pages_of USING (did) QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, did) = 1),
+two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY md5(coalesce(body, '')) ORDER BY score DESC, did) = 1),
+page AS (SELECT did, score, site, url, substr(body, 1, 60) AS title FROM two ORDER BY score DESC, did LIMIT 10),
+o AS (SELECT did, n, trim(substr(sentence, 2)) AS s, row_number() OVER (PARTITION BY did ORDER BY score DESC, n) AS k FROM sscore SEMI JOIN page USING (did)),
+z AS (SELECT *, coalesce(sum(length(s) + 3) OVER (PARTITION BY did ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(s) + 1 AS size FROM o),
+sn AS (SELECT did, string_agg(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\b(of)\b', '<b>\1</b>', 'g'), '(?i)\b(the)\b', '<b>\1</b>', 'g'), '(?i)\b(by)\b', '<b>\1</b>', 'g') || '.. ', '' ORDER BY k) AS snippet FROM z WHERE size <= 500 GROUP BY did)
+SELECT did, score, url, CASE WHEN length(trim(title)) > 50 OR length(trim(title)) = 0 THEN substr(trim(title), 1, 50) || '...' ELSE trim(title) END AS title, coalesce(snippet, '') AS snippet FROM page LEFT JOIN sn USING (did)"""
+
+
+@register("search_end_to_end", _SEARCH_SQL)
 def search_end_to_end(spark, d):
+    """A page of results of a phrase and a word as keys with a cue, on a written index: the filters and bands of the search flow, ranks, sites and bodies once, snippets."""
     from .search import Searcher
 
-    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("did"), F.concat(F.lit("http://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
+    host = F.concat("source", F.lit("-"), (F.col("doc_id") % 397).cast("string"), F.lit(".example.com"))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("did"), F.concat(F.lit("http://"), host, F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
     docs = docs.withColumn("site", clean.site(F.col("url")))
-    return Searcher(Index.build(docs, PLAIN, did="did", text="body"), docs).search('"of the" by /with')
+    return Searcher(_index(spark, d), docs).search('"of the" by /with')
 
 
 @register("streaming_norm", f"WITH {_base()} SELECT term, freq FROM norm")
 def streaming_norm(spark, d):
     """Documents through a file stream, block by block; the sum of the blocks' tables is that of the whole."""
-    import tempfile
-    import uuid
-
     from ..streaming import ingest
 
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = f"{shared.get() if shared.isDefined() else tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = _table(spark, d, "documents").select("doc_id", "text")
     docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,35 +18,47 @@ from .query import And, Query, parse
 class Searcher:
     """An index with its documents (did, url, title, body, site) and what was asked before.
 
+    The flow is that of a node of a search cluster. Cue segments and hit segments are filtered in the same way: of documents
+    with a prior of 1 only (where there are priors), one segment of each content, one of each site (or all of the site
+    that is asked for). The number of cue segments then tells which frequency bands can score; ranks sum those scores.
+
     Scores depend on the cues alone and ranks on keys, cues and modifiers, so that is what they are kept by.
-    Kept frames are cached for the session; ``forget`` frees them.
+    The ``keep`` last frames of each kind are cached; ``forget`` frees all.
     """
 
     index: Index
     docs: DataFrame
     priors: DataFrame | None = None
     page_size: int = 10
-    _scores: dict = field(default_factory=dict, repr=False)
-    _ranks: dict = field(default_factory=dict, repr=False)
+    keep: int = 32
+    mode: str = "exact"
+    _scores: OrderedDict = field(default_factory=OrderedDict, repr=False)
+    _ranks: OrderedDict = field(default_factory=OrderedDict, repr=False)
+
+    def _kept(self, cache: OrderedDict, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in cache:
+            cache[key] = make().cache()
+            while len(cache) > self.keep:
+                cache.popitem(last=False)[1].unpersist()
+        cache.move_to_end(key)
+        return cache[key]
+
+    def _filtered(self, nodes: tuple, site: str | None = None) -> DataFrame:
+        found = hits.hits(self.index, And(nodes) if len(nodes) > 1 else nodes[0])
+        return dedup.filter_hits(self.index, found, self.docs.select("did", "site"), self.priors, site)
 
     def scores(self, query: Query) -> DataFrame:
-        key = query.canonical[1]
-        if key not in self._scores:
-            cues = hits.hits(self.index, And(query.cues) if len(query.cues) > 1 else query.cues[0])
-            self._scores[key] = score.scores(self.index, cues).cache()
-        return self._scores[key]
+        return self._kept(self._scores, query.canonical[1], lambda: score.scores(self.index, self._filtered(query.cues), select=True))
 
     def ranked(self, query: Query) -> DataFrame:
         """(did, score) of the whole result, no two of the same body or (unless one site is asked for) site."""
-        if query.canonical not in self._ranks:
-            found = hits.hits(self.index, And(query.keys) if len(query.keys) > 1 else query.keys[0])
-            sites = self.docs.select("did", "site")
-            if site := query.mods.get("site"):
-                found = dedup.only_site(found, sites, site)
-            best = rank.rank(self.index, found, self.scores(query), self.priors)
+
+        def make() -> DataFrame:
+            best = rank.rank(self.index, self._filtered(query.keys, query.mods.get("site")), self.scores(query), self.priors, mode=self.mode)
             rows = self.docs.select("did", "site", "body")
-            self._ranks[query.canonical] = dedup.one_result_each(best, rows, collapse_sites="site" not in query.mods).cache()
-        return self._ranks[query.canonical]
+            return dedup.one_result_each(best, rows, collapse_sites="site" not in query.mods)
+
+        return self._kept(self._ranks, query.canonical, make)
 
     def search(self, text: str, offset: int = 0) -> DataFrame:
         """(did, score, url, title, snippet), a page of them from ``offset``; ``score:`` as a modifier gives (term, shown) instead.

@@ -12,19 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import IndexConfig
-from ..operators.index import Index, merge_norms, positions
+from ..operators.index import Index, bags, merge_norms
 
 
 def write_block(docs: DataFrame, block: int, path: str, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text") -> None:
-    """The positions, postings and norm table of one block."""
-    rows = positions(docs, config, did, text).persist()
-    try:
-        posts = rows.select("did", "seg", "term").distinct()
-        rows.write.mode("overwrite").parquet(f"{path}/positions/block={block}")
-        posts.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/block={block}")
-        posts.groupBy("term").agg(F.count("*").alias("freq")).write.mode("overwrite").parquet(f"{path}/norm/block={block}")
-    finally:
-        rows.unpersist()
+    """The bags, postings and norm table of one block; texts are read once, for the bags."""
+    spark = docs.sparkSession
+    bags(docs, config, did, text).write.mode("overwrite").parquet(f"{path}/bags/block={block}")
+    posts = Index(spark.read.parquet(f"{path}/bags/block={block}"), config).text_postings
+    posts.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/block={block}")
+    posts.groupBy("term").agg(F.count("*").alias("freq")).write.mode("overwrite").parquet(f"{path}/norm/block={block}")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text", once: bool = True) -> StreamingQuery:
@@ -40,7 +37,13 @@ def norm(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str, config: IndexConfig = IndexConfig()) -> Index:
     """The index of all blocks so far."""
-    out = Index(spark.read.parquet(f"{path}/positions").select("did", "seg", "pos", "term"), config)
+    out = Index(spark.read.parquet(f"{path}/bags").select("did", "seg", "terms"), config)
     out.__dict__["text_postings"] = spark.read.parquet(f"{path}/postings").select("did", "seg", "term")
     out.__dict__["norm"] = norm(spark, path)
     return out
+
+
+def compact(spark: SparkSession, path: str, out: str, config: IndexConfig = IndexConfig()) -> Index:
+    """The blocks so far written as one index in another place, in its two layouts, so that micro-batches leave no small files to readers of it."""
+    Index(spark.read.parquet(f"{path}/bags").select("did", "seg", "terms"), config).write(out)
+    return Index.read(spark, out)

@@ -1,6 +1,7 @@
 """Micro-corpora with known answers, properties of retrieval and ranking, sources, streaming and search."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -109,6 +110,29 @@ def test_layer_selection(spark, n, want):
         assert sorted(r.layer for r in rows.collect()) == want
 
 
+def test_top_words_at_any_number(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + rng.choice("klmno") for _ in range(rng.randint(1, 12))), rng.choice(["en", "de", None])) for i in range(60)]
+    ix = Index.build(spark.createDataFrame(rows, "doc_id long, text string, lang string"), FOUR, lang="lang")
+    lexicon = ix.lexicon.collect()
+    for n in (1, 3, 7, 20, 10_000):
+        want = sorted(r.term for lang in ("en", "de", None) for r in sorted((r for r in lexicon if r.lang == lang), key=lambda r: (-r.freq, r.term))[:n])
+        assert sorted(r.term for r in prior.top_words(ix, n).collect()) == want
+
+
+def test_strategy_follows_the_number_of_hits(spark, docs):
+    ix = Index.build(docs, IndexConfig(segment_size=4, n_frequent=0, exact_up_to=3, rank_depth=1))
+    scored = score.scores(ix, hits.hits(ix, Term("red")))
+    few, many = hits.hits(ix, Term("red")), hits.hits(ix, All())
+    assert rank.rank(ix, few, scored, mode="auto", depth=9).collect() == rank.rank(ix, few, scored, depth=9).collect()
+    assert rank.rank(ix, many, scored, mode="auto", depth=9).collect() == rank.rank(ix, many, scored, mode="top_segments", depth=9).collect()
+
+
+def test_document_info_and_listing(index):
+    assert {(r.did, r.first_seg, r.last_seg, r.n_tokens, r.prior) for r in index.docinfo().where("did <= 2").collect()} >= {(1, 1, 2, 8, 1.0)}
+    assert [r.term for r in index.peek("l", 2).collect()] == ["lazy", "over"]
+
+
 def test_frequent_tokens_rank_nothing(docs):
     ix = Index.build(docs, IndexConfig(segment_size=4, n_frequent=2), lang="lang")
     assert {r.term for r in ix.lexicon.where("is_frequent").collect()} == {"dog", "fox"}
@@ -244,18 +268,33 @@ def test_language_profiles(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.did: r.lang for r in language.classify(table, language.train(table)).collect()}
     assert got == {1: "en", 2: "fr"}
+    untagged = table.withColumn("lang", F.when(F.col("doc_id") == 1, "xx"))
+    assert {r.doc_id: r.lang for r in language.tag(untagged, language.train(table)).collect()} == {1: "xx", 2: "fr", 3: None, 4: None}
+    assert {r.lang for r in language.tag(table.drop("lang"), fixed="fi").collect()} == {"fi"}
+    # distances against the definition
+    models = {(r.lang, r.gram): r.place for r in language.train(table).collect()}
+    mine = [r for r in language.profiles(table, "doc_id").collect() if r.did == 2]
+    far = {lang: sum(abs(r.place - models[lang, r.gram]) if (lang, r.gram) in models else language.MISSING for r in mine) for lang in ("en", "fr")}
+    assert [r.distance for r in language.classify(table, language.train(table)).collect() if r.did == 2] == [min(far.values())]
 
 
 def test_search(spark, docs, index):
     body = docs.select(F.col("doc_id").alias("did"), F.concat(F.lit("http://s"), F.col("doc_id"), F.lit(".com/")).alias("url"), F.lit("Title").alias("title"), F.concat(F.lit("\n"), "text", F.lit(".")).alias("body"))
-    s = Searcher(index, body.withColumn("site", clean.site(F.col("url"))))
+    s = Searcher(index, body.withColumn("site", clean.site(F.col("url"))), keep=2)
     rows = s.search("dog /red").collect()
-    assert [(r.did, r.score) for r in rows] == [(1, 2.083333), (2, 1.833333), (3, 0.7)] and "<b>dog</b>" in rows[0].snippet
+    # of the two cue segments of site s1 the last one scores; all bands can
+    assert [r.did for r in rows] == [1, 2, 3] and "<b>dog</b>" in rows[0].snippet
+    want = score.scores(index, hits.hits(index, Term("red")).where("not (did = 1 and seg = 1)"))
+    best = rank.rank(index, hits.hits(index, Term("dog")), want)
+    assert [(r.did, r.score) for r in rows] == [(r.did, r.score) for r in best.collect()]
     assert [r.did for r in s.search("dog /red", offset=1).collect()] == [2, 3]
     assert [r.did for r in s.search("dog /red site:s2.com").collect()] == [2]
-    assert s.search("nosuch").count() == 0 and s.search("red score:").first().term == "red"
+    assert s.search("nosuch").count() == 0 and s.search("red score:").first().term == "dog"
     assert s.total(s.parse("dog")).first().n == 3
+    assert len(s._scores) <= 2 and len(s._ranks) <= 2
     s.forget()
+    few = Searcher(index, s.docs, priors=spark.createDataFrame([(1, 1.0), (2, 0.5), (3, 1.0)], "did long, prior double"))
+    assert {r.did for r in few.search("dog /red").collect()} == {1, 3}
 
 
 def test_empty_tables(spark):
