@@ -40,10 +40,25 @@ def strip_html(html: Column) -> Column:
 
 
 def expand_entities(text: Column) -> Column:
-    """The common named entities as characters, the ampersand last."""
-    for name, c in ENTITIES:
+    """The common named entities as characters, then numeric ones (&#233; and &#xE9;), the ampersand last."""
+    for name, c in ENTITIES[:-1]:
         text = F.replace(text, F.lit(name), F.lit(c))
-    return text
+    text = F.when(text.contains("&#"), numeric_entities(text)).otherwise(text)
+    name, c = ENTITIES[-1]
+    return F.replace(text, F.lit(name), F.lit(c))
+
+
+def numeric_entities(text: Column) -> Column:
+    """Numeric entities as characters; those of no character (0, surrogates, past U+10FFFF) stay. Each distinct entity of a text is replaced once."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});"), F.lit(0)))
+
+    def shown(entity: Column) -> Column:
+        body = F.lower(F.substr(entity, F.lit(3), F.length(entity) - 3))
+        code = F.when(body.startswith("x"), F.conv(F.substr(body, F.lit(2)), 16, 10).cast("int")).otherwise(body.cast("int"))
+        good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+    return F.aggregate(found, text, lambda t, e: F.replace(t, e, shown(e)))
 
 
 def normalise_space(text: Column) -> Column:
@@ -90,10 +105,25 @@ def charset_class(text: Column) -> Column:
     )
 
 
+def charset_of_bytes(body: Column) -> Column:
+    """What raw bytes look like, in the order of the usual cascade: ascii, utf8, utf16 (by its mark), latin1, extended (figures of C1 besides), unknown."""
+    one = F.decode(body, "ISO-8859-1")  # a character for each byte
+    text = r"\x07-\x0a\x0c\x0d\x1b\x20-\x7e"
+    return (
+        F.when(body.isNull(), "unknown")
+        .when(~one.rlike(f"[^{text}]"), "ascii")
+        .when(F.is_valid_utf8(body.cast("string")) & ~one.rlike(rf"[^{text}\x80-\xff]"), "utf8")
+        .when(F.hex(F.substring(body, 1, 2)).isin("FEFF", "FFFE"), "utf16")
+        .when(~one.rlike(rf"[^{text}\x85\xa0-\xff]"), "latin1")
+        .when(~one.rlike(rf"[^{text}\x80-\xff]"), "extended")
+        .otherwise("unknown")
+    )
+
+
 def decode_bytes(body: Column) -> Column:
-    """Text of raw bytes: UTF-8 where valid, UTF-16 by its mark, else Latin-1."""
-    head = F.hex(F.substring(body, 1, 2))
-    return F.when(head.isin("FEFF", "FFFE"), F.decode(body, "UTF-16")).when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(F.decode(body, "ISO-8859-1"))
+    """Text of raw bytes by ``charset_of_bytes``: UTF-8 and UTF-16 as such, else a character for each byte; null for unknown ones."""
+    kind = charset_of_bytes(body)
+    return F.when(kind.isin("ascii", "utf8"), body.cast("string")).when(kind == "utf16", F.decode(body, "UTF-16")).when(kind != "unknown", F.decode(body, "ISO-8859-1"))
 
 
 def limit_size(docs: DataFrame, body: str = "text", most: int = 5_242_880, keep_all: bool = False) -> DataFrame:

@@ -731,14 +731,20 @@ def streaming_norm(spark, d):
     return ingest.norm(spark, f"{base}/index")
 
 
+def _more() -> None:
+    from . import source_queries  # noqa: F401 - registers its queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the key ``by``, ordered by the theme of the cue ``with``."""
     return rank_exact(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)
