@@ -193,24 +193,31 @@ class Index:
         if self.head is not None:
             self.head.write.mode("overwrite").parquet(f"{path}/head")
         now = Index(spark.read.parquet(f"{path}/bags"), self.config, spark.read.parquet(f"{path}/head") if self.head is not None else None)
-        now.postings.repartitionByRange("term").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
+        # by term and document, so that a frequent term spreads over tasks
+        now.postings.repartitionByRange("term", "did").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
         now.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
-        now.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+        now.write_lexicon(f"{path}/lexicon")
         if self.priors is not None:
             self.priors.write.mode("overwrite").parquet(f"{path}/priors")
         tables = [t for t, x in (("head", self.head), ("priors", self.priors)) if x is not None]
         spark.createDataFrame([(json.dumps(asdict(self.config) | {"tables": tables}),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
+    def write_lexicon(self, path: str) -> None:
+        """The lexicon alone, for an index whose other tables are written."""
+        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        """A written index; its tables are scans."""
+    def read(cls, spark: SparkSession, path: str, config: IndexConfig | None = None, lexicon: str | None = None) -> Index:
+        """A written index; its tables are scans. ``config`` and ``lexicon`` (a path) for one that differs from it only in frequent terms and bands."""
         raw = json.loads(spark.read.text(f"{path}/config").first()[0])
         tables = raw.pop("tables")
         more = {t: spark.read.parquet(f"{path}/{t}") for t in tables}
-        out = cls(spark.read.parquet(f"{path}/bags"), IndexConfig(**{**raw, "layers": tuple(raw["layers"])}), more.get("head"), more.get("priors"))
-        out.__dict__.update(postings=spark.read.parquet(f"{path}/inverted"), lexicon=spark.read.parquet(f"{path}/lexicon"))
+        out = cls(spark.read.parquet(f"{path}/bags"), config or IndexConfig(**{**raw, "layers": tuple(raw["layers"])}), more.get("head"), more.get("priors"))
+        out.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
         out.__dict__["text_postings"] = out.postings.where("kind = 'token'").drop("kind")
-        out.__dict__["norm"] = out.lexicon.select("term", "freq")
+        if lexicon or config is None:
+            out.__dict__["lexicon"] = spark.read.parquet(lexicon or f"{path}/lexicon")
+            out.__dict__["norm"] = out.lexicon.select("term", "freq")
         return out
 
 

@@ -44,13 +44,21 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str, config: IndexConfig = PLAIN, heads: bool = False) -> Index:
-    """The same, written once an application in the shared folder and read from there: what retrieval, scoring and ranking work on."""
-    key = (spark.sparkContext.applicationId, sf_dir, config, heads)
-    if key not in _WRITTEN:
+    """The same, written once an application in the shared folder and read from there: what retrieval, scoring and ranking work on.
+
+    Settings that differ in frequent terms and bands alone share all tables but the lexicon.
+    """
+    base = (spark.sparkContext.applicationId, sf_dir, config.segment_size, config.max_token_length, heads)
+    own = (*base, config.n_frequent, config.layers)
+    if base not in _WRITTEN:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         _lazy(spark, sf_dir, config, heads).write(path)
-        _WRITTEN[key] = path
-    return Index.read(spark, _WRITTEN[key])
+        _WRITTEN[base], _WRITTEN[own] = path, f"{path}/lexicon"
+    if own not in _WRITTEN:
+        path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+        Index.read(spark, _WRITTEN[base], config).write_lexicon(path)
+        _WRITTEN[own] = path
+    return Index.read(spark, _WRITTEN[base], config, _WRITTEN[own])
 
 
 # SQL building blocks
@@ -214,6 +222,14 @@ def frozen_vocabulary(spark, d):
     return frozen(ix.positions, ix.norm.where("freq >= 3")).groupBy("did").agg(F.count("*").alias("n"))
 
 
+@register("index_write", f"WITH {_base()} SELECT 'bags' AS name, (SELECT count(*) FROM segs) AS n UNION ALL SELECT 'postings', (SELECT count(*) FROM post) UNION ALL SELECT 'terms', (SELECT count(*) FROM norm)")
+def index_write(spark, d):
+    """Makes the written index that other queries read, where it isn't there yet, and counts the rows of its tables."""
+    ix = _index(spark, d)
+    count = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count("bags", ix.bags).unionAll(count("postings", ix.postings)).unionAll(count("terms", ix.lexicon))
+
+
 # retrieval
 
 

@@ -16,7 +16,9 @@ def session(name: str = "fathomix", master: str | None = None, **conf: str) -> S
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        # many small partitions before few large ones: sorts of terms are heavy for their bytes
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4m",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
