@@ -152,7 +152,8 @@ def spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of each text; a null text gives null, an empty one 0.
 
-    Rows with a null or repeated id give a row each. Texts of any length are counted whole.
+    Rows with a null or repeated id give a row each; an empty table gives none. Texts of any length are counted whole.
+    Other columns, of whatever names, aren't read.
     ``vocabulary`` must be readable on every worker.
     """
 

@@ -167,6 +167,7 @@ def redact(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", mark
     """The documents with each secret replaced by ``mark``; other columns, and texts without a secret, are unchanged.
 
     ``length_col`` names a column of the text's length in characters, which is brought up to date where the text changes.
+    Every row stays, with a null or empty text, a null id or repeated too. An empty table gives no rows.
     """
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None

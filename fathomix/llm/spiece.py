@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -414,7 +415,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
     The ids are those of plain merging. A null text gives null ids, count and round_trip; an empty one no ids. U+2581 in a text counts as a
     blank. Characters outside the vocabulary become byte pieces. Rows with a null or repeated id give a row
-    each. Texts of any length are encoded whole. ``vocabulary`` must be readable on every worker.
+    each; an empty table gives none. Texts of any length are encoded whole. Other columns, of whatever names, aren't read.
+    ``vocabulary`` must be readable on every worker.
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -434,18 +436,36 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     return map_batches(rows, work, "doc_id long, ids array<int>, n_pieces int, round_trip boolean")
 
 
+def decode_lists(v: Pieces, lists: pa.ListArray) -> pa.Array:
+    """Texts of lists of ids, all at once."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    known = np.asarray(flat.is_valid()) if flat.null_count else np.ones(len(flat), bool)
+    ids = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known &= (ids >= 0) & (ids < len(v.byte_size))
+    row = np.repeat(np.arange(len(size)), size)
+    null = ~np.asarray(lists.is_valid())
+    null[row[~known]] = True
+    use = ~null[row]
+    n, data = v.decode(np.where(null, 0, size), ids[use])
+    ends = np.concatenate([[0], np.cumsum(n)])
+    if len(data) < 1 << 31:
+        raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        try:
+            return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), raw.cast(pa.string()))
+        except pa.ArrowInvalid:  # some row isn't UTF-8
+            pass
+    blob = data.tobytes()
+    return pa.array([None if x else blob[a:b].decode("utf-8", "replace") for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), null.tolist())], pa.string())
+
+
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of lists of piece ids. Null lists, and those with a null or unknown id, give null; invalid UTF-8 becomes U+FFFD."""
+    """(doc_id, text) of lists of piece ids. Null lists, and those with a null or unknown id, give null; an empty one gives an empty text; invalid UTF-8 becomes U+FFFD.
+
+    Rows with a null or repeated id give a row each; an empty table gives none. Other columns, of whatever names, aren't read.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v = load(vocabulary)
-        lists = batch.column(1)
-        texts = []
-        for ids in lists.to_pylist():
-            if ids is None or any(i is None or not 0 <= i < len(v.byte_size) for i in ids):
-                texts.append(None)
-                continue
-            texts.append(v.decode(np.array([len(ids)]), np.array(ids, np.int64))[1].tobytes().decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), decode_lists(load(vocabulary), batch.column(1))], names=["doc_id", "text"])
 
     return map_batches(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), work, "doc_id long, text string")

@@ -289,6 +289,11 @@ def test_decoding(spark, pieces, library):
     rows = spark.createDataFrame([(1, ids), (2, []), (3, None), (4, [40000]), (5, [None])], "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in spiece.decode(rows).collect()}
     assert got == {1: "héllo  wörld\n½", 2: "", 3: None, 4: None, 5: None}
+    # half a character of byte pieces, among whole texts
+    byte = int(pieces.byte_id[0xC3])
+    rows = spark.createDataFrame([(1, ids), (2, [byte]), (3, ids + [byte]), (4, [-1] + ids), (None, ids)], "doc_id long, ids array<int>").coalesce(1)
+    assert [r.text for r in spiece.decode(rows).collect()] == ["héllo  wörld\n½", "�", "héllo  wörld\n½�", None, "héllo  wörld\n½"]
+    assert spiece.decode(rows.where("false")).collect() == []
 
 
 # op5
