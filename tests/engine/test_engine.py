@@ -243,6 +243,8 @@ def test_streaming_gives_what_a_batch_gives(spark, docs, index, tmp_path):
     got = ingest.read(spark, str(tmp_path / "ix"), FOUR)
     assert values(got.norm, "term", "freq") == values(index.norm, "term", "freq")
     assert segs(hits.hits(got, Phrase(("red", "dog")))) == {(1, 2), (2, 1)}
+    one = ingest.compact(spark, str(tmp_path / "ix"), str(tmp_path / "one"), FOUR)
+    assert values(one.norm, "term", "freq") == values(index.norm, "term", "freq") and segs(hits.hits(one, Phrase(("red", "dog")))) == {(1, 2), (2, 1)}
 
 
 def test_written_index_answers_the_same(spark, headed, tmp_path):
