@@ -89,10 +89,7 @@ def phrase(index: Index, terms: tuple[str, ...]) -> DataFrame:
     places = F.lit(None).cast("array<int>")
     for t in dict.fromkeys(terms):
         places = F.when(F.col("term") == t, F.array(*(F.lit(i) for i, x in enumerate(terms) if x == t))).otherwise(places)
-    at = (F.col("seg") - 1) * size + F.col("p")
-    # bags without any of the terms go before they are taken apart
-    some = index.bags.where(F.arrays_overlap("terms", F.array(*map(F.lit, dict.fromkeys(terms)))))
-    tokens = some.select("did", "seg", F.posexplode("terms").alias("p", "term")).where(F.col("term").isin(*set(terms)))
-    votes = tokens.select("did", at.alias("at"), F.explode(places).alias("i"))
+    at = (F.col("seg") - 1) * size + F.col("pos") - 1
+    votes = index.places.where(F.col("term").isin(*set(terms))).select("did", at.alias("at"), F.explode(places).alias("i"))
     whole = votes.groupBy("did", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
     return whole.select("did", (F.floor((F.col("start") + len(terms) - 1) / size) + 1).cast("int").alias("seg")).distinct()

@@ -73,6 +73,11 @@ class Index:
         found = self.bags.select("did", "seg", *self._lang, F.posexplode("terms").alias("p", "term"))
         return found.select("did", "seg", (F.col("p") + 1).cast("int").alias("pos"), "term", *self._lang)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """(did, seg, pos, term): positions to look terms up in; a written index has them in the order of terms."""
+        return self.positions.select("did", "seg", "pos", "term")
+
     @cached_property
     def text_postings(self) -> DataFrame:
         return self.bags.select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), *self._lang)
@@ -184,7 +189,7 @@ class Index:
     # storage
 
     def write(self, path: str) -> None:
-        """Two layouts: bags by document, for contents and phrases, and postings by term, for lookups; row groups prune by their sort column.
+        """Two layouts: bags by document, for contents, and postings and places by term, for lookups and phrases; row groups prune by their sort column.
 
         Texts are read once, to write the bags; all else is made from those.
         """
@@ -195,6 +200,7 @@ class Index:
         now = Index(spark.read.parquet(f"{path}/bags"), self.config, spark.read.parquet(f"{path}/head") if self.head is not None else None)
         # by term and document, so that a frequent term spreads over tasks
         now.postings.repartitionByRange("term", "did").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
+        now.places.repartitionByRange("term", "did").sortWithinPartitions("term", "did", "seg", "pos").write.mode("overwrite").parquet(f"{path}/places")
         now.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
         now.write_lexicon(f"{path}/lexicon")
         if self.priors is not None:
@@ -213,7 +219,7 @@ class Index:
         tables = raw.pop("tables")
         more = {t: spark.read.parquet(f"{path}/{t}") for t in tables}
         out = cls(spark.read.parquet(f"{path}/bags"), config or IndexConfig(**{**raw, "layers": tuple(raw["layers"])}), more.get("head"), more.get("priors"))
-        out.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
+        out.__dict__.update(postings=spark.read.parquet(f"{path}/inverted"), places=spark.read.parquet(f"{path}/places"))
         out.__dict__["text_postings"] = out.postings.where("kind = 'token'").drop("kind")
         if lexicon or config is None:
             out.__dict__["lexicon"] = spark.read.parquet(lexicon or f"{path}/lexicon")
@@ -229,3 +235,9 @@ def frozen(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
 def merge_norms(norms: DataFrame) -> DataFrame:
     """(term, freq) of the tables of several blocks: sums."""
     return norms.groupBy("term").agg(F.sum("freq").alias("freq"))
+
+
+def carry_sites(lexicon: DataFrame, older: DataFrame) -> DataFrame:
+    """(term, freq) of a lexicon and, with frequency 0, the sites (terms with a dot) that only an older one has, so that what refers to them stays valid."""
+    lost = older.where(F.col("term").contains(".")).join(lexicon, "term", "left_anti")
+    return lexicon.select("term", "freq").unionByName(lost.select("term", F.lit(0).cast("long").alias("freq")))

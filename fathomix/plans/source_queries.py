@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import IndexConfig
 from ..functions import clean
 from ..operators import hits, language, rank, score
+from ..operators.index import Index, carry_sites
 from ..session import shared_folder
 from ..sources import documents
 from .catalog import _base, _CUE, _cue, _index, _lexicon, _profiles, _rank_sql, _scores, _table, _term, PLAIN, register, SHORT
@@ -151,6 +152,13 @@ def unknown_charset_policy(spark, d):
     return clean.drop_unknown_charset(_table(spark, d, "documents"), keep_all=True).select("doc_id", "text")
 
 
+@register("site_entries", "SELECT site AS term, CAST(count(*) FILTER (WHERE did % 2 = 0) AS BIGINT) AS freq FROM (SELECT page_id AS did, CASE WHEN contains(h, '.') THEN h END AS site FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS h FROM pages)) WHERE site IS NOT NULL GROUP BY site")
+def site_entries(spark, d):
+    """A lexicon of half the pages' sites, which keeps the entries of the other half."""
+    sites = _table(spark, d, "pages").select(F.col("page_id").alias("did"), clean.site(F.col("url")).alias("term")).where("term is not null")
+    return carry_sites(Index.of_attributes(sites.where("did % 2 = 0")).norm, Index.of_attributes(sites).norm)
+
+
 # lookups and parsers
 
 

@@ -14,6 +14,7 @@ from fathomix.functions.tokens import tokens
 from fathomix.operators import dedup, expand, hits, language, present, prior, rank, score
 from fathomix.operators.index import Index, frozen
 from fathomix.plans.query import All, And, Not, Or, Phrase, Query, Range, Term, parse, parse_request, postfix
+from fathomix.plans import access
 from fathomix.plans.search import Searcher
 from fathomix.sources import documents
 from fathomix.streaming import ingest
@@ -253,6 +254,9 @@ def test_written_index_answers_the_same(spark, headed, tmp_path):
     assert back.config == FOUR and json.loads(spark.read.text(str(tmp_path / "ix" / "config")).first()[0])["segment_size"] == 4
     for node in (Term("red"), Not(Term("red")), Phrase(("over", "the"))):
         assert segs(hits.hits(back, node)) == segs(hits.hits(headed, node))
+    # a lookup of a term in a written index reads some rows of one table, and says so
+    read = access.scans(back.inverted("red"))
+    assert len(read) == 1 and read[0]["path"].endswith("/inverted") and 0 < read[0]["rows"] and read[0]["bytes"] > 0
     red = [score.scores(x, hits.hits(x, Term("red"))) for x in (headed, back)]
     assert sorted(red[0].collect()) == sorted(red[1].collect())
 
