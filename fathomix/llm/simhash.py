@@ -12,8 +12,10 @@ less than any filter before it. In a larger one a pivot table produces the pairs
 bucket, one after another of those that no reference so far is near to, and every member's distance to each is
 computed. Members near a reference are linked to it, so among them no pair need be looked at; by the
 triangle inequality a pair whose distances to a reference differ by more than ``max_distance`` is discarded
-without loss, so that what else may be near a member lies in a range of the sorted table, and is verified. A bucket of so many
-strangers that this is too much is split by further sampled bits, with ``SPLIT_RECALL`` of the pairs at ``max_distance`` kept.
+without loss, so that what else may be near a member lies in a range of the sorted table, and is verified. In a bucket of so many
+strangers that this is too much, ``near_within`` finds the rest, without loss too: fingerprints are a ring of blocks, of which a pair at most
+``max_distance`` apart has one from where on every run of blocks differs in fewer bits than its share of ``max_distance + 1``. So the pairs are looked for from
+each block in turn, among fingerprints whose bits of that block are close, and the 64 bits from there on reject nearly all strangers.
 
 Groups are the connected components of the pairs; the smallest id of a group stays.
 """
@@ -40,6 +42,10 @@ RECALL, SPLIT_RECALL = 0.92, 0.98
 SMALL, N_PIVOTS, N_COLUMNS = 64, 4096, 64
 #: References in a row without a neighbour after which a bucket is taken for one of strangers, and how many of those are looked at one by one.
 IDLE, ONE_BY_ONE = 8, 4096
+#: Pairs of rows up to which all are verified, whatever their blocks, and those compared at a time.
+FEW_PAIRS, CHUNK = 1 << 18, 1 << 17
+#: Rows of a component from which pairs within it are left out before they are compared.
+FAMILY = 256
 #: Rows of a key from which it is split over tasks by further bits.
 HOT_ROWS = 1_000_000
 #: Bytes of key-table rows that one task takes in.
@@ -194,7 +200,166 @@ class Links:
         return forest(np.concatenate(self.a), np.concatenate(self.b)) if self.a else (none, none)
 
 
-def near_pairs_of(prints: np.ndarray, ids: np.ndarray, key: np.ndarray, most: int, links: Links | None = None, depth: int = 0) -> Links:
+def ring(most: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bits, lengths and quotas of blocks of some ``width`` bits; the quotas add up to ``most + 1``."""
+    m = 64 * WORDS // width
+    at, share = np.arange(m + 1) * 64 * WORDS // m, np.arange(m + 1) * (most + 1) // m
+    return at[:-1], np.diff(at), np.diff(share)
+
+
+def ring_width(n: int) -> int:
+    """Bits of a block among n fingerprints: few enough that its values hold several of them each."""
+    return min(16, max(8, int(np.floor(np.log2(max(2, n)))) - 6))
+
+
+def _from_bit(prints: np.ndarray, at: int) -> np.ndarray:
+    """64 bits of each fingerprint from a bit on, round to the first bits after the last."""
+    w, r = at // 64, at % 64
+    low = prints[:, w] >> np.uint64(r)
+    return low | (prints[:, (w + 1) % WORDS] << np.uint64(64 - r)) if r else low
+
+
+def near_within(
+    prints: np.ndarray,
+    ids: np.ndarray,
+    most: int,
+    links: Links,
+    label: np.ndarray | None = None,
+    side: np.ndarray | None = None,
+    share: tuple[int, int] = (0, 1),
+) -> None:
+    """Links between all rows within the distance, or, with ``side``, between those of False and those of True; none is lost.
+
+    ``label``: a row's component as far as known, named by one of its rows; pairs that others already link are left out.
+    ``share`` (i, k): only the i-th of k shares of the blocks to begin at; all shares together lose no link.
+
+    Differences less quotas, summed round the ring, are below 0 for a pair within the distance. So from the block after that where their running sum is
+    last at its highest, all running sums are below 0: the first block differs in fewer bits than its quota, and so do the blocks of the 64 bits from there.
+    """
+    n = len(prints)
+    all_a, all_b = (np.arange(n), np.arange(n)) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+    if not len(all_a) or not len(all_b):
+        return
+    label = np.arange(n) if label is None else label
+    found, family, fresh, waiting, n_waiting, worked = Links(), np.full(n, -1), 1, [], 0, 0
+    known = np.flatnonzero(label != np.arange(n))
+    found.add(known, label[known])
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal fresh
+        found.add(a, b)
+        fresh += len(a)
+
+    def verify() -> None:
+        nonlocal waiting, n_waiting, worked
+        if not waiting:
+            return
+        a, b = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+        waiting, n_waiting = [], 0
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        good = distances(prints[a], prints[b]) <= most
+        a, b = a[good], b[good]
+        worked += len(other)
+        one = np.unique(label[a] * n + label[b], return_index=True)[1]  # one link of two components does
+        keep(a[one], b[one])
+
+    def relabel() -> None:
+        nonlocal label, family, fresh, worked
+        a, b = found.forest()
+        found.a, found.b, found.fresh, fresh, worked = [a], [b], 0, 0, 0
+        label = np.arange(n)
+        label[a] = b
+        family = np.where(np.bincount(label, minlength=n)[label] >= FAMILY, label, -1)
+
+    def follow(rows_a: np.ndarray, rows_b: np.ndarray, wa: np.ndarray, wb: np.ndarray, limit: int) -> None:
+        """One row of a after another; what it links is one component for the next."""
+        la, lb = label[rows_a], label[rows_b]
+        for x in range(len(rows_a)):
+            other = lb != la[x]
+            if not other.any():
+                continue
+            at = np.flatnonzero(other & (np.bitwise_count(wb ^ wa[x]) <= limit))
+            at = at[distances(prints[rows_b[at]], prints[rows_a[x]]) <= most]
+            if len(at):
+                old, one = np.unique(lb[at], return_index=True)
+                keep(np.full(len(one), rows_a[x]), rows_b[at[one]])
+                old = np.append(old, la[x])
+                la[np.isin(la, old)] = lb[np.isin(lb, old)] = old[0]
+
+    def compare(rows_a: np.ndarray, rows_b: np.ndarray, wa: np.ndarray, wb: np.ndarray, limit: int) -> None:
+        nonlocal n_waiting, worked
+        if len(rows_b) > CHUNK // 8:
+            worked += len(rows_a) * len(rows_b) // 64
+            follow(rows_a, rows_b, wa, wb, limit)
+            return
+        step = max(1, CHUNK // max(1, len(rows_b)))
+        for x in range(0, len(rows_a), step):
+            hit = np.flatnonzero(np.bitwise_count(wa[x : x + step, None] ^ wb) <= limit)
+            if len(hit):
+                i, j = np.divmod(hit, len(rows_b))
+                waiting.append((rows_a[x + i], rows_b[j]))
+                n_waiting += len(hit)
+                if n_waiting > CHUNK:
+                    verify()
+
+    if len(all_a) * len(all_b) <= FEW_PAIRS:
+        follow(all_a, all_b, np.zeros(len(all_a), np.uint64), np.zeros(len(all_b), np.uint64), 0)
+    else:
+        # large families first, by references as in by_pivots
+        free, idle = np.ones(n, bool), 0
+        while idle < IDLE and free.any():
+            p = int(free.argmax())
+            near = np.flatnonzero(free & (distances(prints, prints[p]) <= most))
+            free[near] = False
+            idle += len(near) < FAMILY
+            keep(np.full(len(near), p), near)
+        first, length, quota = ring(most, ring_width(max(len(all_a), len(all_b))))
+        for k in range(share[0], len(first), share[1]):
+            if quota[k] < 1:
+                continue
+            if fresh:
+                relabel()
+            run = (k + np.arange(len(first))) % len(first)
+            run = run[np.cumsum(length[run]) <= 64]
+            limit, bits = int(quota[run].sum()) - 1, int(length[run].sum())
+            window = _from_bit(prints, int(first[k])) & np.uint64(2**bits - 1)
+            value = (window & np.uint64(2 ** int(length[k]) - 1)).astype(np.int64)
+            order_a = all_a[np.argsort(value[all_a], kind="stable")]
+            order_b = order_a if side is None else all_b[np.argsort(value[all_b], kind="stable")]
+            wa, wb = window[order_a], window[order_b]
+            values = np.arange(2 ** int(length[k]))
+            flips = values[np.bitwise_count(values) < quota[k]]
+            place = np.searchsorted(value[order_b], np.arange(len(values) + 1))
+            held, start = np.unique(value[order_a], return_index=True)
+            for v, x, y in zip(held.tolist(), start.tolist(), [*start[1:].tolist(), len(order_a)]):
+                close = flips ^ v
+                if side is None:
+                    close = close[close >= v]
+                low = place[close]
+                size = place[close + 1] - low
+                end = np.cumsum(size)
+                at = np.repeat(low - end + size, size) + np.arange(end[-1])
+                if not len(at):
+                    continue
+                of_a = family[order_a[x:y]]
+                if (of_a < 0).all():
+                    compare(order_a[x:y], order_b[at], wa[x:y], wb[at], limit)
+                    continue
+                of_b = family[order_b[at]]
+                for f in np.unique(of_a).tolist():
+                    mine = x + np.flatnonzero(of_a == f)
+                    theirs = at[of_b != f] if f >= 0 else at
+                    if len(theirs):
+                        compare(order_a[mine], order_b[theirs], wa[mine], wb[theirs], limit)
+                if fresh and worked > 16 * n:  # by then what can be left out is worth more than to find it
+                    relabel()
+            verify()
+    a, b = found.forest()
+    links.add(ids[a], ids[b])
+
+
+def near_pairs_of(prints: np.ndarray, ids: np.ndarray, key: np.ndarray, most: int, links: Links | None = None) -> Links:
     """Links between ids that share a key and whose fingerprints are within the distance; pairs that others already link may be left out."""
     links = Links() if links is None else links
     order = np.argsort(key, kind="stable")
@@ -209,11 +374,11 @@ def near_pairs_of(prints: np.ndarray, ids: np.ndarray, key: np.ndarray, most: in
         links.add(own[i[good]], own[j[good]])
     for a in np.flatnonzero(size > SMALL).tolist():
         at = order[edge[a] : edge[a + 1]]
-        by_pivots(np.ascontiguousarray(prints[at]), ids[at], most, links, depth)
+        by_pivots(np.ascontiguousarray(prints[at]), ids[at], most, links)
     return links
 
 
-def by_pivots(prints: np.ndarray, ids: np.ndarray, most: int, links: Links, depth: int = 0) -> int:
+def by_pivots(prints: np.ndarray, ids: np.ndarray, most: int, links: Links) -> int:
     """Links of one large bucket by a pivot table (see the module); how many distances were computed."""
     m = len(prints)
     free, done, table, idle, used = np.ones(m, bool), np.zeros(m, bool), [], 0, 0
@@ -234,10 +399,8 @@ def by_pivots(prints: np.ndarray, ids: np.ndarray, most: int, links: Links, dept
     # what was no reference and isn't in the largest component may have other links
     rest = np.flatnonzero((label != np.bincount(label).argmax()) & ~done)
     cost = used * m
-    if len(rest) > ONE_BY_ONE and depth < 3:
-        width = key_width(m)
-        for positions in key_bits(key_tables(width, most, SPLIT_RECALL, 1), width, seed=1000 + depth):
-            near_pairs_of(prints, ids, keys(prints, positions[None])[:, 0], most, links, depth + 1)
+    if len(rest) > ONE_BY_ONE:
+        near_within(prints, ids, most, links, label)
         return cost
     if not len(rest):
         return cost

@@ -94,6 +94,33 @@ def test_a_bucket_of_a_hundred_thousand():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 4 << 20  # kB
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_no_size_of_a_bucket_costs_a_link(n):
+    """Pairs at the largest distance among so many strangers that links were followed one by one, or not, by their number."""
+    a, b = apart(np.random.default_rng(n), n, simhash.MAX_DISTANCE)
+    got = simhash.near_pairs_of(np.concatenate([a, b]), np.arange(2 * n), np.zeros(2 * n, np.uint64), simhash.MAX_DISTANCE).forest()
+    assert dict(zip(*map(np.ndarray.tolist, got))) == {k + n: k for k in range(n)}
+
+
+@pytest.mark.parametrize("most", [5, 31, 48, 70])
+def test_ring_of_blocks_loses_no_link(most):
+    """Against all pairs: whole, by shares of the blocks, and between two sides; families larger than FAMILY among them."""
+    rng = np.random.default_rng(most)
+    prints = np.concatenate([family(rng, 700, most / 2), family(rng, 500, most / 1.6), *apart(rng, 200, most), rng.integers(0, 2**64, (600, 4), dtype=np.uint64)])
+    prints = prints[rng.permutation(len(prints))]
+    n = len(prints)
+    whole, shares, sides = simhash.Links(), simhash.Links(), simhash.Links()
+    simhash.near_within(prints, np.arange(n), most, whole)
+    for i in range(3):
+        simhash.near_within(prints, np.arange(n), most, shares, share=(i, 3))
+    side = rng.random(n) < 0.5
+    for part in (side, ~side):
+        simhash.near_within(prints[part], np.flatnonzero(part), most, sides)
+    simhash.near_within(prints, np.arange(n), most, sides, side=side)
+    want = brute_groups(prints, most)
+    assert all(groups_of(x.forest(), n) == want for x in (whole, shares, sides))
+
+
 def test_hot_keys_are_split_over_tasks(spark):
     """With keys split from 20 rows on, the groups are those of whole keys, but for the recall of the split."""
     rng = np.random.default_rng(11)
