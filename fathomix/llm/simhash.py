@@ -4,18 +4,18 @@ A text's fingerprint has 256 bits (four words): the sign of the sum, over its
 distinct lower-cased words and word pairs, of a hashed +-1 vector. Two texts are
 near-duplicates iff their fingerprints differ in at most ``max_distance`` bits.
 
-Search. Pivot tables alone would look at every pair, so fingerprints first meet in the buckets of sampled-bit
-key tables, whose width grows with the logarithm of the number of fingerprints, and
-whose number grows with the width so that a pair at ``max_distance`` still shares a
-bucket with a chance of ``RECALL``. In a bucket of up to ``SMALL`` fingerprints all pairs are verified, which costs
-less than any filter before it. In a larger one a pivot table produces the pairs: reference fingerprints are taken from the
+Search. No pair within ``max_distance`` is lost, whatever the number of fingerprints. They are dealt to groups of some ``GROUP_ROWS``, and a task has two
+groups, or one with itself, and a share of the blocks below; so a fingerprint travels once for each group and share, and no task's memory grows with the table.
+``near_within`` finds the links of a task: fingerprints are a ring of blocks, of which a pair at most
+``max_distance`` apart has one from where on every run of blocks differs in fewer bits than its share of ``max_distance + 1``. So the pairs are looked for from
+each block in turn, among fingerprints whose bits of that block are close, and the 64 bits from there on reject nearly all strangers.
+Pairs in one component are left out, so before that a table of sampled-bit keys links what is easily found. In its buckets of up to ``SMALL`` fingerprints all pairs are
+verified, which costs less than any filter before it. In a larger one a pivot table produces the pairs: reference fingerprints are taken from the
 bucket, one after another of those that no reference so far is near to, and every member's distance to each is
 computed. Members near a reference are linked to it, so among them no pair need be looked at; by the
 triangle inequality a pair whose distances to a reference differ by more than ``max_distance`` is discarded
-without loss, so that what else may be near a member lies in a range of the sorted table, and is verified. In a bucket of so many
-strangers that this is too much, ``near_within`` finds the rest, without loss too: fingerprints are a ring of blocks, of which a pair at most
-``max_distance`` apart has one from where on every run of blocks differs in fewer bits than its share of ``max_distance + 1``. So the pairs are looked for from
-each block in turn, among fingerprints whose bits of that block are close, and the 64 bits from there on reject nearly all strangers.
+without loss, so that what else may be near a member lies in a range of the sorted table, and is verified. A bucket of so many
+strangers that this is too much goes to ``near_within``.
 
 Groups are the connected components of the pairs; the smallest id of a group stays.
 """
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, map_batches, map_partition, without_ids
-from .text import LETTER, NUMBER, chunks, find, kinds, lowered, mix, runs, span_hashes, span_pairs
+from .text import LETTER, NUMBER, chunks, kinds, lowered, mix, runs, span_hashes, span_pairs
 
 WORDS = 4
 MAX_DISTANCE = 48
 #: The fewest key tables.
 N_KEYS = 32
-#: Chance that two fingerprints at the largest distance share a bucket, and that they still do when a bucket is split.
-RECALL, SPLIT_RECALL = 0.92, 0.98
+#: Chance that two fingerprints at the largest distance share a bucket of some key table.
+RECALL = 0.92
 #: Fingerprints of a bucket of which all pairs are verified; most references of a bucket, and of those the ones whose distances are kept as its table.
 SMALL, N_PIVOTS, N_COLUMNS = 64, 4096, 64
 #: References in a row without a neighbour after which a bucket is taken for one of strangers, and how many of those are looked at one by one.
@@ -46,9 +46,9 @@ IDLE, ONE_BY_ONE = 8, 4096
 FEW_PAIRS, CHUNK = 1 << 18, 1 << 17
 #: Rows of a component from which pairs within it are left out before they are compared.
 FAMILY = 256
-#: Rows of a key from which it is split over tasks by further bits.
-HOT_ROWS = 1_000_000
-#: Bytes of key-table rows that one task takes in.
+#: Rows of a group, of which a task has two; tasks that pairs of groups are shared over, if there are fewer; rows from which they are shared more.
+GROUP_ROWS, TASKS, SHARE_ROWS = 1 << 20, 64, 4096
+#: Bytes of rows that one task takes in, where a pair of groups has fewer.
 TASK_BYTES = 64 << 20
 _ROW_BYTES = 48
 #: Features whose bits are summed at once (bounds memory).
@@ -126,7 +126,7 @@ def key_width(n: int) -> int:
 
 
 def key_tables(width: int, most: int = MAX_DISTANCE, recall: float = RECALL, least: int = N_KEYS) -> int:
-    """How many tables of that width let two fingerprints ``most`` bits apart share a bucket with that chance."""
+    """How many tables of that width let two fingerprints ``most`` bits apart share a bucket with that chance. The search takes one table, for first links, and doesn't rest on that chance."""
     bits = 64 * WORDS
     same = np.prod([(bits - most - k) / (bits - k) for k in range(width)])
     return max(least, int(np.ceil(np.log1p(-recall) / np.log1p(-same)))) if 0 < same < 1 else least
@@ -420,70 +420,56 @@ def by_pivots(prints: np.ndarray, ids: np.ndarray, most: int, links: Links) -> i
     return cost
 
 
-def _hot_keys(tables: DataFrame, hot_rows: int, parts: int) -> np.ndarray:
-    """Keys that may have ``hot_rows`` rows or more, ascending. Tasks report only keys that they meet often, so little is shuffled; at most two rows of all tables in ``hot_rows`` are for one key, which bounds what is collected."""
-    least = max(2, hot_rows // (4 * max(1, parts)))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            k, n = np.unique(np.concatenate([held, b.column(0).to_numpy()]), return_inverse=True)
-            counts = np.bincount(n, weights=np.concatenate([counts, np.ones(b.num_rows)]), minlength=len(k)).astype(np.int64)
-            held = k
-        often = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array(held[often]), pa.array(counts[often])], names=["key", "n"])
-
-    found = map_partition(tables.select("key"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows // 2)
-    return np.sort(np.array([r.key for r in found.collect()], np.int64).view(np.uint64))
-
-
-def _edges_of_buckets(distinct: DataFrame, n: int, most: int, n_keys: int | None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    width = key_width(n)
-    bits = key_bits(n_keys or key_tables(width, most), width)
+def _edges_of_buckets(distinct: DataFrame, n: int, most: int, n_shares: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the distance: every two groups meet in a task, or in one for each share of the blocks."""
+    groups = max(1, -(-n // group_rows))
+    pairs = groups * (groups + 1) // 2
+    blocks = len(ring(most, ring_width(min(n, group_rows)))[0])
+    shares = n_shares or max(1, min(blocks, -(-TASKS // pairs), n // SHARE_ROWS))
+    usual = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(pairs * shares, max(usual, n * groups * shares * _ROW_BYTES // TASK_BYTES))
     names = ["rep", "f0", "f1", "f2", "f3"]
-    schema = "key long, rep long, f0 long, f1 long, f2 long, f3 long"
-
-    def prints_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
-        return np.stack([batch.column(i).to_numpy() for i in range(first, first + WORDS)], axis=1).view(np.uint64)
-
-    def keyed(batch: pa.RecordBatch, key: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in names)], names=["key", *names])
 
-    def explode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints = prints_of(batch, 1)
-        for positions in enumerate(bits):
-            yield keyed(batch, np.ascontiguousarray(keys(prints, positions[1][None], positions[0])[:, 0]))
-
-    tables = map_batches(distinct.select(*names), explode, schema)
-    usual = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n >= hot_rows:
-        hot = _hot_keys(tables, hot_rows, distinct.rdd.getNumPartitions())
-        if len(hot):
-            more = key_width(n // max(1, hot_rows // 64))
-            further = key_bits(key_tables(more, most, SPLIT_RECALL, 1), more, seed=500)
-
-            def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                key = batch.column(0).to_numpy().view(np.uint64)
-                is_hot = find(hot, key) >= 0
-                yield batch.filter(pa.array(~is_hot))
-                some = batch.filter(pa.array(is_hot))
-                prints = prints_of(some, 2)
-                for t, positions in enumerate(further):
-                    yield keyed(some, mix(key[is_hot] ^ keys(prints, positions[None], t)[:, 0]))
-
-            tables = map_batches(tables, split, schema)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        for other in range(groups):
+            low, high = np.minimum(group, other), np.maximum(group, other)
+            pair = low * groups - low * (low - 1) // 2 + high - low
+            second = pa.array(group > other)
+            for i in range(shares):
+                task = pair * shares + i
+                cols = [pa.array((task % parts).astype(np.int32)), pa.array(task), second, *(batch.column(c) for c in names)]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "task", "second", *names])
+
+    def links_of(prints: np.ndarray, ids: np.ndarray, second: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+        links, easy, own = Links(), Links(), np.arange(len(ids))
+        width = key_width(len(ids))
+        near_pairs_of(prints, own, keys(prints, key_bits(1, width, seed=share))[:, 0], most, easy)
+        away, root = easy.forest()
+        own[away] = root
+        links.add(ids[away], ids[root])
+        near_within(prints, ids, most, links, own, second if second.any() else None, (share, shares))
+        return links.forest()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (batches := list(batches)):
             return
         rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        a, b = near_pairs_of(prints_of(rows, 2), rows.column(1).to_numpy(), rows.column(0).to_numpy().view(np.uint64), most).forest()
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        del batches
+        task, second, ids = rows.column(1).to_numpy(), rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy()
+        prints = np.stack([rows.column(4 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+        order = np.argsort(task, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            # a pair of groups of which one is empty has nothing to join
+            mine = int(task[at[0]])
+            if second[at].all() or (mine // shares not in alone and not second[at].any()):
+                continue
+            a, b = links_of(np.ascontiguousarray(prints[at]), ids[at], second[at], mine % shares)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    # a task holds its partition's rows: as many partitions as keep them to TASK_BYTES
-    parts = n * len(bits) * _ROW_BYTES // TASK_BYTES
-    spread = tables.repartition(parts, "key") if parts > usual else tables.repartition("key")
-    return map_partition(spread, pair, "a long, b long")
+    alone = {g * groups - g * (g - 1) // 2 for g in range(groups)}
+    met = map_batches(distinct.select(*names), meet, "part int, task long, second boolean, rep long, f0 long, f1 long, f2 long, f3 long")
+    return map_partition(met.repartitionById(parts, F.col("part")), join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -512,21 +498,21 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_distance: int = MAX_DISTANCE,
-    n_keys: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    n_shares: int | None = None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(doc_id, keep_id): each document that has a smaller-numbered near or exact copy, with the one of its group that stays.
 
     Rows with a null id or text take no part. Texts without a word (empty ones too) are copies only of equal
-    texts. ``n_keys`` sets the number of key tables, which else follows from that of the fingerprints. Rows that repeat an id with the same text count as one; an id with several texts joins the groups
+    texts. All pairs of fingerprints within ``max_distance`` count, however many there are. Rows that repeat an id with the same text count as one; an id with several texts joins the groups
     of each. Whole texts count, of any length; other columns, of whatever names, aren't read. An empty table gives no rows.
-    ``hot_rows``: a key of that many rows or more is split over tasks by further bits.
+    ``group_rows``: a task has at most two groups of some that many fingerprints; ``n_shares``: how many tasks share two groups, which else follows from their number.
     """
     sig = cut(signatures(docs, id_col, text_col))
-    return _groups(sig, max_distance, n_keys, hot_rows)
+    return _groups(sig, max_distance, n_shares, group_rows)
 
 
-def _groups(sig: DataFrame, most: int = MAX_DISTANCE, n_keys: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _groups(sig: DataFrame, most: int = MAX_DISTANCE, n_shares: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     prints = ["f0", "f1", "f2", "f3"]
     # equal fingerprints (or, without a word, equal texts) first: one row goes on for each
     words = F.col("n_features") > 0
@@ -536,7 +522,7 @@ def _groups(sig: DataFrame, most: int = MAX_DISTANCE, n_keys: int | None = None,
     many = reps.where("n > 1").select("k0", "k1", "k2", "k3", "rep")
     equal = keyed.join(many, [keyed[c].eqNullSafe(many[c]) for c in ("k0", "k1", "k2", "k3")]).select(keyed.doc_id.alias("a"), F.col("rep").alias("b"))
     distinct = reps.where("k2 is not null").select("rep", *(F.col(f"k{i}").alias(c) for i, c in enumerate(prints)))
-    near = _edges_of_buckets(distinct, reps.count(), most, n_keys, hot_rows)
+    near = _edges_of_buckets(distinct, reps.count(), most, n_shares, group_rows)
     return components(equal.unionAll(near)).select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"))
 
 

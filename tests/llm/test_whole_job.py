@@ -121,6 +121,18 @@ def test_ring_of_blocks_loses_no_link(most):
     assert all(groups_of(x.forest(), n) == want for x in (whole, shares, sides))
 
 
+@pytest.mark.parametrize("group_rows", [None, 1500])
+def test_no_pair_within_the_distance_is_left_out(spark, group_rows):
+    """Pairs of strangers at the largest distance exactly, and one bit further, in one group and in several."""
+    rng = np.random.default_rng(48)
+    a, b = apart(rng, 2500, simhash.MAX_DISTANCE)
+    prints = np.concatenate([a, b, *apart(rng, 300, simhash.MAX_DISTANCE + 1)])
+    rows = [(i, i, i, 1, *map(int, p.view(np.int64))) for i, p in enumerate(prints)]
+    sig = spark.createDataFrame(rows, simhash.SIGNATURE).repartition(3)
+    got = simhash._groups(sig, **({"group_rows": group_rows} if group_rows else {})).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {k + len(a): k for k in range(len(a))}
+
+
 def test_hot_keys_are_split_over_tasks(spark):
     """With keys split from 20 rows on, the groups are those of whole keys, but for the recall of the split."""
     rng = np.random.default_rng(11)
