@@ -9,9 +9,13 @@ postings come from it without a shuffle, and whoever needs the contents of some
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,9 @@ def bags(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_i
     """(did, seg, terms), with ``lang`` also (lang): the tokens of each segment in order. No shuffle."""
     more = [F.col(lang).alias("lang")] if lang else []
     size = config.segment_size
-    rows = docs.select(F.col(did).alias("did"), *more, tokens(F.col(text), config.max_token_length).alias("t")).where(F.size("t") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int")), lambda i: F.slice("t", i * size + 1, size))
+    rows = docs.select(F.col(did).alias("did"), *more, tokens(F.col(text), config.max_token_length).alias("t"))
+    # null without tokens, and so no row: a condition on rows would be evaluated by a second pass over the text
+    parts = F.when(F.size("t") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int")), lambda i: F.slice("t", i * size + 1, size)))
     found = rows.select("did", *(["lang"] if lang else []), F.posexplode(parts).alias("p", "terms"))
     return found.select("did", (F.col("p") + 1).cast("int").alias("seg"), "terms", *(["lang"] if lang else []))
 
@@ -45,6 +50,64 @@ def layer_of(freq: Column, limits: tuple[int, ...]) -> Column:
     return out.otherwise(len(limits))
 
 
+#: Tokens that are put in the order of terms at a time.
+RUN = 2_000_000
+
+
+def by_term(bags: DataFrame, places: bool = False) -> DataFrame:
+    """Postings (did, seg, term, kind, and ``lang`` where known) or places (did, seg, pos, term) of bags, in runs of ``RUN`` tokens, each in the order of terms and documents.
+
+    No shuffle and no sort of a whole partition: written, every file is a block of documents with an order of its own, and column indexes tell which of
+    its pages hold a term.
+    """
+    lang = "lang" in bags.columns and not places
+    kind = bags.schema["did"].dataType.simpleString()
+    schema = f"did {kind}, seg int, " + ("pos int, term string" if places else "term string, kind string" + (", lang string" if lang else ""))
+    run = RUN
+
+    def inverted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("terms").chunk(0)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        code = place[coded.indices.to_numpy()] << 32
+        row = np.repeat(np.arange(len(size)), size)
+        code |= np.arange(len(row)) if places else row
+        code.sort()
+        if not places and len(code):
+            code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+        names, low, start = coded.dictionary.take(pa.array(order)), code & 0xFFFFFFFF, np.cumsum(size) - size
+        where = row[low] if places else low
+        for at in range(0, len(code), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            rows = pa.array(where[some])
+            out = {"did": table.column("did").chunk(0).take(rows), "seg": table.column("seg").chunk(0).take(rows)}
+            if places:
+                out["pos"] = pa.array((low[some] - start[where[some]] + 1).astype(np.int32))
+            out["term"] = names.take(pa.array(code[some] >> 32))
+            if not places:
+                out["kind"] = pa.repeat("token", len(rows))
+            if lang:
+                out["lang"] = table.column("lang").chunk(0).take(rows)
+            yield pa.RecordBatch.from_pydict(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(2).flatten())
+            if n >= run:
+                yield from inverted(held)
+                held, n = [], 0
+        if n:
+            yield from inverted(held)
+
+    return bags.select("did", "seg", "terms", *(["lang"] if lang else [])).mapInArrow(work, schema)
+
+
 @dataclass
 class Index:
     """Tables of documents. ``bags`` and ``head`` (which may be None) carry the document's ``lang`` where it has one, so that no table joins it in."""
@@ -122,9 +185,14 @@ class Index:
 
         Frequent: the ``n_frequent`` tokens of each language by falling frequency, ties by term.
         """
-        posts = self.postings
-        lang = F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("did"))) if "lang" in posts.columns else F.lit(None).cast("string")
-        base = posts.groupBy("term", "kind").agg(F.count("*").alias("freq"), lang.alias("lang"))
+        posts = Index.postings.func(self)
+        if "lang" in posts.columns:
+            # by language first: counts and least documents have a fixed width, so that rows are summed where they lie and not sorted
+            each = posts.groupBy("term", "kind", "lang").agg(F.count("*").alias("n"), F.min("did").alias("did"))
+            lang = F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("did")))
+            base = each.groupBy("term", "kind").agg(F.sum("n").alias("freq"), lang.alias("lang"))
+        else:
+            base = posts.groupBy("term", "kind").agg(F.count("*").alias("freq")).withColumn("lang", F.lit(None).cast("string"))
         if not self.config.n_frequent:
             return base.withColumn("is_frequent", F.lit(False)).withColumn("layer", layer_of(F.col("freq"), self.config.layers))
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("freq"), "term"))
@@ -189,29 +257,18 @@ class Index:
     # storage
 
     def write(self, path: str) -> None:
-        """Two layouts: bags by document, for contents, and postings and places by term, for lookups and phrases; row groups prune by their sort column.
+        """Two layouts: bags by document, for contents, and postings and places by term in blocks of documents, for lookups and phrases.
 
         Texts are read once, to write the bags; all else is made from those.
         """
+        now = Stored.at(self, path)
+        now.write_all()
         spark = self.bags.sparkSession
-        self.bags.sortWithinPartitions("did", "seg").write.mode("overwrite").parquet(f"{path}/bags")
-        if self.head is not None:
-            self.head.write.mode("overwrite").parquet(f"{path}/head")
-        now = Index(spark.read.parquet(f"{path}/bags"), self.config, spark.read.parquet(f"{path}/head") if self.head is not None else None)
-        # by term and document, so that a frequent term spreads over tasks
-        now.postings.repartitionByRange("term", "did").sortWithinPartitions("term", "did", "seg").write.mode("overwrite").parquet(f"{path}/inverted")
-        now.places.repartitionByRange("term", "did").sortWithinPartitions("term", "did", "seg", "pos").write.mode("overwrite").parquet(f"{path}/places")
-        now.__dict__["postings"] = spark.read.parquet(f"{path}/inverted")
-        now.write_lexicon(f"{path}/lexicon")
         if self.priors is not None:
             self.priors.write.mode("overwrite").parquet(f"{path}/priors")
         tables = [t for t, x in (("head", self.head), ("priors", self.priors)) if x is not None]
         spark.createDataFrame([(json.dumps(asdict(self.config) | {"tables": tables}),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
-    def write_lexicon(self, path: str) -> None:
-        """The lexicon alone, for an index whose other tables are written."""
-        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-
     @classmethod
     def read(cls, spark: SparkSession, path: str, config: IndexConfig | None = None, lexicon: str | None = None) -> Index:
         """A written index; its tables are scans. ``config`` and ``lexicon`` (a path) for one that differs from it only in frequent terms and bands."""
@@ -227,6 +284,63 @@ class Index:
         return out
 
 
+@dataclass
+class Stored(Index):
+    """An index in a folder, with the tables that are there (``done``, shared by all that share the folder).
+
+    Bags and heads always are. Until postings and places are written they come from the bags: to read those once costs a small part of
+    what it costs to put all in order, which pays for many queries only. The lexicon is written when it is first asked for.
+    """
+
+    path: str = ""
+    lexicon_path: str = ""
+    done: set | None = None
+
+    @classmethod
+    def at(cls, index: Index, path: str) -> Stored:
+        """Bags and heads of an index written to a folder."""
+        spark = index.bags.sparkSession
+        index.bags.write.mode("overwrite").parquet(f"{path}/bags")
+        if index.head is not None:
+            index.head.write.mode("overwrite").parquet(f"{path}/head")
+        head = spark.read.parquet(f"{path}/head") if index.head is not None else None
+        return cls(spark.read.parquet(f"{path}/bags"), index.config, head, path=path, lexicon_path=f"{path}/lexicon", done=set())
+
+    def _read(self, path: str) -> DataFrame:
+        return self.bags.sparkSession.read.parquet(path)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read(f"{self.path}/inverted") if "inverted" in self.done else Index.postings.func(self)
+
+    @property
+    def places(self) -> DataFrame:
+        return self._read(f"{self.path}/places") if "places" in self.done else Index.places.func(self)
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        if self.lexicon_path not in self.done:
+            Index.lexicon.func(self).sortWithinPartitions("term").write.mode("overwrite").parquet(self.lexicon_path)
+            self.done.add(self.lexicon_path)
+        return self._read(self.lexicon_path)
+
+    @cached_property
+    def norm(self) -> DataFrame:
+        return self.lexicon.select("term", "freq")
+
+    def write_all(self) -> None:
+        """Whatever isn't written yet."""
+        if "inverted" not in self.done:
+            by_term(self.bags).write.mode("overwrite").parquet(f"{self.path}/inverted")
+            if self.head is not None:
+                self.head.sortWithinPartitions("term", "did").write.mode("append").parquet(f"{self.path}/inverted")
+            self.done.add("inverted")
+        if "places" not in self.done:
+            by_term(self.bags, places=True).write.mode("overwrite").parquet(f"{self.path}/places")
+            self.done.add("places")
+        self.lexicon  # noqa: B018 - written as it is looked at
+
+
 def frozen(positions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Positions of known terms only: for ingest against a vocabulary that no longer grows."""
     return positions.join(lexicon.select("term"), "term", "left_semi").select("did", "seg", "pos", "term")

@@ -12,7 +12,8 @@ from fathomix.config import IndexConfig
 from fathomix.functions import clean, stem
 from fathomix.functions.tokens import tokens
 from fathomix.operators import dedup, expand, hits, language, present, prior, rank, score
-from fathomix.operators.index import Index, frozen
+from fathomix.operators import index as index_module
+from fathomix.operators.index import by_term, frozen, Index, Stored
 from fathomix.plans.query import All, And, Not, Or, Phrase, Query, Range, Term, parse, parse_request, postfix
 from fathomix.plans import access
 from fathomix.plans.search import Searcher
@@ -308,3 +309,36 @@ def test_empty_tables(spark):
     assert hits.hits(ix, Not(Term("a"))).count() == 0
     assert rank.rank(ix, hits.hits(ix, All()), score.scores(ix, hits.hits(ix, Term("a")))).count() == 0
     assert present.snippets(present.sentence_scores(spark.createDataFrame([], "doc_id long, text string"), ["a"], score.scores(ix, hits.hits(ix, Term("a")))), ["a"]).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_runs_by_term_hold_each_posting_and_place(spark, index, monkeypatch, run):
+    monkeypatch.setattr(index_module, "RUN", run)
+    posts, places = by_term(index.bags), by_term(index.bags, places=True)
+    assert posts.columns == ["did", "seg", "term", "kind"]
+    assert sorted(map(tuple, posts.collect())) == sorted(map(tuple, index.postings.collect()))
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, index.places.collect()))
+    one = [(r.term, r.did, r.seg) for r in by_term(index.bags.coalesce(1)).collect()] if run == 1000 else []
+    assert one == sorted(one)
+
+
+def test_an_index_is_written_without_a_shuffle_of_its_postings(spark, headed, tmp_path):
+    for df in (by_term(headed.bags), by_term(headed.bags, places=True)):
+        assert "Exchange" not in plan(df).replace("RoundRobin", "") and "Sort" not in plan(df)
+    found = Stored.at(headed, str(tmp_path / "ix"))
+    segs(hits.hits(found, And((Phrase(("red", "dog")), Not(Term("sleeps"))))))
+    assert not (tmp_path / "ix" / "inverted").exists() and not (tmp_path / "ix" / "places").exists()
+    before = segs(hits.hits(found, Or((Term("lang:en"), Phrase(("red", "dog"))))))
+    found.write_all()
+    assert found.postings.inputFiles()[0].split("/")[-2] == "inverted" and found.places.inputFiles()[0].split("/")[-2] == "places"
+    assert segs(hits.hits(found, Or((Term("lang:en"), Phrase(("red", "dog")))))) == before == segs(hits.hits(headed, Or((Term("lang:en"), Phrase(("red", "dog"))))))
+
+
+def test_the_lexicon_is_counted_before_any_sort_of_postings(headed):
+    """The first language of a term needs strings, which only sorting sums; that is done on counts by language."""
+    steps = [x.split("- ")[-1] for x in plan(Index.lexicon.func(headed)).splitlines() if "Aggregate" in x]
+    assert steps[-1].lstrip("*(0123456789) ").startswith("HashAggregate")
