@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .index import Index
+
 
 def merge(*maps: DataFrame) -> DataFrame:
     """The union of expansion tables."""
@@ -26,6 +28,26 @@ def add_to_postings(postings: DataFrame, expansion: DataFrame) -> DataFrame:
     return postings.select("did", "seg", "term", "kind").unionByName(more).distinct()
 
 
+def frequencies(index: Index, expansion: DataFrame) -> DataFrame:
+    """(term, n): how many postings each term has after ``add_to_postings``.
+
+    What one term alone expands to is in the segments of that term, so its number is that term's frequency; only expansions of several terms need
+    their segments together. If segments are there twice (documents that share an id), postings are counted each once.
+    """
+    if not index.segments.groupBy("did", "seg").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return add_to_postings(index.postings, expansion).groupBy("term").agg(F.count("*").alias("n"))
+    freq = index.norm.select("term", F.col("freq").alias("n"))
+    pairs = expansion.select("term", "expanded").distinct()
+    sources = pairs.groupBy("expanded").agg(F.count("*").alias("k"), F.min("term").alias("term"))
+    lone = sources.where("k = 1").join(freq, "term").select(F.col("expanded").alias("term"), "n")
+    once = freq.unionByName(lone)
+    if sources.where("k > 1").isEmpty():
+        return once.groupBy("term").agg(F.sum("n").alias("n"))
+    some = pairs.join(sources.where("k > 1").select("expanded"), "expanded", "left_semi")
+    several = index.postings.join(some, "term").select("did", "seg", F.col("expanded").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n"))
+    return once.unionByName(several).groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def reverse(expansion: DataFrame) -> DataFrame:
     """The table from expansions to terms."""
     return expansion.select(F.col("expanded").alias("term"), F.col("term").alias("expanded"))
