@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.query import Node
+from .hits import hits
 from .index import Index
 
 
@@ -12,7 +14,7 @@ def _one(rows: DataFrame, by: list, order: list) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def one_per_content(index: Index, segments: DataFrame | None = None) -> DataFrame:
+def one_per_content(index: Index, segments: DataFrame | Node | None = None) -> DataFrame:
     """(did, seg): of segments with the same tokens in the same order the last one."""
     return index.decode(segments).groupBy(F.md5("text").alias("h")).agg(F.max(F.struct("did", "seg")).alias("m")).select("m.did", "m.seg")
 
@@ -29,24 +31,29 @@ def only_site(segments: DataFrame, sites: DataFrame, site: str) -> DataFrame:
     return segments.join(sites.where(F.col("site") == site.lower()), "did", "left_semi")
 
 
-def one_result_each(ranked: DataFrame, docs: DataFrame, collapse_sites: bool = True) -> DataFrame:
-    """Ranked rows (did, score) of which no better one has the same body or, with ``collapse_sites``, the same site; docs: (did, site, body)."""
+def one_result_each(ranked: DataFrame, docs: DataFrame, collapse_sites: bool = True, sites: DataFrame | None = None) -> DataFrame:
+    """Ranked rows (did, score) of which no better one has the same body or, with ``collapse_sites``, the same site; docs: (did, site, body).
+
+    Ranked rows are a list of some depth, which goes to where the documents lie. ``sites`` (did, site), where they aren't in docs, join what is left.
+    """
     order = [F.desc("score"), "did"]
-    rows = ranked.join(docs, "did").withColumn("digest", F.md5(F.coalesce("body", F.lit(""))))
+    rows = docs.join(F.broadcast(ranked), "did").withColumn("digest", F.md5(F.coalesce("body", F.lit("")))).drop("body")
+    if sites is not None:
+        rows = rows.join(sites, "did", "left")
     if collapse_sites:
         rows = rows.withColumn("own", F.coalesce("site", F.concat(F.lit("did:"), F.col("did").cast("string"))))
         rows = _one(rows, ["own"], order).drop("own")
     return _one(rows, ["digest"], order).select("did", "score")
 
 
-def filter_hits(index: Index, segments: DataFrame, sites: DataFrame | None = None, priors: DataFrame | None = None, site: str | None = None) -> DataFrame:
+def filter_hits(index: Index, segments: DataFrame | Node, sites: DataFrame | None = None, priors: DataFrame | None = None, site: str | None = None) -> DataFrame:
     """(did, seg): hits as scoring and ranking take them.
 
     Of documents with a prior of 1 only (where there are priors), of equal contents the last segment, and of each site
     the last one, or with ``site`` all of that site.
     """
     if priors is not None:
-        segments = segments.join(priors.where("prior = 1").select("did"), "did", "left_semi")
+        segments = (segments if isinstance(segments, DataFrame) else hits(index, segments)).join(priors.where("prior = 1").select("did"), "did", "left_semi")
     segments = one_per_content(index, segments)
     if sites is None:
         return segments

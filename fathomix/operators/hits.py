@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.query import All, And, Not, Or, Phrase, Range, Term
@@ -25,6 +25,27 @@ def hits(index: Index, node, by_document: bool = False, expansion: DataFrame | N
     return _match(index, node, KEY, expansion)
 
 
+def in_bag(node) -> tuple[Column, bool]:
+    """A condition on a bag's ``terms`` that holds wherever the node matches a segment of text, and whether it holds nowhere else.
+
+    A phrase may begin in an earlier segment, so it has only one that it needs: its last term.
+    """
+    if isinstance(node, Term):
+        return F.array_contains("terms", node.term), True
+    if isinstance(node, Range):
+        return F.exists("terms", lambda t: t.between(node.low, node.high)), True
+    if isinstance(node, Phrase):
+        return (F.array_contains("terms", node.terms[-1]) if node.terms else F.lit(False)), len(node.terms) < 2
+    if isinstance(node, All):
+        return F.lit(True), True
+    if isinstance(node, Not):
+        inner, whole = in_bag(node.node)
+        return (~inner if whole else F.lit(True)), whole
+    parts = [in_bag(n) for n in node.nodes]
+    both = (lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b)
+    return reduce(both, [c for c, _ in parts]), all(w for _, w in parts)
+
+
 def conjunction(index: Index, terms: list[str], without: list[str] = (), key: list[str] = KEY) -> DataFrame:
     """Segments with all of ``terms`` and none of ``without``: one scan and one aggregate, a bit for each term."""
     every = [*dict.fromkeys(terms), *dict.fromkeys(without)]

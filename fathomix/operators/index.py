@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions.tokens import tokens
+from ..plans.query import Node
 
 
 def bags(docs: DataFrame, config: IndexConfig = IndexConfig(), did: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
@@ -159,15 +160,27 @@ class Index:
             return text
         return text.unionByName(self.head.select("did", "seg").distinct().withColumn("n_tokens", F.lit(0).cast("long")))
 
-    def contents(self, segments: DataFrame, layered: bool = True) -> DataFrame:
-        """(did, seg, term, kind) of some segments, from their bags alone; ``layered`` leaves frequent tokens out."""
-        here = segments.select("did", "seg")
-        text = self.bags.join(here, ["did", "seg"], "left_semi").select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), F.lit("token").alias("kind"))
+    def some_bags(self, segments: DataFrame | Node) -> DataFrame:
+        """Bags of some segments. A query tree that a bag alone answers is a condition on bags; another one narrows them before its hits join."""
+        from .hits import hits, in_bag
+
+        if isinstance(segments, DataFrame):
+            return self.bags.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
+        condition, whole = in_bag(segments)
+        some = self.bags.where(condition)
+        return some if whole else some.join(hits(self, segments), ["did", "seg"], "left_semi")
+
+    def contents(self, segments: DataFrame | Node, layered: bool = True) -> DataFrame:
+        """(did, seg, term, kind) of some segments (or of those that match a query tree), from their bags alone; ``layered`` leaves frequent tokens out."""
+        from .hits import hits
+
+        text = self.some_bags(segments).select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), F.lit("token").alias("kind"))
         if layered and self.config.n_frequent:
             text = text.join(F.broadcast(self.frequent), "term", "left_anti").select("did", "seg", "term", "kind")
         if self.head is None:
             return text
-        return text.unionByName(self.head.join(here, ["did", "seg"], "left_semi").select("did", "seg", "term", "kind"))
+        here = segments if isinstance(segments, DataFrame) else hits(self, segments)
+        return text.unionByName(self.head.join(here.where("seg = 0").select("did", "seg"), ["did", "seg"], "left_semi").select("did", "seg", "term", "kind"))
 
     @property
     def frequent(self) -> DataFrame:
@@ -231,9 +244,9 @@ class Index:
         rows = self.layered if did is None else self.layered.where(F.col("did") == did)
         return rows.groupBy("did").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
-    def decode(self, segments: DataFrame | None = None) -> DataFrame:
-        """(did, seg, text): tokens of each segment in order."""
-        some = self.bags if segments is None else self.bags.join(segments.select("did", "seg"), ["did", "seg"], "left_semi")
+    def decode(self, segments: DataFrame | Node | None = None) -> DataFrame:
+        """(did, seg, text): tokens of each segment (or of some) in order."""
+        some = self.bags if segments is None else self.some_bags(segments)
         return some.select("did", "seg", F.array_join("terms", " ").alias("text"))
 
     def docinfo(self) -> DataFrame:

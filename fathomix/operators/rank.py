@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.query import Node
+from . import score
+from .hits import hits as found
 from .index import Index
 
 
-def segment_scores(index: Index, hits: DataFrame, scored: DataFrame) -> DataFrame:
+def segment_scores(index: Index, hits: DataFrame | Node, scored: DataFrame) -> DataFrame:
     """(did, seg, score): for each hit segment with a layered term, the sum of its terms' scores; terms that only filter add nothing."""
-    posts = index.contents(hits)
-    worth = F.when(F.col("kind") == "meta_norank", 0.0).otherwise(F.coalesce("score", F.lit(0.0)))
-    return posts.join(scored.select("term", "score"), "term", "left").groupBy("did", "seg").agg(F.sum(worth).alias("score"))
+    posts = index.contents(hits).select("did", "seg", F.when(F.col("kind") != "meta_norank", F.col("term")).alias("term"))
+    return score.sums(posts, scored, ["did", "seg"])
 
 
 def with_prior(segments: DataFrame, priors: DataFrame | None) -> DataFrame:
@@ -22,15 +24,16 @@ def with_prior(segments: DataFrame, priors: DataFrame | None) -> DataFrame:
     return segments.join(priors, "did", "left").select("did", "seg", (F.col("score") * F.coalesce("prior", F.lit(1.0))).alias("score"))
 
 
-def rank(index: Index, hits: DataFrame, scored: DataFrame, priors: DataFrame | None = None, depth: int | None = None, mode: str = "exact", top_segments: int | None = None) -> DataFrame:
-    """(did, score), best first, ties by did, scores to 6 places.
+def rank(index: Index, hits: DataFrame | Node, scored: DataFrame, priors: DataFrame | None = None, depth: int | None = None, mode: str = "exact", top_segments: int | None = None) -> DataFrame:
+    """(did, score), best first, ties by did, scores to 6 places. Hits are segments, or a query tree: see ``score.scores``.
 
     ``exact`` sums all hit segments of a document; ``top_segments`` only those among the best
     ``top_segments`` (rank depth of the index by default) with a positive score. ``auto`` counts the hits first: up to
     ``exact_up_to`` of the index are ranked exactly, more by their top segments.
     """
     if mode == "auto":
-        mode = "exact" if hits.limit(index.config.exact_up_to + 1).count() <= index.config.exact_up_to else "top_segments"
+        here = hits if isinstance(hits, DataFrame) else found(index, hits)
+        mode = "exact" if here.limit(index.config.exact_up_to + 1).count() <= index.config.exact_up_to else "top_segments"
     segments = with_prior(segment_scores(index, hits, scored), priors)
     if mode == "top_segments":
         segments = segments.where("score > 0").withColumn("r", F.round("score", 9)).orderBy(F.desc("r"), "did", "seg").limit(top_segments or index.config.rank_depth)

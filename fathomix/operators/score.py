@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
+from ..plans.query import Node
+from . import hits
 from .index import Index
 
 
@@ -18,8 +20,8 @@ def cueset(index: Index, terms: list[str], expansion: DataFrame | None = None) -
     return index.postings.join(wanted, "term", "left_semi").select("did", "seg").distinct()
 
 
-def counts(index: Index, cues: DataFrame, layered: bool = True) -> DataFrame:
-    """(term, kind, cnt): in how many cue segments each term is. Reads the cue segments' bags; partial sums before the shuffle by term."""
+def counts(index: Index, cues: DataFrame | Node, layered: bool = True) -> DataFrame:
+    """(term, kind, cnt): in how many cue segments (or segments that match a query tree) each term is. Reads the cue segments' bags; partial sums before the shuffle by term."""
     return index.contents(cues, layered).groupBy("term", "kind").agg(F.count("*").alias("cnt"))
 
 
@@ -52,6 +54,26 @@ def conditional(cnt: Column, freq: Column) -> Column:
     return F.when(F.coalesce(freq, F.lit(0)) == 0, 0.0).otherwise(F.least(F.lit(1.0), cnt / freq))
 
 
+#: Terms with at least this share of all counts are looked up where rows lie; they are as many as its inverse at most.
+COMMON = 1e-6
+
+
+def sums(rows: DataFrame, scored: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, score): the summed scores of each key's terms, each row (*key, term) counting, and 0 for those without a score.
+
+    Common terms have most rows; their scores are broadcast (``1 / COMMON`` at most) and summed where the rows lie.
+    Rows of other terms alone are shuffled. Without counts (cnt) of the terms all rows are.
+    """
+    if "cnt" not in scored.columns:
+        return rows.join(scored.select("term", "score"), "term", "left").groupBy(*key).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+    least = scored.agg((F.coalesce(F.sum("cnt"), F.lit(0)) * COMMON).alias("least"))
+    ranked = scored.select("term", "score", "cnt").crossJoin(F.broadcast(least))
+    common = F.broadcast(ranked.where("cnt >= least").select("term", F.coalesce("score", F.lit(0.0)).alias("score")))
+    near = rows.select(*key, "term").join(common, "term", "left").groupBy(*key).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+    far = rows.select(*key, "term").join(common, "term", "left_anti").join(ranked.where("cnt < least").select("term", "score"), "term")
+    return near.unionByName(far.select(*key, F.coalesce("score", F.lit(0.0)).alias("score"))).groupBy(*key).agg(F.sum("score").alias("score"))
+
+
 def quantise(score: Column, least: float = 1e-5) -> Column:
     """A score in steps of ``least``, one step at least."""
     return F.greatest(F.lit(1), F.floor(score / least)) * least
@@ -71,11 +93,15 @@ def normalise(cnts: DataFrame, norm: DataFrame, cues: DataFrame | None, n_docs:
     return both.crossJoin(F.broadcast(n)).select("term", "cnt", "freq", jaccard(F.col("cnt"), F.col("freq"), size).alias("score"))
 
 
-def scores(index: Index, cues: DataFrame, layered: bool = True, select: bool = False) -> DataFrame:
-    """(term, cnt, freq, score) of every term that shares a segment with the cues; ``select`` leaves out the frequency bands that cannot score."""
+def scores(index: Index, cues: DataFrame | Node, layered: bool = True, select: bool = False) -> DataFrame:
+    """(term, cnt, freq, score) of every term that shares a segment with the cues; ``select`` leaves out the frequency bands that cannot score.
+
+    Cues may be a query tree: their contents are then read where the bags lie, without a shuffle, if a bag tells of itself whether it matches.
+    """
+    here = cues if isinstance(cues, DataFrame) else hits.hits(index, cues)
     if not select:
-        return normalise(counts(index, cues, layered), index.norm, cues)
-    n = cues.agg(F.count("*").alias("n_cues"))
+        return normalise(counts(index, cues, layered), index.norm, here)
+    n = here.agg(F.count("*").alias("n_cues"))
     both = counts(index, cues, layered=False).join(index.lexicon.where("layer is not null").select("term", "kind", "freq", "layer"), ["term", "kind"])
     some = both.crossJoin(F.broadcast(n)).where(in_selected_layers(F.col("n_cues"), F.col("layer"), index.config))
     return some.select("term", "cnt", "freq", jaccard(F.col("cnt"), F.col("freq"), F.col("n_cues")).alias("score"))

@@ -54,6 +54,9 @@ class Or:
     nodes: tuple
 
 
+Node = Term | Phrase | Range | All | Not | And | Or
+
+
 @dataclass(frozen=True)
 class Query:
     keys: tuple

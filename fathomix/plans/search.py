@@ -44,7 +44,7 @@ class Searcher:
         return cache[key]
 
     def _filtered(self, nodes: tuple, site: str | None = None) -> DataFrame:
-        found = hits.hits(self.index, And(nodes) if len(nodes) > 1 else nodes[0])
+        found = And(nodes) if len(nodes) > 1 else nodes[0]
         return dedup.filter_hits(self.index, found, self.docs.select("did", "site"), self.priors, site)
 
     def scores(self, query: Query) -> DataFrame:

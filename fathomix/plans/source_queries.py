@@ -214,7 +214,7 @@ _ALWAYS_TOP = IndexConfig(n_frequent=0, segment_size=50, exact_up_to=0, rank_dep
 def rank_auto(spark, d):
     """With more hits than are ranked exactly, the best segments alone count."""
     ix = _index(spark, d, _ALWAYS_TOP)
-    return rank.rank(ix, hits.hits(ix, hits.Term("by")), score.scores(ix, _cue(ix)), mode="auto")
+    return rank.rank(ix, hits.Term("by"), score.scores(ix, _cue(ix)), mode="auto")
 
 
 @register(

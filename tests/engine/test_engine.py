@@ -342,3 +342,45 @@ def test_the_lexicon_is_counted_before_any_sort_of_postings(headed):
     """The first language of a term needs strings, which only sorting sums; that is done on counts by language."""
     steps = [x.split("- ")[-1] for x in plan(Index.lexicon.func(headed)).splitlines() if "Aggregate" in x]
     assert steps[-1].lstrip("*(0123456789) ").startswith("HashAggregate")
+
+
+def test_frequencies_with_expansions_are_those_of_the_postings(spark, docs, index):
+    one = [("red", "colour"), ("fox", "animal"), ("lazy", "fox")]
+    twice = Index.build(docs.unionAll(docs.where("doc_id = 2")), FOUR)
+    for ix in (index, twice):
+        for pairs in (one, [*one, ("dog", "animal"), ("dog", "animal"), ("none", "thing")]):
+            table = spark.createDataFrame(pairs, "term string, expanded string")
+            want = expand.add_to_postings(ix.postings, table).groupBy("term").count()
+            assert {tuple(r) for r in expand.frequencies(ix, table).collect()} == {tuple(r) for r in want.collect()}
+    lone = plan(expand.frequencies(index, spark.createDataFrame(one, "term string, expanded string")))
+    assert "did" not in "".join(x for x in lone.splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.2, 2.0])
+def test_sums_of_common_and_rare_terms_are_those_of_one_join(spark, headed, monkeypatch, share):
+    monkeypatch.setattr(score, "COMMON", share)
+    scored = score.scores(headed, Term("red"))
+    rows = headed.postings.select("did", "seg", F.when(F.col("kind") == "token", F.col("term")).alias("term"))
+    plain = rows.join(scored.select("term", "score"), "term", "left").groupBy("did", "seg").agg(F.sum(F.coalesce("score", F.lit(0.0))))
+    rounded = lambda df: {(r[0], r[1]): round(r[2], 9) for r in df.collect()}
+    assert rounded(score.sums(rows, scored, ["did", "seg"])) == rounded(plain)
+    assert rounded(score.sums(rows, scored.select("term", "score"), ["did", "seg"])) == rounded(plain)
+
+
+def test_contents_of_a_query_are_those_of_its_hits(spark, headed):
+    red, dog, en, phrase = Term("red"), Term("dog"), Term("lang:en"), Phrase(("lazy", "red"))
+    for node in (red, en, All(), Not(red), And((red, Not(dog))), Or((dog, en)), Range("lazy", "over"), phrase, Not(phrase), And((phrase, dog)), Or((phrase, Term("fox"))), Not(And((red, phrase)))):
+        want = sorted(map(tuple, headed.contents(hits.hits(headed, node)).collect()))
+        assert sorted(map(tuple, headed.contents(node).collect())) == want, node
+    plain = Index(headed.bags, FOUR)
+    assert "Join" not in plan(plain.contents(And((red, Not(dog)))))
+    assert rank.rank(headed, dog, score.scores(headed, red)).collect() == rank.rank(headed, hits.hits(headed, dog), score.scores(headed, hits.hits(headed, red))).collect()
+
+
+def test_rows_of_tokens_leave_the_text_of_their_sentence(spark):
+    docs = spark.createDataFrame([(1, ". one red fox. red red dog."), (2, ". one red fox. nothing."), (3, None)], "doc_id long, text string")
+    scored = spark.createDataFrame([("red", 0.5, 3), ("fox", 0.25, 1)], "term string, score double, cnt long")
+    found = present.sentence_scores(docs, ["fox"], scored)
+    assert not [x for x in plan(found).splitlines() if "Generate explode(t" in x and "sentence" in x]
+    # a sentence ends with the full stop that the next one would begin with
+    assert sorted(map(tuple, found.collect())) == [(1, 0, ". one red fox.", 1.75), (2, 0, ". one red fox.", 1.75)]
