@@ -13,6 +13,9 @@ from ..functions.clean import site_hash
 
 HEAD_END = "\n---\n"
 
+#: Bytes of a wire file that are records at a time, and records in a file, which is read as a whole.
+PIECE, FILE_RECORDS = 4 << 20, 1000
+
 
 def header(head: Column, field: str) -> Column:
     """The rest of the first line that starts with a field's name; null without one."""
@@ -62,9 +65,13 @@ def read_wire(spark: SparkSession, path: str) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["value", "broken"])
+
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                texts, errors, at = [], [], 0
+            for one in batch.column(0):
+                content = one.as_py()
+                texts, errors, at, since = [], [], 0, 0
                 while at < len(content):
                     if content[at : at + 1].isspace():
                         at += 1
@@ -78,7 +85,10 @@ def read_wire(spark: SparkSession, path: str) -> DataFrame:
                     at = end + 1 + int(number)
                     texts.append(content[end + 1 : at].decode("utf-8", "replace"))
                     errors.append("the file ends in a record" if at > len(content) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["value", "broken"])
+                    if at - since >= PIECE:
+                        yield rows()
+                        texts, errors, since = [], [], at
+                yield rows()
 
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(cut, "value string, broken string")
@@ -96,7 +106,7 @@ def to_record(docs: DataFrame) -> DataFrame:
 
 
 def write_wire(docs: DataFrame, path: str) -> None:
-    to_record(docs).write.mode("overwrite").text(path)
+    to_record(docs).write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_wiki(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
