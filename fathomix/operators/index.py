@@ -170,17 +170,26 @@ class Index:
         some = self.bags.where(condition)
         return some if whole else some.join(hits(self, segments), ["did", "seg"], "left_semi")
 
-    def contents(self, segments: DataFrame | Node, layered: bool = True) -> DataFrame:
-        """(did, seg, term, kind) of some segments (or of those that match a query tree), from their bags alone; ``layered`` leaves frequent tokens out."""
+    def some_heads(self, segments: DataFrame | Node) -> DataFrame:
+        """Rows of some segments' heads. What a query tree matches there takes the heads alone."""
         from .hits import hits
 
+        here = segments.where("seg = 0") if isinstance(segments, DataFrame) else hits(Index(self.bags.where("false"), self.config, self.head), segments)
+        return self.head.join(here.select("did", "seg"), ["did", "seg"], "left_semi")
+
+    def matching(self, node: Node) -> DataFrame:
+        """(did, seg) of the segments that ``contents`` of a query tree reads."""
+        text = self.some_bags(node).select("did", "seg")
+        return text if self.head is None else text.unionByName(self.some_heads(node).select("did", "seg").distinct())
+
+    def contents(self, segments: DataFrame | Node, layered: bool = True) -> DataFrame:
+        """(did, seg, term, kind) of some segments (or of those that match a query tree), from their bags alone; ``layered`` leaves frequent tokens out."""
         text = self.some_bags(segments).select("did", "seg", F.explode(F.array_distinct("terms")).alias("term"), F.lit("token").alias("kind"))
         if layered and self.config.n_frequent:
             text = text.join(F.broadcast(self.frequent), "term", "left_anti").select("did", "seg", "term", "kind")
         if self.head is None:
             return text
-        here = segments if isinstance(segments, DataFrame) else hits(self, segments)
-        return text.unionByName(self.head.join(here.where("seg = 0").select("did", "seg"), ["did", "seg"], "left_semi").select("did", "seg", "term", "kind"))
+        return text.unionByName(self.some_heads(segments).select("did", "seg", "term", "kind"))
 
     @property
     def frequent(self) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Node
 from . import score
-from .hits import hits as found
 from .index import Index
 
 
@@ -32,7 +31,7 @@ def rank(index: Index, hits: DataFrame | Node, scored: DataFrame, priors: DataFr
     ``exact_up_to`` of the index are ranked exactly, more by their top segments.
     """
     if mode == "auto":
-        here = hits if isinstance(hits, DataFrame) else found(index, hits)
+        here = hits if isinstance(hits, DataFrame) else index.matching(hits)
         mode = "exact" if here.limit(index.config.exact_up_to + 1).count() <= index.config.exact_up_to else "top_segments"
     segments = with_prior(segment_scores(index, hits, scored), priors)
     if mode == "top_segments":

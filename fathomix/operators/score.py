@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..plans.query import Node
-from . import hits
 from .index import Index
 
 
@@ -66,6 +65,8 @@ def sums(rows: DataFrame, scored: DataFrame, key: list[str]) -> DataFrame:
     """
     if "cnt" not in scored.columns:
         return rows.join(scored.select("term", "score"), "term", "left").groupBy(*key).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+    # said of all uses, so that they share what they shuffle
+    scored = scored.where("term is not null")
     least = scored.agg((F.coalesce(F.sum("cnt"), F.lit(0)) * COMMON).alias("least"))
     ranked = scored.select("term", "score", "cnt").crossJoin(F.broadcast(least))
     common = F.broadcast(ranked.where("cnt >= least").select("term", F.coalesce("score", F.lit(0.0)).alias("score")))
@@ -98,7 +99,7 @@ def scores(index: Index, cues: DataFrame | Node, layered: bool = True, select: b
 
     Cues may be a query tree: their contents are then read where the bags lie, without a shuffle, if a bag tells of itself whether it matches.
     """
-    here = cues if isinstance(cues, DataFrame) else hits.hits(index, cues)
+    here = cues if isinstance(cues, DataFrame) else index.matching(cues)
     if not select:
         return normalise(counts(index, cues, layered), index.norm, here)
     n = here.agg(F.count("*").alias("n_cues"))

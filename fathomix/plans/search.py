@@ -14,6 +14,10 @@ from ..operators.index import Index
 from .query import And, Query, parse
 
 
+#: Segments that are broadcast.
+FEW = 200_000
+
+
 @dataclass
 class Searcher:
     """An index with its documents (did, url, title, body, site) and what was asked before.
@@ -34,6 +38,7 @@ class Searcher:
     mode: str = "exact"
     _scores: OrderedDict = field(default_factory=OrderedDict, repr=False)
     _ranks: OrderedDict = field(default_factory=OrderedDict, repr=False)
+    _hits: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def _kept(self, cache: OrderedDict, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         if key not in cache:
@@ -44,8 +49,10 @@ class Searcher:
         return cache[key]
 
     def _filtered(self, nodes: tuple, site: str | None = None) -> DataFrame:
-        found = And(nodes) if len(nodes) > 1 else nodes[0]
-        return dedup.filter_hits(self.index, found, self.docs.select("did", "site"), self.priors, site)
+        """Hits after the filters; few of them go to the bags, where many would move the bags."""
+        node = And(nodes) if len(nodes) > 1 else nodes[0]
+        found = self._kept(self._hits, (nodes, site), lambda: dedup.filter_hits(self.index, node, self.docs.select("did", "site"), self.priors, site))
+        return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
 
     def scores(self, query: Query) -> DataFrame:
         return self._kept(self._scores, query.canonical[1], lambda: score.scores(self.index, self._filtered(query.cues), select=True))
@@ -89,8 +96,9 @@ class Searcher:
         return hits.hits(self.index, And(query.keys) if len(query.keys) > 1 else query.keys[0]).agg(F.count("*").alias("n"))
 
     def forget(self) -> None:
-        for df in (*self._scores.values(), *self._ranks.values()):
+        for df in (*self._scores.values(), *self._ranks.values(), *self._hits.values()):
             df.unpersist()
+        self._hits.clear()
         self._scores.clear()
         self._ranks.clear()
 

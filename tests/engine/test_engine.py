@@ -384,3 +384,28 @@ def test_rows_of_tokens_leave_the_text_of_their_sentence(spark):
     assert not [x for x in plan(found).splitlines() if "Generate explode(t" in x and "sentence" in x]
     # a sentence ends with the full stop that the next one would begin with
     assert sorted(map(tuple, found.collect())) == [(1, 0, ". one red fox.", 1.75), (2, 0, ". one red fox.", 1.75)]
+
+
+def test_wire_files_are_small_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "FILE_RECORDS", 3)
+    monkeypatch.setattr(documents, "PIECE", 50)
+    docs = spark.createDataFrame([(i, f"http://a/{i}", "t", None, "text/plain", [1, i + 2], "body é " * i) for i in range(10)], "key long, url string, title string, date string, mime string, meta array<long>, body string").coalesce(1)
+    documents.write_wire(docs, str(tmp_path / "wire"))
+    assert len(list((tmp_path / "wire").glob("*.txt"))) == 4
+    back = documents.read_wire(spark, str(tmp_path / "wire" / "*.txt"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect())) and back.where("error is not null").count() == 0
+
+
+def test_cues_and_hits_of_heads_take_the_heads_alone(headed):
+    assert segs(headed.matching(Term("lang:en"))) == {(i, 0) for i in (1, 2, 3, 4)} == segs(hits.hits(headed, Term("lang:en")))
+    assert segs(headed.matching(Not(Phrase(("red", "dog"))))) == segs(hits.hits(headed, Not(Phrase(("red", "dog")))))
+
+
+def test_contamination_makes_nothing_distinct_before_the_items_join(spark):
+    from fathomix.plans import catalog
+
+    steps = plan(catalog.queries()["contamination_phrase"](spark, "/root/testdata/sf0.001")).splitlines()
+    join = next(i for i, x in enumerate(steps) if "BroadcastHashJoin" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    stream = [x for x in steps[join + 1 :] if depth(x) == depth(steps[join + 1]) or "doc_id" in x]
+    assert stream and not [x for x in stream if "HashAggregate" in x or "Exchange hash" in x]
