@@ -70,7 +70,7 @@ def sums(rows: DataFrame, scored: DataFrame, key: list[str]) -> DataFrame:
     least = scored.agg((F.coalesce(F.sum("cnt"), F.lit(0)) * COMMON).alias("least"))
     ranked = scored.select("term", "score", "cnt").crossJoin(F.broadcast(least))
     common = F.broadcast(ranked.where("cnt >= least").select("term", F.coalesce("score", F.lit(0.0)).alias("score")))
-    near = rows.select(*key, "term").join(common, "term", "left").groupBy(*key).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+    near = rows.select(*key, "term").join(common, "term", "left").select(*key, F.coalesce("score", F.lit(0.0)).alias("score"))
     far = rows.select(*key, "term").join(common, "term", "left_anti").join(ranked.where("cnt < least").select("term", "score"), "term")
     return near.unionByName(far.select(*key, F.coalesce("score", F.lit(0.0)).alias("score"))).groupBy(*key).agg(F.sum("score").alias("score"))
 
